@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings the queries are written for; clusters bring their own."""
@@ -23,3 +28,11 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it. A cluster whose machines
+    don't have it at that place gets it by --py-files as usual."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
