@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwright.llm.shared import small_batches
+
 OPEN, CLOSE = "### ", "</turn>"
 SHOWN = {"user": "User", "assistant": "Assistant", "system": "System"}
 _READ = {v: k for k, v in SHOWN.items()}
@@ -121,6 +123,7 @@ def format_examples(turns: DataFrame) -> DataFrame:
     """One row an assistant turn: (conv_id, example, formatted, loss_start, loss_end), the loss
     mask in code points of ``formatted``; then turns after the last reply, without a mask. The
     rows of a conversation stay together and in order."""
+    small_batches(turns.sparkSession)
     ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(_examples, EXAMPLES)
 

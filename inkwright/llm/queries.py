@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.llm import chat, mixing, telephony
+from inkwright.llm import chat, mixing, quality, telephony, toxicity
+from inkwright.llm.labelled import fold
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,22 @@ def op2_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_media(telephony.encode_media(_read(spark, sf_dir, "documents")), store_pcm=False)
 
 
+def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned without a quarter of the labels."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return _judged(quality.score(docs, *quality.fit(docs, labels)), 4, 2)
+
+
+def op7_toxicity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned without a third of the labels."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return _judged(toxicity.score(docs, *toxicity.fit(docs, labels)), 3, 1)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1, repeating."""
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,7 +51,9 @@ def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_telephony_media": op2_telephony_media,
+    "op3_quality_embeddings": op3_quality_embeddings,
     "op5_mix_sources": op5_mix_sources,
+    "op7_toxicity_ratios": op7_toxicity_ratios,
     "op9_chat_examples": op9_chat_examples,
 }
 

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwright.session import ship
+
 _own: dict[str, str] = {}
 
 #: Rows of an Arrow batch that carries texts: some MB at a few KB a text.
@@ -40,5 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts are kept small: a batch of long texts must fit a Python worker."""
+    """Before Python runs: workers find the package, and Arrow batches of texts are small, as a
+    batch of long texts must fit a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
