@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.llm import chat, mixing, quality, telephony, toxicity
+from inkwright.llm import chat, lines, mixing, packing, quality, telephony, toxicity
 from inkwright.llm.labelled import fold
 
 
@@ -15,6 +15,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeats of runs of 30 words or more."""
+    out = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("deleted_lines"), F.col("_lost").alias("deleted_words"), "text")
+
+
 def op2_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a mu-law file, read back."""
     return telephony.read_media(telephony.encode_media(_read(spark, sf_dir, "documents")), store_pcm=False)
@@ -36,6 +42,11 @@ def op7_toxicity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, *toxicity.fit(docs, labels)), 3, 1)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in bins of 2,048 words."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1, repeating."""
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -50,8 +61,10 @@ def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_winnowing": op1_line_winnowing,
     "op2_telephony_media": op2_telephony_media,
     "op3_quality_embeddings": op3_quality_embeddings,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op7_toxicity_ratios": op7_toxicity_ratios,
     "op9_chat_examples": op9_chat_examples,
@@ -84,4 +97,28 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLE: dict[str, str] = {"op5_mix_sources": _OP5}
+#: Windows by their text instead of hashes, and no fingerprints.
+_OP1 = r"""
+WITH d AS (SELECT doc_id, text, str_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents)),
+l AS (SELECT doc_id, text, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+p AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, text ORDER BY i) AS upto FROM c),
+f AS (SELECT a.doc_id, a.text, a.i AS s, min(b.i) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.text = b.text AND b.i >= a.i AND b.upto - (a.upto - a.w) >= 30
+      WHERE a.w > 0 GROUP BY ALL),
+r AS (SELECT b.doc_id, b.text, max(a.i) AS s, b.i AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.text = b.text AND b.i >= a.i AND b.upto - (a.upto - a.w) >= 30
+      WHERE b.w > 0 GROUP BY ALL),
+w AS (SELECT doc_id, text, s, e, array_to_string(str_split(text, chr(10))[s + 1:e + 1], chr(10)) AS body FROM (FROM f UNION FROM r)),
+o AS (SELECT *, first_value({'d': doc_id, 't': text, 's': s}) OVER (PARTITION BY body ORDER BY doc_id, text, s) AS a FROM w),
+x AS (SELECT doc_id, text, s, e FROM o WHERE (doc_id, text, s) <> (a.d, a.t, a.s) AND NOT (doc_id = a.d AND text = a.t AND s < a.s + (e - s + 1))),
+g AS (SELECT DISTINCT p.doc_id, p.text, p.i FROM p JOIN x ON p.doc_id = x.doc_id AND p.text = x.text AND p.i BETWEEN x.s AND x.e),
+k AS (SELECT p.doc_id, p.text, count(*)::BIGINT AS n_lines, count(g.i)::BIGINT AS deleted_lines, sum(CASE WHEN g.i IS NOT NULL THEN w ELSE 0 END)::BIGINT AS deleted_words,
+             coalesce(string_agg(line, chr(10) ORDER BY p.i) FILTER (WHERE g.i IS NULL), '') AS kept
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.text = g.text AND p.i = g.i GROUP BY ALL)
+SELECT documents.doc_id, n_lines, deleted_lines, deleted_words, kept AS text
+FROM documents JOIN k ON documents.doc_id = k.doc_id AND documents.text = k.text
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_winnowing": _OP1,
+    "op5_mix_sources": _OP5,
+}
