@@ -112,11 +112,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
     found = written(keyed.mapInArrow(_windows(min_words), f"doc_id {kind}, doc bigint, line int, lines int, mark bigint, window bigint"), "windows")
     places = found.groupBy("mark").agg(F.min(F.struct("doc", "line")).alias("a"), F.max(F.struct("doc", "line")).alias("b"))
-    marks = places.where(F.col("a") != F.col("b")).select(F.col("mark").alias("f_mark"))
+    # written, so both sides of the joins come straight from an exchange and hot keys can be split
+    marks = written(places.where(F.col("a") != F.col("b")).select(F.col("mark").alias("f_mark")), "marks")
     candidates = written(found.join(marks, F.col("mark") == F.col("f_mark"), "left_semi"), "candidates")
     place = F.struct("doc_id", "doc", "line")
     first = candidates.groupBy("mark", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b"))
-    first = first.select(F.col("mark").alias("f_mark"), F.col("window").alias("f_window"), F.col("a").alias("f"))
+    first = written(first.select(F.col("mark").alias("f_mark"), F.col("window").alias("f_window"), F.col("a").alias("f")), "first")
     overlaps = (F.col("doc") == F.col("f.doc")) & (F.col("line") < F.col("f.line") + F.col("lines"))
     later = candidates.join(first, (F.col("mark") == F.col("f_mark")) & (F.col("window") == F.col("f_window"))).where((place > F.col("f")) & ~overlaps)
     return later.select("doc", F.struct("line", "lines").alias("run")).groupBy("doc").agg(F.array_sort(F.collect_set("run")).alias("runs"))
