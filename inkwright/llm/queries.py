@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.llm import chat, lines, mixing, packing, quality, telephony, toxicity
+from inkwright.llm import chat, jaccard, lines, mixing, packing, quality, telephony, toxicity
 from inkwright.llm.labelled import fold
 
 
@@ -60,6 +60,11 @@ def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_examples(turns))
 
 
+def op10_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a shingle similarity of 0.8 or more."""
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_winnowing": op1_line_winnowing,
     "op2_telephony_media": op2_telephony_media,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op7_toxicity_ratios": op7_toxicity_ratios,
     "op9_chat_examples": op9_chat_examples,
+    "op10_jaccard_forest": op10_jaccard_forest,
 }
 
 #: Spark's sampling keys and targets, in SQL, without the two-level sums.
@@ -118,7 +124,24 @@ SELECT documents.doc_id, n_lines, deleted_lines, deleted_words, kept AS text
 FROM documents JOIN k ON documents.doc_id = k.doc_id AND documents.text = k.text
 """
 
+#: All pairs that share a shingle, and their closure.
+_OP10 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS sh FROM t),
+k AS (SELECT sh, min(doc_id) AS copy_id FROM s GROUP BY sh),
+e AS (SELECT copy_id, len(sh) AS n, unnest(sh) AS g FROM k),
+p AS (SELECT a.copy_id AS x, b.copy_id AS y FROM e a JOIN e b ON a.g = b.g AND a.copy_id <> b.copy_id GROUP BY a.copy_id, b.copy_id, a.n, b.n
+      HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+c(x, y) AS (SELECT copy_id, copy_id FROM k UNION SELECT c.x, p.y FROM c JOIN p ON c.y = p.x),
+r AS (SELECT x, min(y) AS class_id FROM c GROUP BY x),
+l AS (SELECT x, count(*)::BIGINT AS n_links FROM p GROUP BY x)
+SELECT s.doc_id, r.class_id, k.copy_id, coalesce(l.n_links, 0) AS n_links
+FROM s JOIN k ON s.sh = k.sh JOIN r ON r.x = k.copy_id LEFT JOIN l ON l.x = k.copy_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op10_jaccard_forest": _OP10,
     "op1_line_winnowing": _OP1,
     "op5_mix_sources": _OP5,
 }
