@@ -215,7 +215,8 @@ def similarity_join(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
     unique = written(one.select("key", "signature").dropDuplicates(["key"]), "unique")
     pairs = written(candidates(unique, least), "candidates")
     needed = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(classes, "key"), "needed")
-    texts = docs.select(F.col("doc_id"), F.col("text")).join(needed.select(F.col("first"), F.col("key").alias("t_key")), F.col("doc_id").eqNullSafe(F.col("first")))
+    # one plan at every size: what is needed grows with the input, so it isn't broadcast where it happens to be small
+    texts = docs.select(F.col("doc_id"), F.col("text")).join(needed.select(F.col("first"), F.col("key").alias("t_key")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")))
     texts = written(texts.select("t_key", "text").mapInArrow(_only, "t_key bigint, text string").dropDuplicates(["t_key"]), "texts")
     joined = pairs.join(texts.select(F.col("t_key").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("t_key").alias("a"), F.col("text").alias("x")), "a")
     links = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a bigint, b bigint, similarity double"), "links")
