@@ -5,7 +5,7 @@ once. A signature of 128 minima is read as 16 trees of depth 8. All (tree, signa
 are sorted by range, which lays each tree out as a sorted prefix trie dealt over tasks; a
 hot prefix spans several tasks, as ties are broken by hash. Prefixes are shortened from the
 whole depth towards the depth where a pair at the threshold meets with the target recall
-(4 at 0.8 and 0.999), as long as few texts (32) share them: those are paired with each other.
+(4 at 0.8 and 0.999), as long as few texts (16) share them: those are paired with each other.
 A prefix that more texts share pairs them with its first text and leaves the rest to its
 longer prefixes; under a whole-depth prefix, blocks of neighbours are paired. Rows next to the
 edges of a task's range go through the same step once more together, so no pair is lost there.
@@ -37,7 +37,7 @@ SHINGLE = 5
 LEAST = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.999
-SMALL = 32
+SMALL = 16
 #: Rows of a trie that one task sorts.
 TASK_ROWS = 200_000
 _draw = np.random.RandomState(11)
