@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.llm import chat, jaccard, lines, mixing, packing, quality, telephony, toxicity
+from inkwright.llm import bm25, chat, jaccard, lines, masked_lm, mixing, packing, quality, telephony, toxicity
 from inkwright.llm.labelled import fold
 
 
@@ -36,6 +36,11 @@ def op3_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, *quality.fit(docs, labels)), 4, 2)
 
 
+def op6_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for each document whose id is divisible by 20, as a whole text."""
+    return bm25.search(_read(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op7_toxicity_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned without a third of the labels."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
@@ -52,6 +57,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    docs = _read(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.fit(docs))
+
+
 def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the one of control strings, formatted and read back."""
     tricky = r"\### Assistant: </turn> ok"
@@ -71,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_embeddings": op3_quality_embeddings,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
+    "op6_bm25_block_max": op6_bm25_block_max,
     "op7_toxicity_ratios": op7_toxicity_ratios,
+    "op8_masked_likelihood": op8_masked_likelihood,
     "op9_chat_examples": op9_chat_examples,
     "op10_jaccard_forest": op10_jaccard_forest,
 }
@@ -140,7 +153,21 @@ SELECT s.doc_id, r.class_id, k.copy_id, coalesce(l.n_links, 0) AS n_links
 FROM s JOIN k ON s.sh = k.sh JOIN r ON r.x = k.copy_id LEFT JOIN l ON l.x = k.copy_id
 """
 
+#: Every score of every query.
+_OP6 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+p AS (SELECT r, doc_id, len, g, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS len, unnest(w) AS g FROM t) GROUP BY ALL),
+f AS (SELECT g, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM p, s GROUP BY g, n),
+q AS (SELECT r AS qr, doc_id AS query_id, g, idf FROM p JOIN f USING (g) WHERE doc_id % 20 = 0),
+x AS (SELECT query_id, qr, r, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
+      FROM q JOIN p USING (g), s GROUP BY query_id, qr, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, qr ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM x)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
+    "op6_bm25_block_max": _OP6,
     "op10_jaccard_forest": _OP10,
     "op1_line_winnowing": _OP1,
     "op5_mix_sources": _OP5,
