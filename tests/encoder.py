@@ -1,0 +1,99 @@
+"""Writes the files that the sources read."""
+
+import base64
+import json
+import sqlite3
+import struct
+
+
+def rle(pairs):
+    return bytes(x for p in pairs for x in p)
+
+
+def blank(width, height, code=0x62):
+    """A layer of one colour, by long runs and single lengths."""
+    left, out = width * height, []
+    while left >= 0x4000:
+        out.append((code, 255))
+        left -= 0x4000
+    while left:
+        n = min(left, 128)
+        out.append((code, n - 1))
+        left -= n
+    return rle(out)
+
+
+def stroke(points, pen=10, colour=0, thickness=400, record_class=5000, kind="others", status=0, screen=1872, rings=(), ring_count=None):
+    head = bytearray(208)
+    struct.pack_into("<III", head, 0, pen, colour, thickness)
+    struct.pack_into("<i", head, 40, record_class)
+    head[48 : 48 + len(kind)] = kind.encode()
+    struct.pack_into("<I", head, 128, screen)
+    body = bytes(head) + struct.pack("<I", 1) + bytes(24) + struct.pack("<I", len(points)) + b"".join(struct.pack("<II", y, x) for x, y in points)
+    for size in (2, 4, 1, 8, 4):
+        body += struct.pack("<I", 2) + bytes(2 * size)
+    body += struct.pack("<i", status) + bytes(48) + struct.pack("<I", 0) + bytes(10)
+    body += struct.pack("<I", len(rings) if ring_count is None else ring_count)
+    for ring in rings:
+        body += struct.pack("<I", len(ring)) + b"".join(struct.pack("<ff", x, y) for x, y in ring)
+    return body + b"tail"
+
+
+def log(records, count=None):
+    return struct.pack("<I", len(records) if count is None else count) + b"".join(struct.pack("<I", len(r)) + r for r in records)
+
+
+class Note:
+    def __init__(self, signature=b"noteSN_FILE_VER_20230015"):
+        self.data = bytearray(signature)
+        self.footer = []
+
+    def block(self, body):
+        at = len(self.data)
+        self.data += struct.pack("<I", len(body)) + body
+        return at
+
+    def kv(self, pairs):
+        return self.block("".join(f"<{k}:{v}>" for k, v in pairs).encode())
+
+    def header(self, **values):
+        self.footer.append(("FILE_FEATURE", self.kv(values.items())))
+
+    def page(self, no, elements=None, strokes=None, layers=None, drop=(), **values):
+        pairs = {"PAGESTYLE": "style", "LAYERINFO": '[{"layerId"#0,"name"#"Main Layer","isVisible"#true}]', "LAYERSEQ": "MAINLAYER,BGLAYER"} | values
+        for name, bitmap in (layers or {}).items():
+            pairs[name] = self.kv([("LAYERNAME", name), ("LAYERBITMAP", self.block(bitmap))])
+        if elements is not None:
+            pairs["RECOGNTEXT"] = self.block(base64.b64encode(json.dumps({"elements": elements}).encode()))
+        if strokes is not None:
+            pairs["TOTALPATH"] = self.block(log(strokes))
+        info = pairs.pop("LAYERINFO")
+        # layer info holds colons nowhere, so it can stand in a pair
+        self.footer.append((f"PAGE{no}", self.kv([(k, v) for k, v in ({"LAYERINFO": info} | pairs).items() if k not in drop])))
+
+    def bytes(self):
+        at = self.kv(self.footer)
+        return bytes(self.data) + struct.pack("<I", at)
+
+
+def word(label, x, y, w, h):
+    return {"label": label.encode().decode("latin-1"), "bounding-box": {"x": x, "y": y, "width": w, "height": h}}
+
+
+def proto(layers):
+    out = b""
+    for i, name in layers:
+        body = (b"" if i is None else b"\x08" + bytes([i])) + (b"" if name is None else b"\x12" + bytes([len(name)]) + name.encode())
+        out += b"\x0a" + bytes([len(body)]) + body
+    return out
+
+
+def tile_file(path, config, surfaces):
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE config (name TEXT, value BLOB)")
+    db.executemany("INSERT INTO config VALUES (?, ?)", config.items())
+    for name, tiles in surfaces.items():
+        db.execute(f"CREATE TABLE {name} (tid INTEGER, tile BLOB)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", tiles.items())
+    db.commit()
+    db.close()
