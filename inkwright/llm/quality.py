@@ -34,6 +34,8 @@ BUCKETS = 1 << 17
 WIDTH = 8
 PER_CLASS = 1500
 EPOCHS = 8
+#: Few documents are gone over more often, up to so many steps.
+LEAST_STEPS = 10_000
 RATE = 0.5
 _SHIFT = np.uint64(64 - 17)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     rows = sample(docs, labels, label, folds, held, per_class).mapInArrow(_bags, f"doc_id {kind}, y int, ids binary, counts binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["ids"], r["counts"]))
     bags = [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["y"]) for r in rows if r["ids"]]
-    vectors, out, bias = train(bags)
+    vectors, out, bias = train(bags, epochs=max(EPOCHS, -(-LEAST_STEPS // max(1, len(bags)))))
     drawn = np.bincount([b[2] for b in bags], minlength=2) + 1.0
     there = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = np.log((there.get(1, 0) + 1.0) / (there.get(0, 0) + 1.0)) - np.log(drawn[1] / drawn[0])

@@ -109,7 +109,7 @@ def shingles(w: Words, n: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rolled = np.zeros(total, np.uint64)
     factor = 1
-    for j in range(n):
+    for j in range(min(n, total)):
         part = w.hash[j:] * np.uint64(factor)
         rolled[: total - j] += part
         factor = factor * _BASE % (1 << 64)
