@@ -33,9 +33,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     its text); rows that repeat an id and its text are kept once."""
     row = F.struct("doc_id", lines.document_key(F.col("doc_id"), F.col("text")).alias("key"))
     found = jaccard.near_duplicates(docs.select(row.alias("doc_id"), "text"))
-    keep = written(found.select(F.col("class_id").alias("keep")).distinct(), "keep")
+    chosen = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    keep = written(chosen.select(F.col("doc_id").alias("keep"), "rows"), "keep")
     named = docs.select(*COLUMNS, row.alias("row"))
-    return named.join(keep, F.col("row") == F.col("keep"), "left_semi").dropDuplicates(["row"]).select(COLUMNS)
+    once = lambda some: named.join(some, F.col("row") == F.col("keep"), "left_semi")
+    out, repeated = once(keep.where("rows = 1")).select(COLUMNS), keep.where("rows > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(once(repeated).dropDuplicates(["row"]).select(COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
