@@ -81,6 +81,11 @@ def two_places(x: Column) -> Column:
     return F.format_string("%s", x.cast("decimal(38,12)").cast("decimal(38,2)"))
 
 
+def js_number(x: Column) -> Column:
+    """A number as text, without the decimals of a whole one."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
 def title_style(code: Column) -> Column:
     """struct<background, foreground, hatched> of ``1BBBFFF``."""
     back, fore = F.substring(code, 2, 3).try_cast("int"), F.substring(code, 5, 3).try_cast("int")

@@ -6,6 +6,8 @@ how rows are dealt. Theta joins keep an equi-key (the page) so they plan as hash
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +50,20 @@ def commonest(rows: DataFrame, by: list[str], value: str, order: str) -> DataFra
     return counted.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(*by, value, "n")
 
 
+def same_rect(one: list[Column], other: list[Column], tolerance: int = TITLE_PIXELS) -> Column:
+    """Whether x, y, w and h all differ by the tolerance at most."""
+    return reduce(and_, (F.abs(a - b) <= tolerance for a, b in zip(one, other, strict=True)))
+
+
+def within(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the point lies in the box, edges included."""
+    return x.between(x0, x1) & y.between(y0, y1)
+
+
 def match_rects(strokes: DataFrame, titles: DataFrame, page: list[str], tolerance: int = TITLE_PIXELS) -> DataFrame:
     """Each stroke's first title (by ``ordinal``) whose x, y, w and h all differ by the tolerance at
     most; null without one. Titles carry their sides as t_x, t_y, t_w, t_h."""
-    near = None
-    for side in "xywh":
-        c = F.abs(F.col(side) - F.col(f"t_{side}")) <= tolerance
-        near = c if near is None else near & c
+    near = same_rect([F.col(side) for side in "xywh"], [F.col(f"t_{side}") for side in "xywh"], tolerance)
     found = strokes.join(titles, page, "inner").where(near)
     first = found.groupBy(*page, "stroke_id").agg(F.min_by("title_id", "ordinal").alias("title_id"))
     return strokes.join(first, [*page, "stroke_id"], "left").select(*page, "stroke_id", "title_id")
@@ -62,7 +71,7 @@ def match_rects(strokes: DataFrame, titles: DataFrame, page: list[str], toleranc
 
 def contained(points: DataFrame, rects: DataFrame, page: list[str], share: float = INSIDE) -> DataFrame:
     """Each path's first rectangle (by rect_idx) that holds the share of its points, edges included."""
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    inside = within(F.col("x"), F.col("y"), *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
     counted = points.join(rects, page).groupBy(*page, "path_id", "rect_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(inside.cast("long")).alias("inside"))
     return counted.where(F.try_divide(F.col("inside").cast("double"), F.col("n")) >= share).groupBy(*page, "path_id").agg(F.min("rect_idx").alias("rect_idx"))
 

@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from inkwright.operators.runs import LONG, LONG_BLANK, PALETTE, UNKNOWN
 from inkwright.session import ship
 from inkwright.sources import png
 
+BYTES = ("layers", "total_path")
 INK_LAYERS = ("MAINLAYER", "LAYER1", "LAYER2", "LAYER3")
 
 
@@ -95,6 +97,12 @@ def enlarged(rgba: np.ndarray, factor: float) -> np.ndarray:
     return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
 
 
+def resized(rgba: np.ndarray, width: int, height: int, factor: int) -> np.ndarray:
+    """The nearest pixels of an image of any size, at the size of a page reduced by the factor."""
+    h, w = math.ceil(height / factor), math.ceil(width / factor)
+    return rgba[np.arange(h) * rgba.shape[0] // h][:, np.arange(w) * rgba.shape[1] // w]
+
+
 def page_image(layers: dict[str, bytes | None], seq: list[str], style: str, width: int, height: int, factor: int = 1) -> np.ndarray | None:
     """A page: its layers in their sequence, the last of which lies at the bottom; none without layers."""
     if factor != int(factor) or factor < 1:
@@ -102,34 +110,47 @@ def page_image(layers: dict[str, bytes | None], seq: list[str], style: str, widt
     out = None
     for name in reversed([n for n in seq if layers.get(n)]):
         if name == "BGLAYER" and style.startswith("user_"):
-            now = png.decode(layers[name])[::factor, ::factor]
+            now = resized(png.decode(layers[name]), width, height, factor) if factor > 1 else png.decode(layers[name])
         else:
             now = image(layers[name], width, height, factor)
         out = now if out is None else over(now, out)
     return out
 
 
-def _pages(scale: int, ink: bool):
+def _drawn(scale: int, upscale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for note, no, w, h, style, seq, layers in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                names = ("MAINLAYER", "LAYER1", "LAYER2", "LAYER3", "BGLAYER")
-                found = {n: layer["bitmap"] for n, layer in zip(names, layers, strict=True) if ink or n == "BGLAYER"}
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                row = one.select(["page_w", "page_h", "style", "layer_seq", "layers", "raster_ink"]).to_pylist()[0]
+                names = (*INK_LAYERS, "BGLAYER")
+                found = {n: layer["bitmap"] for n, layer in zip(names, row["layers"], strict=True) if row["raster_ink"] or n == "BGLAYER"}
                 data, error = None, None
                 try:
-                    rgba = page_image(found, seq, style or "0", w, h, scale)
-                    data = None if rgba is None else png.encode(rgba)
+                    rgba = page_image(found, row["layer_seq"], row["style"] or "0", row["page_w"], row["page_h"], scale)
+                    if rgba is not None:
+                        data = png.encode(rgba if upscale == 1 else enlarged(rgba, upscale))
                 except (ValueError, KeyError, IndexError) as e:
                     error = str(e)
-                yield pa.RecordBatch.from_pylist([{"note_id": note, "page_no": no, "png": data, "error": error}], pa.schema([("note_id", pa.string()), ("page_no", pa.int32()), ("png", pa.binary()), ("error", pa.string())]))
+                kept = [i for i, n in enumerate(one.schema.names) if n not in BYTES]
+                yield pa.RecordBatch.from_arrays([*(one.column(i) for i in kept), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=[*(one.schema.names[i] for i in kept), "png", "error"])
 
     return run
 
 
-def page_pngs(pages: DataFrame, scale: int = 1, ink: bool = True) -> DataFrame:
-    """(note_id, page_no, png, error) of pages; ``ink=False`` leaves only the background."""
+def page_pngs(pages: DataFrame, scale: int = 1, upscale: float = 1) -> DataFrame:
+    """Pages with ``png`` and ``error`` in place of their bytes; a page without layers, or whose
+    layers don't decode, has no png. Where a column ``raster_ink`` is false only the background is drawn."""
+    if scale != int(scale) or scale < 1:
+        raise ValueError("scale must be a whole number of 1 or more")
+    if not (upscale >= 1 and math.isfinite(upscale)):
+        raise ValueError("upscale must be a finite number of 1 or more")
     ship(pages.sparkSession)
-    return pages.select("note_id", "page_no", "page_w", "page_h", "style", "layer_seq", "layers").mapInArrow(_pages(scale, ink), "note_id string, page_no int, png binary, error string")
+    if "raster_ink" not in pages.columns:
+        pages = pages.withColumn("raster_ink", F.lit(True))
+    pages = pages.drop("total_path")
+    kept = [f for f in pages.schema.fields if f.name not in BYTES]
+    return pages.mapInArrow(_drawn(scale, upscale), StructType([*kept, StructField("png", BinaryType()), StructField("error", StringType())]))
 
 
 def stitch(tiles: dict[int, bytes], grid: tuple[int, int, int, int]) -> np.ndarray | None:

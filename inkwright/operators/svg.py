@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.functions.text import two_places, xml
+from inkwright.functions.text import js_number, two_places, xml
 
 # Markup whose attributes renderers rely on.
 HEAD = '<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink" '
@@ -17,11 +17,16 @@ def _path(points: Column) -> Column:
     return F.array_join(steps, " ")
 
 
+def open_path(points: Column, colour: Column, width: Column) -> Column:
+    """An array of points as an open line with round ends."""
+    return F.concat(F.lit('<path d="'), _path(points), F.lit('" fill="none" stroke="'), colour, F.lit('" stroke-width="'), width, F.lit(f'" {ROUND}/>'))
+
+
 def stroked_path(points: DataFrame, by: list[str], colour: Column, width: Column) -> DataFrame:
     """Points (``by``, idx, x, y) as one ``element`` each: an open line with round ends."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "x", "y")))
     d = points.groupBy(*by).agg(ordered.alias("_points"))
-    return d.select(*by, F.concat(F.lit('<path d="'), _path(F.col("_points")), F.lit('" fill="none" stroke="'), colour, F.lit('" stroke-width="'), width, F.lit(f'" {ROUND}/>')).alias("element"))
+    return d.select(*by, open_path(F.col("_points"), colour, width).alias("element"))
 
 
 def rect(x: Column, y: Column, w: Column, h: Column, fill: Column) -> Column:
@@ -44,10 +49,18 @@ def hatch(colour: Column) -> Column:
     return F.concat(F.lit('<pattern id="'), hatch_id(colour), F.lit(body), colour, F.lit('" stroke-width="5"/></pattern>'))
 
 
+def primitive(it: Column) -> Column:
+    """What is drawn of one stroke (kind, colour, width, fill, points, rings)."""
+    p0, p1 = F.get(it["points"], F.lit(0)), F.get(it["points"], F.lit(1))
+    paint = F.when(it["fill"] == "hatch", F.concat(F.lit("url(#"), hatch_id(it["colour"]), F.lit(")"))).otherwise(it["colour"])
+    box = rect(F.least(p0["x"], p1["x"]), F.least(p0["y"], p1["y"]), F.abs(p1["x"] - p0["x"]), F.abs(p1["y"] - p0["y"]), paint)
+    line = open_path(it["points"], it["colour"], js_number(it["width"]))
+    return F.when(it["kind"] == "rect", box).when(it["kind"] == "filledPath", filled_path(it["rings"], it["colour"])).otherwise(line)
+
+
 def word(label: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
     """An invisible word, anchored at the lower edge of its box."""
-    number = lambda c: c.cast("string")
-    parts = [F.lit('<text x="'), number(x), F.lit('" y="'), number(y + h), F.lit('" font-size="'), number(h), F.lit('" textLength="'), number(w), F.lit('" lengthAdjust="spacingAndGlyphs" fill="transparent">'), xml(label), F.lit("</text>")]
+    parts = [F.lit('<text x="'), js_number(x), F.lit('" y="'), js_number(y + h), F.lit('" font-size="'), js_number(h), F.lit('" textLength="'), js_number(w), F.lit('" lengthAdjust="spacingAndGlyphs" fill="transparent">'), xml(label), F.lit("</text>")]
     return F.concat(*parts)
 
 

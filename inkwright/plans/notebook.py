@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from inkwright.functions.text import grey_of_rgb, js_round, page_of_key, title_style
+from inkwright.functions.text import data_base64, grey_of_rgb, js_number, page_of_key, repair, title_style
 from inkwright.operators import geometry, paragraphs, render, strokes, svg
+from inkwright.plans import pdf
 from inkwright.session import ship
 from inkwright.sources import container, stroke_log
 
@@ -29,11 +31,30 @@ def page_summary(notes: DataFrame) -> DataFrame:
     return pages.select(*PAGE).join(text, PAGE, "left").join(live, PAGE, "left").select(*PAGE, "text", F.coalesce("live_strokes", F.lit(0)).alias("live_strokes"))
 
 
-def title_rects(notes: DataFrame) -> DataFrame:
-    """Titles with their pages, rectangles and styles."""
-    marks = notes.select("note_id", F.posexplode("marks").alias("ordinal", "m")).where("m.kind = 'title'")
-    side = lambda i: F.get(F.split(F.col("m.values")["TITLERECT"], ","), F.lit(i)).try_cast("int")
-    return marks.select("note_id", page_of_key(F.col("m.key")).alias("page_no"), F.col("ordinal").alias("title_id"), "ordinal", side(0).alias("t_x"), side(1).alias("t_y"), side(2).alias("t_w"), side(3).alias("t_h"), title_style(F.col("m.values")["TITLESTYLE"]).alias("title"))
+TITLE = "struct<x:int,y:int,w:int,h:int,background:int,foreground:int,hatched:boolean>"
+
+
+def pages_with_titles(notes: DataFrame) -> DataFrame:
+    """Pages, each with the ``titles`` (rectangle and style) that its note lists for it; no shuffle."""
+    side = lambda m, i: F.get(F.split(m["values"]["TITLERECT"], ","), F.lit(i)).try_cast("int")
+
+    def title(m):
+        style = title_style(m["values"]["TITLESTYLE"])
+        return F.struct(*(side(m, i) for i in range(4)), style["background"], style["foreground"], style["hatched"]).cast(TITLE)
+
+    found = notes.where("error IS NULL").select("note_id", "page_w", "page_h", "equipment", "marks", F.explode("pages").alias("p"))
+    here = F.filter("marks", lambda m: (m["kind"] == "title") & (page_of_key(m["key"]) == F.col("p.page_no")))
+    return found.select("note_id", "page_w", "page_h", "equipment", F.transform(here, title).alias("titles"), "p.*")
+
+
+def picked(pages: DataFrame, numbers: list[int] | None = None) -> DataFrame:
+    """The pages with these numbers (from 1) in this order, repeats kept, as ``out_no``; all without
+    numbers. A number that a note doesn't have gives no page."""
+    if numbers is None:
+        return pages.withColumn("out_no", F.col("page_no"))
+    wanted = F.array(*[F.lit(int(n)) for n in numbers]).cast("array<int>")
+    places = F.filter(F.transform(wanted, lambda n, i: F.when(n == F.col("page_no"), (i + 1).cast("int"))), lambda i: i.isNotNull())
+    return pages.withColumn("out_no", F.explode(places))
 
 
 def ink_mask(layers: dict[str, bytes | None], w: int, h: int) -> np.ndarray | None:
@@ -58,100 +79,195 @@ def rect_sample(mask: np.ndarray, x0: float, y0: float, x1: float, y1: float) ->
     return len(inked) / (part.shape[0] * part.shape[1]), int(greys[best])
 
 
-def presence(mask: np.ndarray, x: np.ndarray, y: np.ndarray, thickness: int, grey: int) -> float:
-    """The share of sampled points near which the page has ink of about this grey."""
+def ink_sums(mask: np.ndarray, grey: int) -> np.ndarray:
+    """Running sums, over rows and columns, of the pixels with ink of about this grey."""
+    near = (mask[..., 3] > 0) & (abs(mask[..., 0].astype(np.int16) - grey) <= NEAR_GREY)
+    return np.pad(near, ((1, 0), (1, 0))).cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)
+
+
+def presence(sums: np.ndarray, x: np.ndarray, y: np.ndarray, thickness: int) -> float:
+    """The share of sampled points near which the page has that ink."""
     n = len(x)
     if not n:
         return 1.0
-    h, w, _ = mask.shape
+    h, w = sums.shape[0] - 1, sums.shape[1] - 1
     step, r = max(1, n // SAMPLES), max(1, int(np.floor(thickness / 200 + 0.5))) + MARGIN
-    near = (mask[..., 3] > 0) & (abs(mask[..., 0].astype(int) - grey) <= NEAR_GREY)
-    sums = np.pad(near, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
     cx, cy = np.floor(x[::step] + 0.5).astype(int), np.floor(y[::step] + 0.5).astype(int)
     x0, x1, y0, y1 = np.clip(cx - r, 0, w), np.clip(cx + r + 1, 0, w), np.clip(cy - r, 0, h), np.clip(cy + r + 1, 0, h)
     return float(np.mean(sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0] > 0))
 
 
-SEEN = "note_id string, page_no int, stroke_idx int, fill_share double, fill_grey int, presence double, has_mask boolean"
+def grey_under(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> int | None:
+    """The commonest grey of the ink at the points (of equals the first); none without ink there."""
+    h, w, _ = mask.shape
+    cx, cy = np.floor(x + 0.5).astype(int), np.floor(y + 0.5).astype(int)
+    on = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
+    at = mask[cy[on], cx[on]]
+    at = at[at[:, 3] > 0]
+    if not len(at):
+        return None
+    greys, first, n = np.unique(at[:, 0], return_index=True, return_counts=True)
+    return int(greys[np.lexsort((first, -n))[0]])
+
+
+SEEN = stroke_log.STROKE + ", fill_share double, fill_grey int, under_grey int, presences map<int,double>, has_mask boolean, titles array<" + TITLE + ">, page_w int, page_h int"
+_SEEN = pa.schema([("fill_share", pa.float64()), ("fill_grey", pa.int32()), ("under_grey", pa.int32()), ("presences", pa.map_(pa.int32(), pa.float64())), ("has_mask", pa.bool_())])
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("note_id", pa.string()), ("page_no", pa.int32()), ("stroke_idx", pa.int32()), ("fill_share", pa.float64()), ("fill_grey", pa.int32()), ("presence", pa.float64()), ("has_mask", pa.bool_())])
     for batch in batches:
-        for note, no, w, h, layers, log in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for i, (note, no, w, h, layers, log, titles) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)):
             try:
                 mask = ink_mask(dict(zip(render.INK_LAYERS, (x["bitmap"] for x in layers), strict=False)), w, h)
             except ValueError:
                 mask = None
-            rows = []
-            for k, r in stroke_log.records(log):
-                scale = r["screen_height"] / h
-                x, y = w - r["raw_x"] / scale, r["raw_y"] / scale
-                share, grey, there = None, None, 1.0
+            rows, more, sums = [], [], {}
+            for k, r in stroke_log.records(log) if w > 0 and h > 0 else ():
+                x, y = stroke_log.page_points(r, w, h)
+                share = grey = under = None
+                there = {}
                 if mask is not None:
                     if r["kind"] == strokes.RECT and len(x) >= 2:
                         share, grey = rect_sample(mask, min(x[:2]), min(y[:2]), max(x[:2]), max(y[:2]))
-                    there = presence(mask, x, y, r["thickness"], strokes.GREYS.get(r["colour"], r["colour"]))
-                rows.append({"note_id": note, "page_no": no, "stroke_idx": k, "fill_share": share, "fill_grey": grey, "presence": there, "has_mask": mask is not None})
+                    under = grey_under(mask, x, y)
+                    own = strokes.GREYS.get(r["colour"], r["colour"])
+                    for g in {own, under, *(t["foreground"] for t in titles)} - {None}:
+                        if g < 256:  # other numbers are no grey; no ink is like them
+                            if g not in sums:
+                                sums[g] = ink_sums(mask, g)
+                            there[g] = presence(sums[g], x, y, r["thickness"])
+                rows.append(stroke_log.row(note, no, w, h, k, r))
+                more.append({"fill_share": share, "fill_grey": grey, "under_grey": under, "presences": list(there.items()), "has_mask": mask is not None})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                made, seen = pa.RecordBatch.from_pylist(rows, stroke_log.ARROW), pa.RecordBatch.from_pylist(more, _SEEN)
+                again = [batch.column(c).take(pa.array([i] * len(rows))) for c in (6, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*made.columns, *seen.columns, *again], names=[*made.schema.names, *seen.schema.names, "titles", "page_w", "page_h"])
 
 
-def vector_primitives(notes: DataFrame) -> DataFrame:
-    """What is drawn of each page's strokes, in drawing order: (note_id, page_no, z, kind, colour, width, fill, points, rings)."""
+PRIMITIVE = "struct<z:int,kind:string,colour:string,width:double,fill:string,points:array<struct<x:double,y:double>>,rings:array<array<struct<x:double,y:double>>>>"
+
+
+def vector_pages(notes: DataFrame) -> DataFrame:
+    """Pages with strokes: (note_id, page_no, use_vector, primitives in drawing order).
+
+    A page whose ink layers can't be read draws nothing; one whose strokes all turn out hidden
+    keeps its pixels (``use_vector`` false), as do pages without strokes, which have no row.
+    Strokes are decoded once, beside the pixels they are compared with; the rest are expressions
+    over the strokes of a page, which is also the only key anything is shuffled by.
+    """
     ship(notes.sparkSession)
-    pages = container.pages(notes)
-    ink = strokes.live(strokes.ink(stroke_log.strokes(pages), include_erasers=True))
-    seen = pages.select(*PAGE, "page_w", "page_h", "layers", "total_path").mapInArrow(_seen, SEEN)
-    ink = ink.join(seen, [*PAGE, "stroke_idx"])
+    pages = pages_with_titles(notes).where("total_path IS NOT NULL").select(*PAGE, "page_w", "page_h", "layers", "total_path", "titles")
+    ink = strokes.ink(pages.mapInArrow(_seen, SEEN), include_erasers=True)
     two = F.col("is_rect") & (F.size("points") >= 2) & ~F.col("is_eraser")
-    ends = lambda f, pick: pick(F.col("points")[0][f], F.col("points")[1][f])
-    rects = ink.where(two).select(*PAGE, F.col("stroke_idx").alias("stroke_id"), *[js_round(x).alias(n) for n, x in (("x", ends("x", F.least)), ("y", ends("y", F.least)), ("w", F.abs(F.col("points")[0]["x"] - F.col("points")[1]["x"])), ("h", F.abs(F.col("points")[0]["y"] - F.col("points")[1]["y"])))])
-    titles = title_rects(notes)
-    named = geometry.match_rects(rects, titles, PAGE).join(titles.select(*PAGE, "title_id", "title"), [*PAGE, "title_id"]).select(*PAGE, F.col("stroke_id").alias("stroke_idx"), "title")
-    ink = ink.join(named, [*PAGE, "stroke_idx"], "left")
-    grey = F.when(two & F.col("title").isNotNull(), F.col("title.background")).when(two, F.col("fill_grey")).when(F.col("is_eraser"), 255).otherwise(F.col("grey"))
-    fill = F.when(two & F.col("title").isNotNull(), F.when(F.col("title.hatched"), "hatch").otherwise("solid")).when(two & F.col("has_mask"), geometry.fill_kind(F.col("fill_share"))).when(two, "skip")
-    hidden = ~two & ~F.col("is_eraser") & F.col("has_mask") & (F.col("presence") < HIDDEN)
+    p0, p1 = F.get("points", F.lit(0)), F.get("points", F.lit(1))
+    x, y, w, h = F.least(p0["x"], p1["x"]), F.least(p0["y"], p1["y"]), F.abs(p0["x"] - p1["x"]), F.abs(p0["y"] - p1["y"])
+    title = F.when(two, F.get(F.filter("titles", lambda t: geometry.same_rect([x, y, w, h], [t["x"], t["y"], t["w"], t["h"]])), F.lit(0)))
+    ink = ink.withColumn("title", title)
+    named = F.col("title").isNotNull()
+    fill = F.when(two & named, F.when(F.col("title.hatched"), "hatch").otherwise("solid")).when(two, geometry.fill_kind(F.col("fill_share")))
+    shape = F.when(~F.col("has_mask") | (fill == "skip"), "skip").when(two, "rect").otherwise("path")
+    ink = ink.withColumns({"fill": fill, "shape": shape})
+
+    # labels on a heading take its text colour, or else the colour of the ink under them
+    box = F.struct("stroke_idx", F.greatest(F.lit(0.0), F.floor(x)).alias("x0"), F.greatest(F.lit(0.0), F.floor(y)).alias("y0"), F.least(F.col("page_w") - 1, F.ceil(x + w)).alias("x1"), F.least(F.col("page_h") - 1, F.ceil(y + h)).alias("y1"), "title")
+    ink = ink.withColumn("rects", F.array_sort(F.collect_list(F.when(F.col("shape") == "rect", box)).over(W.partitionBy(*PAGE))))
+    inside = lambda r: F.size(F.filter("points", lambda p: geometry.within(p["x"], p["y"], r["x0"], r["y0"], r["x1"], r["y1"])))
+    heading = F.get(F.filter("rects", lambda r: F.try_divide(inside(r).cast("double"), F.size("points")) >= geometry.INSIDE), F.lit(0))
+    path = (F.col("shape") == "path") & ~F.col("is_eraser")
+    ink = ink.withColumn("heading", F.when(path & (F.size("rects") > 0), heading)).drop("rects")
+    grey = F.when(two, F.coalesce(F.col("title.background"), "fill_grey")).when(F.col("is_eraser"), 255).when(F.col("heading").isNotNull(), F.coalesce(F.col("heading.title.foreground"), "under_grey", "grey")).otherwise(F.col("grey"))
+    ink = ink.withColumn("shown_grey", grey)
+    unseen = (F.size("points") > 0) & (F.coalesce(F.try_element_at("presences", F.col("shown_grey")), F.lit(0.0)) < HIDDEN)
+    hidden = path & ((F.coalesce("trail_status", F.lit(0)) != 0) | unseen)
+    ink = ink.withColumn("shape", F.when(hidden, "skip").otherwise(F.col("shape")))
+
     rings = F.filter(F.coalesce("contour", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda r: F.size(r) >= 3)
     cross = lambda r: F.aggregate(F.transform(r, lambda p, i: p["x"] * F.get(r, (i + 1) % F.size(r))["y"] - F.get(r, (i + 1) % F.size(r))["x"] * p["y"]), F.lit(0.0), lambda a, c: a + c)
     area = F.abs(F.aggregate(F.transform("rings", cross), F.lit(0.0), lambda a, c: a + c)) / 2
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("points") - 1, F.lit(1))), lambda i: F.hypot(F.get(F.col("points"), i)["x"] - F.get(F.col("points"), i - 1)["x"], F.get(F.col("points"), i)["y"] - F.get(F.col("points"), i - 1)["y"]))
-    length = F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.coalesce(s, F.lit(0.0)))
-    made = ink.where(~hidden).withColumns({"colour_grey": grey, "fill": fill, "rings": rings}).where(F.coalesce(F.col("fill") != "skip", F.lit(True)))
-    made = made.withColumn("shape", F.when(two, "rect").when(F.size("rings") > 0, "filledPath").when(F.size("points") > 0, "strokedPath")).where("shape IS NOT NULL")
-    made = made.withColumns({"width": geometry.render_width(F.col("thickness"), area, length), "colour": F.format_string("rgb(%d,%d,%d)", "colour_grey", "colour_grey", "colour_grey")})
-    every = F.concat(F.col("points"), F.flatten("rings"))
-    side = lambda f, agg: agg(F.transform(every, lambda p: p[f]))
-    boxed = made.select(*PAGE, F.col("stroke_idx").alias("idx"), grey_of_rgb(F.col("colour")).alias("grey"), "shape", "pen_name", side("x", F.array_min).alias("x0"), side("x", F.array_max).alias("x1"), side("y", F.array_min).alias("y0"), side("y", F.array_max).alias("y1")).where("shape <> 'rect'")
+    steps = F.zip_with("points", F.slice("points", F.lit(2), F.size("points")), lambda a, b: F.coalesce(F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0)))
+    length = F.aggregate(steps, F.lit(0.0), lambda a, s: a + s)
+    made = ink.withColumn("rings", rings)
+    kind = F.when(F.col("shape") == "rect", "rect").when(F.col("shape") == "path", F.when(F.size("rings") > 0, "filledPath").when(F.size("points") > 0, "strokedPath"))
+    colour = F.format_string("rgb(%d,%d,%d)", "shown_grey", "shown_grey", "shown_grey")
+    made = made.withColumns({"kind": kind, "width": geometry.render_width(F.col("thickness"), area, length), "colour": colour})
+
+    outline = F.when(F.size("points") > 0, F.col("points")).otherwise(F.flatten("contour"))
+    side = lambda f, agg: agg(F.transform(outline, lambda p: p[f]))
+    boxed = made.where("shape = 'path'").select(*PAGE, F.col("stroke_idx").alias("idx"), grey_of_rgb(F.col("colour")).alias("grey"), "pen_name", side("x", F.array_min).alias("x0"), side("x", F.array_max).alias("x1"), side("y", F.array_min).alias("y0"), side("y", F.array_max).alias("y1"))
     high = geometry.highlighters(boxed, PAGE).where("pen_name = 'marker'").select(*PAGE, F.col("idx").alias("stroke_idx"), F.lit(True).alias("high"))
-    bucket = F.when(F.col("shape") == "rect", 0).when(F.col("high"), 1).otherwise(2)
-    made = made.join(high, [*PAGE, "stroke_idx"], "left").withColumn("idx", F.col("stroke_idx"))
-    return geometry.draw_order(made, PAGE, bucket).select(*PAGE, "z", F.col("shape").alias("kind"), "colour", "width", "fill", "points", "rings")
-
-
-def svg_pages(notes: DataFrame) -> DataFrame:
-    """(note_id, page_no, svg): background image, strokes in drawing order, invisible words."""
-    p, r = F.col("points"), F.col("rings")
-    lo, hi = (lambda f: F.least(p[0][f], p[1][f])), (lambda f: F.greatest(p[0][f], p[1][f]))
-    path = F.array_join(F.transform(p, lambda q, i: F.concat(F.when(i == 0, "M").otherwise("L"), svg.two_places(q["x"]), F.lit(","), svg.two_places(q["y"]))), " ")
-    stroked = F.concat(F.lit('<path d="'), path, F.lit('" fill="none" stroke="'), F.col("colour"), F.lit('" stroke-width="'), F.col("width").cast("string"), F.lit(f'" {svg.ROUND}/>'))
-    paint = F.when(F.col("fill") == "hatch", F.concat(F.lit("url(#"), svg.hatch_id(F.col("colour")), F.lit(")"))).otherwise(F.col("colour"))
-    drawn = F.when(F.col("kind") == "rect", svg.rect(lo("x"), lo("y"), hi("x") - lo("x"), hi("y") - lo("y"), paint)).when(F.col("kind") == "filledPath", svg.filled_path(r, F.col("colour"))).otherwise(stroked)
-    made = vector_primitives(notes)
-    defs = made.where("fill = 'hatch'").groupBy(*PAGE, "colour").agg(F.min("z").alias("z")).select(*PAGE, F.col("z") - 2_000_000, F.concat(F.lit("<defs>"), svg.hatch(F.col("colour")), F.lit("</defs>")))
-    pages = container.pages(notes)
-    images = render.page_pngs(pages, ink=False).where("png IS NOT NULL").select(*PAGE, F.lit(-1_000_000), F.concat(F.lit('<image x="0" y="0" width="100%" height="100%" xlink:href="data:image/png;base64,'), F.regexp_replace(F.base64("png"), "[\\r\\n]", ""), F.lit('"/>')))
+    bucket = F.when(F.col("kind") == "rect", 0).when(F.col("high"), 1).otherwise(2)
+    made = made.join(high, [*PAGE, "stroke_idx"], "left").withColumn("order", F.struct(bucket.alias("bucket"), "stroke_idx"))
+    drawn = F.struct("order", F.struct(F.lit(0), "kind", "colour", "width", "fill", "points", "rings").cast(PRIMITIVE).alias("it"))
+    out = made.groupBy(*PAGE).agg(F.max((F.col("shape") != "skip") | ~F.col("has_mask")).alias("use_vector"), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), drawn)), lambda a, b: F.when(a["order"] < b["order"], -1).otherwise(1)).alias("found"))
+    numbered = F.transform("found", lambda f, i: f["it"].withField("z", (i + 1).cast("int")))
+    return out.select(*PAGE, "use_vector", F.when(F.col("use_vector"), numbered).otherwise(F.array().cast(f"array<{PRIMITIVE}>")).alias("primitives"))
+
+
+def vector_primitives(notes: DataFrame) -> DataFrame:
+    """What is drawn of each page's strokes, in drawing order: (note_id, page_no, z, kind, colour, width, fill, points, rings)."""
+    return vector_pages(notes).select(*PAGE, F.explode("primitives").alias("it")).select(*PAGE, "it.*")
+
+
+WORDS = "array<struct<label:string,x:double,y:double,w:double,h:double>>"
+
+
+def page_words(upscale: float = 1) -> Column:
+    """The recognized words of a page with their boxes in pixels of the drawn page."""
     canvas = F.when(F.col("equipment").isNull() | F.col("equipment").isin("", "A5X"), 1920.0).otherwise(F.col("page_w"))
-    scales = pages.select(*PAGE, (F.col("page_w") * F.lit(11.9) / canvas).alias("scale"))
-    words = container.elements(pages).where("type = 'Text'").select(*PAGE, "elem_idx", F.posexplode("words").alias("i", "w")).where("w.box IS NOT NULL AND w.label <> ''").join(scales, PAGE)
-    from inkwright.functions.text import repair
-
-    box = lambda f: F.col(f"w.box.{f}") * F.col("scale")
-    said = words.select(*PAGE, (F.col("elem_idx") * 100_000 + F.col("i") + 1_000_000_000), svg.word(F.coalesce(repair(F.col("w.label")), F.col("w.label")), box("x"), box("y"), box("width"), box("height")))
-    parts = made.select(*PAGE, F.col("z").cast("long"), drawn).union(defs).union(images).union(said).toDF(*PAGE, "z", "element")
-    sizes = pages.select(*PAGE, "page_w", "page_h")
-    body = parts.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "element"))), lambda e: e["element"]), "").alias("body"))
-    w, h = F.col("page_w").cast("string"), F.col("page_h").cast("string")
-    head = F.concat(F.lit(svg.HEAD + 'width="'), w, F.lit('" height="'), h, F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('">'))
-    return sizes.join(body, PAGE, "left").select(*PAGE, F.concat(head, F.coalesce("body", F.lit("")), F.lit("</svg>")).alias("svg"))
+    scale = F.rint(F.col("page_w") * F.lit(float(upscale))) * F.lit(11.9) / canvas
+    found = F.filter(F.from_json("elements", container.ELEMENTS), lambda e: e["type"] == "Text")
+    words = F.flatten(F.transform(found, lambda e: F.coalesce(e["words"], F.array().cast(container.WORDS))))
+
+    def word(w):
+        box = w["bounding-box"]
+        return F.struct(F.coalesce(repair(w["label"]), w["label"]).alias("label"), *((box[f] * scale).alias(n) for f, n in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))))
+
+    boxed = F.filter(words, lambda w: w["bounding-box"].isNotNull() & (w["label"] != ""))
+    return F.coalesce(F.transform(boxed, word), F.array().cast(WORDS))
+
+
+def _scaled(primitives: Column, upscale: float) -> Column:
+    if upscale == 1:
+        return primitives
+    k = F.lit(float(upscale))
+    grown = lambda points: F.transform(points, lambda p: F.struct((p["x"] * k).alias("x"), (p["y"] * k).alias("y")))
+    return F.transform(primitives, lambda p: p.withField("width", p["width"] * k).withField("points", grown(p["points"])).withField("rings", F.transform(p["rings"], grown)))
+
+
+def drawn_pages(notes: DataFrame, numbers: list[int] | None = None, upscale: float = 1, vector_ink: bool = False, images: bool = True) -> DataFrame:
+    """The pages an export needs: (note_id, page_no, out_no, w, h, png, error, words, primitives).
+
+    With ``vector_ink`` the pages whose strokes can stand for their ink lose it from the image."""
+    pages = picked(container.pages(notes), numbers)
+    none = F.array().cast(f"array<{PRIMITIVE}>")
+    if vector_ink:
+        pages = pages.join(vector_pages(notes), PAGE, "left").withColumns({"raster_ink": ~F.coalesce("use_vector", F.lit(False)), "primitives": F.coalesce("primitives", none)})
+    else:
+        pages = pages.withColumns({"raster_ink": F.lit(True), "primitives": none})
+    size = [F.rint(F.col(c) * F.lit(float(upscale))).cast("int").alias(n) for c, n in (("page_w", "w"), ("page_h", "h"))]
+    pages = pages.select(*PAGE, "out_no", "page_w", "page_h", *size, "style", "layer_seq", "layers", "raster_ink", page_words(upscale).alias("words"), _scaled(F.col("primitives"), upscale).alias("primitives"))
+    if not images:
+        return pages.select(*PAGE, "out_no", "w", "h", F.lit(None).cast("binary").alias("png"), F.lit(None).cast("string").alias("error"), "words", "primitives")
+    return render.page_pngs(pages, upscale=upscale).select(*PAGE, "out_no", "w", "h", "png", "error", "words", "primitives")
+
+
+def svg_pages(notes: DataFrame, numbers: list[int] | None = None, dpi: float | None = None, include_text: bool = True, upscale: float = 1, vector_ink: bool = False) -> DataFrame:
+    """(note_id, page_no, out_no, svg): the page's image, its strokes in drawing order, invisible words.
+
+    A page that can't be drawn has no image. ``dpi`` gives sizes in inches, the same at any upscale."""
+    pages = drawn_pages(notes, numbers, upscale, vector_ink)
+    hatched = F.array_distinct(F.transform(F.filter("primitives", lambda p: (p["kind"] == "rect") & (p["fill"] == "hatch")), lambda p: p["colour"]))
+    defs = F.when(F.size(hatched) > 0, F.concat(F.lit("<defs>"), F.array_join(F.transform(hatched, svg.hatch), ""), F.lit("</defs>"))).otherwise("")
+    w, h = js_number(F.col("w")), js_number(F.col("h"))
+    size = (lambda c: F.concat(js_number(F.col(c) / F.lit(float(dpi) * upscale)), F.lit("in"))) if dpi else (lambda c: js_number(F.col(c)))
+    image = F.concat(F.lit('<image x="0" y="0" width="'), w, F.lit('" height="'), h, F.lit('" xlink:href="data:image/png;base64,'), data_base64(F.col("png")), F.lit('"/>'))
+    words = F.array_join(F.transform("words", lambda v: svg.word(v["label"], v["x"], v["y"], v["w"], v["h"])), "") if include_text else F.lit("")
+    strokes_ = F.array_join(F.transform("primitives", svg.primitive), "")
+    head = [F.lit(svg.HEAD + 'width="'), size("w"), F.lit('" height="'), size("h"), F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('">')]
+    return pages.select(*PAGE, "out_no", F.concat(*head, defs, F.coalesce(image, F.lit("")), strokes_, words, F.lit("</svg>")).alias("svg"))
+
+
+def pdf_documents(notes: DataFrame, numbers: list[int] | None = None, dpi: float = 300, upscale: float = 1, vector_ink: bool = False, text_only: bool = False) -> DataFrame:
+    """(note_id, pdf): a searchable document a note; ``text_only`` writes the words alone."""
+    pages = drawn_pages(notes, numbers, upscale, vector_ink and not text_only, images=not text_only)
+    return pdf.documents(pages.select("note_id", F.col("out_no").alias("page_no"), F.col("w").alias("page_w"), F.col("h").alias("page_h"), "png", "words", "primitives"), dpi)

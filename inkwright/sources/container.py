@@ -27,6 +27,8 @@ HEADER_AT = 24
 PORTRAIT, LARGE, LARGE_DEVICE = (1404, 1872), (1920, 2560), "N5"
 CROSSWISE = {"1090", "1270"}
 TITLE_STYLE = "1000254"
+WORDS = "array<struct<label:string,`bounding-box`:struct<x:double,y:double,width:double,height:double>>>"
+ELEMENTS = f"array<struct<type:string,label:string,words:{WORDS}>>"
 
 
 class Broken(ValueError):
@@ -172,8 +174,7 @@ def pages(found: DataFrame) -> DataFrame:
 
 def elements(page_rows: DataFrame) -> DataFrame:
     """Recognized elements (note_id, page_no, elem_idx, type, label, words)."""
-    kind = "array<struct<type:string,label:string,words:array<struct<label:string,`bounding-box`:struct<x:double,y:double,width:double,height:double>>>>>"
-    out = page_rows.select("note_id", "page_no", F.posexplode(F.from_json("elements", kind)).alias("elem_idx", "e"))
+    out = page_rows.select("note_id", "page_no", F.posexplode(F.from_json("elements", ELEMENTS)).alias("elem_idx", "e"))
     words = F.transform("e.words", lambda w: F.struct(w["label"].alias("label"), w["bounding-box"].alias("box")))
     return out.select("note_id", "page_no", "elem_idx", F.col("e.type").alias("type"), F.col("e.label").alias("label"), words.alias("words"))
 

@@ -102,17 +102,27 @@ def _points(x: np.ndarray, y: np.ndarray) -> list[dict]:
     return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)]
 
 
+ARROW = pa.schema([("note_id", pa.string()), ("page_no", pa.int32()), ("stroke_idx", pa.int32()), *((c, pa.int64()) for c in ("pen", "colour", "thickness")), ("record_class", pa.int32()), ("kind", pa.string()), ("trail_status", pa.int32()), ("points", pa.list_(_POINT)), ("contour", pa.list_(pa.list_(_POINT)))])
+
+
+def page_points(r: dict, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """A record's points in page pixels: x runs from the right edge."""
+    scale = r["screen_height"] / h
+    return w - r["raw_x"] / scale, r["raw_y"] / scale
+
+
+def row(note: str, no: int, w: int, h: int, k: int, r: dict) -> dict:
+    contour = None if r["rings"] is None else [_points(ring[:, 0].astype(float), ring[:, 1].astype(float)) for ring in r["rings"]]
+    same = {c: r[c] for c in ("pen", "colour", "thickness", "record_class", "kind", "trail_status")}
+    return same | {"note_id": note, "page_no": no, "stroke_idx": k, "points": _points(*page_points(r, w, h)), "contour": contour}
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("note_id", pa.string()), ("page_no", pa.int32()), ("stroke_idx", pa.int32()), *((c, pa.int64()) for c in ("pen", "colour", "thickness")), ("record_class", pa.int32()), ("kind", pa.string()), ("trail_status", pa.int32()), ("points", pa.list_(_POINT)), ("contour", pa.list_(pa.list_(_POINT)))])
     for batch in batches:
         for note, no, w, h, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            rows = []
-            for k, r in records(data) if w > 0 and h > 0 else ():
-                scale = r["screen_height"] / h
-                contour = None if r["rings"] is None else [_points(ring[:, 0].astype(float), ring[:, 1].astype(float)) for ring in r["rings"]]
-                rows.append({c: r[c] for c in ("pen", "colour", "thickness", "record_class", "kind", "trail_status")} | {"note_id": note, "page_no": no, "stroke_idx": k, "points": _points(w - r["raw_x"] / scale, r["raw_y"] / scale), "contour": contour})
+            rows = [row(note, no, w, h, k, r) for k, r in (records(data) if w > 0 and h > 0 else ())]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
 def strokes(pages: DataFrame) -> DataFrame:

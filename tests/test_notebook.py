@@ -168,38 +168,139 @@ def test_paragraph_example(spark):
     assert [r["text"] for r in paragraphs.visual_lines(pieces, ["page"]).orderBy("line_no").collect()] == ["a b", "c"]
 
 
-def test_vector_primitives_and_svg(spark):
+CLEAR = 0x62
+
+
+def painted(boxes):
+    """A page's bitmap with boxes (x0, y0, x1, y1, code), edges included."""
+    px = np.full((H, W), CLEAR, np.uint8)
+    for x0, y0, x1, y1, code in boxes:
+        px[y0 : y1 + 1, x0 : x1 + 1] = code
+    flat = px.ravel()
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1, [len(flat)]])
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        left = int(b - a)
+        while left >= 0x4000:
+            out.append((int(flat[a]), 255))
+            left -= 0x4000
+        while left:
+            n = min(left, 128)
+            out.append((int(flat[a]), n - 1))
+            left -= n
+    return rle(out)
+
+
+def drawn_note():
+    """Page 1: headings, marker, hidden and erased strokes; 2: ink without strokes; 3: strokes
+    without ink layers; 4: strokes that the page doesn't show."""
     note = Note()
     note.header(APPLY_EQUIPMENT="A5X")
     x = lambda v: W - v  # noqa: E731  x runs from the right edge
     ink = [
         stroke([(x(10), 10), (x(100), 10)], colour=0),
         stroke([(x(5), 5), (x(120), 20)], pen=11, colour=201),
+        stroke([(x(310), 310), (x(330), 320)], colour=0),  # a heading's label: takes its text colour
         stroke([(x(300), 300), (x(340), 330)], kind="0001"),
         stroke([(x(700), 700), (x(800), 700)], colour=157, status=-3),
         stroke([], rings=[[(0, 0), (10, 0), (10, 10)]], colour=0),
         stroke([(x(50), 900), (x(60), 900)], colour=255),
+        stroke([(x(400), 1200), (x(500), 1200)], colour=0),  # nothing of it is on the page
+        stroke([(x(600), 600), (x(640), 640)], kind="0001"),  # no title, a quarter inked
+        stroke([(x(610), 605), (x(630), 605)], colour=0),  # in it: takes the colour of the ink there
+        stroke([(x(600), 1600), (x(640), 1640)], kind="0001"),  # no title, no ink
     ]
-    note.page(1, [{"type": "Text", "label": "a<b", "words": [word("a<b", 1, 1, 2, 2)]}], ink, {"BGLAYER": blank(W, H)})
+    text = [{"type": "Text", "label": "a<b", "words": [word("a<b", 1, 1, 2, 2)]}]
+    main = painted([(8, 8, 102, 12, 0x61), (60, 10, 120, 22, 0x64), (305, 305, 335, 325, 0x65), (600, 600, 640, 610, 0x63)])
+    note.page(1, text, ink, {"MAINLAYER": main, "BGLAYER": blank(W, H)})
+    note.page(2, text, None, {"MAINLAYER": main, "BGLAYER": blank(W, H)})
+    note.page(3, None, [stroke([(x(10), 10), (x(100), 10)])], {"BGLAYER": blank(W, H)})
+    note.page(4, None, [stroke([(x(10), 1510), (x(100), 1510)])], {"MAINLAYER": main, "BGLAYER": blank(W, H)})
     note.footer.append(("TITLE_000103000300", note.kv([("TITLERECT", "301,300,40,31"), ("TITLESTYLE", "1157254")])))
-    notes = container.notes(files(spark, a=note.bytes()))
-    rows = notebook.vector_primitives(notes).orderBy("z").collect()
-    assert [r["kind"] for r in rows] == ["rect", "strokedPath", "strokedPath", "filledPath", "strokedPath"]
-    assert rows[0]["colour"] == "rgb(157,157,157)" and rows[0]["fill"] == "solid"
-    assert rows[1]["colour"] == "rgb(201,201,201)"  # the marker lies under the ink
-    (page,) = notebook.svg_pages(notes).collect()
-    assert page["svg"].startswith("<svg ") and "a&lt;b" in page["svg"] and page["svg"].count("<path") == 4
+    return note.bytes()
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    return container.notes(files(spark, a=drawn_note()))
+
+
+def test_vector_primitives(drawn):
+    rows = notebook.vector_primitives(drawn).where("page_no = 1").orderBy("z").collect()
+    assert [(r["kind"], r["colour"], r["fill"]) for r in rows] == [
+        ("rect", "rgb(157,157,157)", "solid"),
+        ("rect", "rgb(128,128,128)", "hatch"),
+        ("strokedPath", "rgb(201,201,201)", None),  # the marker lies under the ink
+        ("strokedPath", "rgb(0,0,0)", None),
+        ("strokedPath", "rgb(254,254,254)", None),
+        ("filledPath", "rgb(0,0,0)", None),
+        ("strokedPath", "rgb(255,255,255)", None),
+        ("strokedPath", "rgb(128,128,128)", None),
+    ]
+    assert [r["z"] for r in rows] == list(range(1, 9)) and rows[3]["width"] == 4
+
+
+def test_pages_that_keep_their_pixels(drawn):
+    rows = {r["page_no"]: r for r in notebook.vector_pages(drawn).collect()}
+    assert {k: (r["use_vector"], len(r["primitives"])) for k, r in rows.items()} == {1: (True, 8), 3: (True, 0), 4: (False, 0)}
+    pages = {r["page_no"]: r for r in notebook.drawn_pages(drawn, vector_ink=True).collect()}
+    inked = {k: bool((png.decode(r["png"])[..., 3] > 0).any()) for k, r in pages.items()}
+    assert inked == {1: False, 2: True, 3: False, 4: True}
+    assert all((png.decode(r["png"])[..., 3] > 0).any() == (r["page_no"] != 3) for r in notebook.drawn_pages(drawn).collect())
+
+
+def test_svg(drawn):
     import xml.dom.minidom
 
-    xml.dom.minidom.parseString(page["svg"])
+    rows = notebook.svg_pages(drawn, [2, 1, 2, 9], vector_ink=True).orderBy("out_no").collect()
+    assert [(r["out_no"], r["page_no"]) for r in rows] == [(1, 2), (2, 1), (3, 2)]
+    page = rows[1]["svg"]
+    assert page.startswith("<svg ") and "a&lt;b" in page and page.count("<path") == 6 and page.count("<pattern") == 1
+    assert f'viewBox="0 0 {W} {H}"' in page and "M10.00,10.00 L100.00,10.00" in page and 'stroke-width="4"' in page
+    xml.dom.minidom.parseString(page)
+    (plain,) = notebook.svg_pages(drawn, [1], dpi=100, include_text=False).collect()
+    assert "<path" not in plain["svg"] and "<text" not in plain["svg"] and 'width="14.04in"' in plain["svg"]
+    (large,) = notebook.svg_pages(drawn, [1], dpi=100, upscale=1.5, vector_ink=True).collect()
+    assert 'width="14.04in"' in large["svg"] and 'viewBox="0 0 2106 2808"' in large["svg"] and "M15.00,15.00 L150.00,15.00" in large["svg"] and 'stroke-width="6"' in large["svg"]
+
+
+def streams(data):
+    return [zlib.decompress(s) for s in re.findall(rb"stream\n(.*?)\nendstream", bytes(data), re.S)]
+
+
+def test_pdf_documents(drawn):
+    (row,) = notebook.pdf_documents(drawn, [1, 2], vector_ink=True).collect()
+    first = [s for s in streams(row["pdf"]) if b"BT 3 Tr" in s][0]
+    assert b"/Im Do" in first and b"(a<b) Tj" in first and first.count(b" re f") == 2 and b"10.00 10.00 m 100.00 10.00 l S" in first
+    (row,) = notebook.pdf_documents(drawn, text_only=True).collect()
+    assert b"/Im" not in row["pdf"] and bytes(row["pdf"]).count(b"/Type /Page ") == 4 and len(row["pdf"]) < 4000
+
+
+def test_hatch_stays_in_its_rectangle():
+    ops = b" ".join(pdf.hatch_ops(10, 20, 50, 30, b"0 0 0"))
+    ends = [tuple(map(float, m)) for m in re.findall(rb"(\S+) (\S+) m (\S+) (\S+) l S", ops)]
+    assert len(ends) >= 5 and all(10 <= min(x0, x1) and max(x0, x1) <= 60 and 20 <= y0 < y1 <= 50 and abs((x1 - x0) - (y1 - y0)) < 0.02 for x0, y0, x1, y1 in ends)
+    assert pdf.advance("Ab é") == 667 + 556 + 278 + 556
+
+
+def test_page_options(drawn):
+    pages = container.pages(drawn)
+    for bad in ({"scale": 0}, {"scale": 1.5}, {"upscale": 0.5}, {"upscale": float("nan")}):
+        with pytest.raises(ValueError):
+            render.page_pngs(pages, **bad)
+    (small,) = render.page_pngs(pages.where("page_no = 2"), scale=10).collect()
+    assert png.decode(small["png"]).shape == (188, 141, 4) and small["error"] is None
+    assert render.resized(np.arange(24, dtype=np.uint8).reshape(2, 3, 4), 7, 5, 2).shape == (3, 4, 4)
 
 
 def test_presence_and_samples():
     mask = np.zeros((50, 50, 4), np.uint8)
     mask[10, 5:40] = (0, 0, 0, 255)
     line = np.arange(5, 40).astype(float)
-    assert notebook.presence(mask, line, np.full(35, 10.0), 400, 0) == 1 and notebook.presence(mask, line, np.full(35, 40.0), 400, 0) == 0
-    assert notebook.presence(mask, line, np.full(35, 10.0), 400, 201) == 0 and notebook.presence(mask, line[:0], line[:0], 400, 0) == 1
+    black, light = notebook.ink_sums(mask, 0), notebook.ink_sums(mask, 201)
+    assert notebook.presence(black, line, np.full(35, 10.0), 400) == 1 and notebook.presence(black, line, np.full(35, 40.0), 400) == 0
+    assert notebook.presence(light, line, np.full(35, 10.0), 400) == 0 and notebook.presence(black, line[:0], line[:0], 400) == 1
+    assert notebook.grey_under(mask, line, np.full(35, 10.0)) == 0 and notebook.grey_under(mask, line - 99, np.full(35, 10.0)) is None
     assert notebook.rect_sample(mask, 5, 10, 9, 10) == (1.0, 0) and notebook.rect_sample(mask, 5, 10, 9, 19)[0] == 0.1
 
 
