@@ -72,6 +72,6 @@ def element_lines(elements: DataFrame, page: list[str]) -> DataFrame:
         boxes.groupBy(*page, "elem_idx", "_line")
         .agg(F.first(F.trim(label)).alias("text"), F.min(box("x")).alias("x"), F.min(box("y")).alias("top"), F.max(box("y") + box("height")).alias("bottom"))
         .where(F.col("text") != "")
-        .withColumn("ordinal", F.col("elem_idx") * 100000 + F.col("_line"))
+        .withColumn("ordinal", F.col("elem_idx").cast("long") * 100000 + F.col("_line"))
         .drop("elem_idx", "_line")
     )

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,9 +18,12 @@ from pyspark.sql.window import Window as W
 from inkwright.functions import text as T
 from inkwright.operators import geometry as G
 from inkwright.operators import paragraphs as P
+from inkwright.operators import render
 from inkwright.operators import runs as R
 from inkwright.operators import strokes as S
-from inkwright.session import table
+from inkwright.plans import notebook
+from inkwright.session import ship, table
+from inkwright.sources import container, png, tiles, writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,9 +150,12 @@ def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.visual_lines(fragments(spark, sf_dir), ["page"])
 
 
+PARAGRAPH_SQL = """a AS (SELECT *, lag(bottom) OVER w AS prev, avg(bottom - top) OVER (PARTITION BY page ORDER BY top, line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS scale FROM l WINDOW w AS (PARTITION BY page ORDER BY top, line_no)),
+b AS (SELECT *, CASE WHEN prev IS NULL THEN '' WHEN top - prev > scale THEN chr(10) || chr(10) ELSE ' ' END AS lead FROM a)"""
+
+
 @query(f"""WITH {LINES_SQL},
-a AS (SELECT *, lag(bottom) OVER w AS prev, avg(bottom - top) OVER (PARTITION BY page ORDER BY top, line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS scale FROM l WINDOW w AS (PARTITION BY page ORDER BY top, line_no)),
-b AS (SELECT *, CASE WHEN prev IS NULL THEN '' WHEN top - prev > scale THEN chr(10) || chr(10) ELSE ' ' END AS lead FROM a)
+{PARAGRAPH_SQL}
 SELECT page, string_agg(lead || text, '' ORDER BY top, line_no) AS text, (sum(CASE WHEN length(lead) = 2 THEN 1 ELSE 0 END) + 1)::BIGINT AS paragraphs, count(*) AS lines FROM b GROUP BY page""")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments to visual lines to paragraphs, one text a page."""
@@ -407,3 +415,75 @@ def svg_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("page"))
     paths = stroked_path(points(spark, sf_dir), ["path"], F.lit("rgb(0,0,0)"), F.lit("4"))
     return page(paths.join(owner, "path").select("page", F.col("path").alias("z"), "element"), ["page"], 400, 300)
+
+
+# Round trips through files
+
+
+@query(f"""WITH e AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id % 3) AS no FROM events),
+{LINES_SQL.replace("user_id AS page", "{'n': user_id, 'p': no} AS page").replace("FROM events", "FROM e")},
+{PARAGRAPH_SQL},
+t AS (SELECT page, string_agg(lead || text, '' ORDER BY top, line_no) AS text FROM b GROUP BY page),
+s AS (SELECT {{'n': user_id, 'p': no}} AS page, sum(CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 5 <> 0 THEN 1 ELSE 0 END)::BIGINT AS live_strokes FROM e GROUP BY ALL)
+SELECT page.n::VARCHAR AS note_id, page.p::INT AS page_no, text, live_strokes FROM t JOIN s USING (page)""")
+def note_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a notebook file of up to three pages, read back: text and live strokes of each page."""
+    e = F.col("event_id")
+    colour, kind = F.when(e % 7 == 0, S.ERASER).otherwise(0), F.when(e % 11 == 0, S.LINK_BOX).otherwise("others")
+    stroke = F.struct((e % 1000).cast("int").alias("x"), (e % 700).cast("int").alias("y"), colour.alias("colour"), kind.alias("kind"), F.when(e % 5 == 0, -2).otherwise(0).alias("status"))
+    f = fragments(spark, sf_dir).withColumnRenamed("ordinal", "event_id")
+    number = lambda c: F.col(c).cast("double")
+    word = F.struct(F.col("text").alias("label"), number("x").alias("x"), number("top").alias("y"), F.lit(20.0).alias("w"), (number("bottom") - number("top")).alias("h"))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", word.alias("word"), stroke.alias("stroke"))))
+    pages = f.groupBy(F.col("page").cast("string").alias("note_id"), (e % 3).alias("page_no")).agg(rows.alias("rows"))
+    pages = pages.select("note_id", "page_no", F.transform("rows", lambda r: r["word"]).alias("words"), F.transform("rows", lambda r: r["stroke"]).alias("strokes"))
+    return notebook.page_summary(container.notes(writer.notes(pages)))
+
+
+@query("""SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 169 ELSE 255 END AS grey, sum(CASE WHEN l_linenumber = 7 THEN 16384 ELSE 0 END + l_quantity::BIGINT * 5)::BIGINT AS pixels
+FROM lineitem GROUP BY ALL""")
+def bitmap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an order as runs of a bitmap: to bytes, decoded, to a PNG and back, pixels counted by grey."""
+    code = F.when(F.col("l_returnflag") == "A", 0x61).when(F.col("l_returnflag") == "N", 0x64).otherwise(0x65)
+    length = F.when(F.col("l_linenumber") == 7, R.LONG).otherwise(0) + F.col("l_quantity").cast("int") * 5
+    runs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*ORDER[:3], code.alias("code"), length.alias("len")))).alias("runs"))
+    ship(spark)
+    return runs.select("l_orderkey", F.transform("runs", lambda r: F.struct(r["code"].alias("code"), r["len"].alias("len"))).alias("runs")).mapInArrow(_pixels, "l_orderkey bigint, grey int, pixels bigint")
+
+
+def _pixels(batches):
+    for batch in batches:
+        out = []
+        for order, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            runs = [(r["code"], r["len"]) for r in found]
+            image = png.decode(png.encode(render.image(writer.bitmap(runs), sum(n for _, n in runs), 1)))
+            grey, n = np.unique(image[..., 0], return_counts=True)
+            out += [(order, int(g), int(k)) for g, k in zip(grey, n, strict=True)]
+        if out:
+            columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["l_orderkey", "grey", "pixels"])
+
+
+@query("""WITH t AS (SELECT DISTINCT s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS surface, s_suppkey % 8 AS c, s_suppkey // 8 % 5 AS r FROM supplier),
+g AS (SELECT s_nationkey, ((max(c) - min(c) + 1) * 2)::INT AS width, ((max(r) - min(r) + 1) * 2)::INT AS height FROM t GROUP BY ALL),
+p AS (SELECT s_nationkey, c, r, max(surface) AS top FROM t GROUP BY ALL)
+SELECT s_nationkey::VARCHAR AS doc_id, width, height, (sum(top) * 400)::BIGINT AS total FROM p JOIN g USING (s_nationkey) GROUP BY ALL""")
+def tiles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's suppliers as tiles of two surfaces in a tile database: read, stitched, composed, measured."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("path"), F.when(k % 2 == 0, 1).otherwise(2).alias("surface"), ((k % 8) * 4096 + F.floor(k / 8) % 5).alias("tid")).distinct()
+    ship(spark)
+
+    def make(rows):
+        surfaces = {f"surface_{n}": {int(t): png.encode(np.full((2, 2, 4), n * 100, np.uint8)) for t in part["tid"]} for n, part in rows.groupby("surface")}
+        data = writer.tile_file({"fmt_ver": b"1", "ls": writer.proto([(2, "surface_2"), (1, "surface_1")])}, surfaces)
+        return rows[["path"]].head(1).assign(content=[data])
+
+    def measured(batches):
+        for batch in batches:
+            images = [png.decode(x) for x in batch.column(1).to_pylist()]
+            sides = [pa.array([i.shape[a] for i in images], pa.int32()) for a in (1, 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sides, pa.array([int(i[..., 0].sum()) for i in images], pa.int64())], names=["doc_id", "width", "height", "total"])
+
+    docs = tiles.documents(rows.groupBy("path").applyInPandas(make, "path string, content binary"))
+    return render.document_pngs(docs).mapInArrow(measured, "doc_id string, width int, height int, total bigint")

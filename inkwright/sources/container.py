@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.functions.text import LAYER, LAYER_FIELD, PAIR
+from inkwright.functions.text import LAYER, LAYER_FIELD, PAIR, page_of_key
 from inkwright.session import ship
 
 # The container's names, sizes and orientations.
@@ -27,6 +27,7 @@ HEADER_AT = 24
 PORTRAIT, LARGE, LARGE_DEVICE = (1404, 1872), (1920, 2560), "N5"
 CROSSWISE = {"1090", "1270"}
 TITLE_STYLE = "1000254"
+PICTURE = {"keyword": "KEYWORDSITE", "title": "TITLEBITMAP", "link": "LINKBITMAP"}
 WORDS = "array<struct<label:string,`bounding-box`:struct<x:double,y:double,width:double,height:double>>>"
 ELEMENTS = f"array<struct<type:string,label:string,words:{WORDS}>>"
 
@@ -127,7 +128,8 @@ def decode(data: bytes) -> dict:
                     text = re.sub(r"\.note$", "", base64.b64decode(kv["LINKFILE"]).decode("utf-8", "replace").split("/")[-1])
                 if kind == "title":
                     kv = {"TITLESTYLE": TITLE_STYLE} | kv
-                marks.append({"kind": kind, "key": key[len(prefix) :], "seq": seq, "text": text, "values": list(kv.items())})
+                picture = block(data, number(kv.get(PICTURE[kind])))
+                marks.append({"kind": kind, "key": key[len(prefix) :], "seq": seq, "text": text, "values": list(kv.items()), "bitmap": picture})
     cover = next((block(data, number(part("COVER").get(k))) for k in ("0", "1", "") if number(part("COVER").get(k)) > 0), None)
     return {"version": m[1].decode(), "equipment": header.get("APPLY_EQUIPMENT"), "page_w": width, "page_h": height, "header": list(header.items()), "pages": pages, "marks": marks, "cover": cover}
 
@@ -137,14 +139,14 @@ _PAGE = pa.struct(
     [("page_no", pa.int32()), ("page_id", pa.string()), ("style", pa.string()), ("orientation", pa.string()), ("layer_seq", pa.list_(pa.string())), ("layer_info", pa.list_(_MAP))]
     + [("layers", pa.list_(pa.struct([("name", pa.string()), ("bitmap", pa.binary())]))), ("elements", pa.string()), ("total_path", pa.binary()), ("extra", _MAP)]
 )
-_MARK = pa.struct([("kind", pa.string()), ("key", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("values", _MAP)])
+_MARK = pa.struct([("kind", pa.string()), ("key", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("values", _MAP), ("bitmap", pa.binary())])
 _NOTE = pa.schema(
     [("note_id", pa.string()), ("error", pa.string()), ("version", pa.string()), ("equipment", pa.string()), ("page_w", pa.int32()), ("page_h", pa.int32())]
     + [("header", _MAP), ("pages", pa.list_(_PAGE)), ("marks", pa.list_(_MARK)), ("cover", pa.binary())]
 )
 NOTE = """note_id string, error string, version string, equipment string, page_w int, page_h int, header map<string,string>,
 pages array<struct<page_no:int,page_id:string,style:string,orientation:string,layer_seq:array<string>,layer_info:array<map<string,string>>,layers:array<struct<name:string,bitmap:binary>>,elements:string,total_path:binary,extra:map<string,string>>>,
-marks array<struct<kind:string,key:string,seq:int,text:string,values:map<string,string>>>, cover binary"""
+marks array<struct<kind:string,key:string,seq:int,text:string,values:map<string,string>,bitmap:binary>>, cover binary"""
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +181,21 @@ def elements(page_rows: DataFrame) -> DataFrame:
     return out.select("note_id", "page_no", "elem_idx", F.col("e.type").alias("type"), F.col("e.label").alias("label"), words.alias("words"))
 
 
+def _marks(found: DataFrame, kind: str) -> DataFrame:
+    marks = found.where("error IS NULL").select("note_id", F.posexplode(F.filter("marks", lambda m: m["kind"] == kind)).alias("ordinal", "m"))
+    return marks.select("note_id", page_of_key(F.col("m.key")).alias("page_no"), "ordinal", "m.key", "m.seq", "m.text", "m.values", "m.bitmap")
+
+
+def keywords(found: DataFrame) -> DataFrame:
+    """Keywords with their pages and texts, in the footer's order."""
+    return _marks(found, "keyword")
+
+
+def titles(found: DataFrame) -> DataFrame:
+    """Titles with their pages, values and bitmaps, in the footer's order."""
+    return _marks(found, "title")
+
+
 def links(found: DataFrame) -> DataFrame:
     """Links with their text: the file's name and, if the page they name is in this note, its first number."""
     rows = pages(found).where(F.col("page_id").isNotNull() & ~F.col("page_id").isin("0", "none")).groupBy("note_id", "page_id").agg(F.min("page_no").alias("to"))

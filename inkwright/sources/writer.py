@@ -1,29 +1,43 @@
-"""Writes the files that the sources read."""
+"""Writes the files that the other sources read: containers, stroke logs, bitmaps, tile databases."""
+
+from __future__ import annotations
 
 import base64
 import json
 import sqlite3
 import struct
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkwright.operators.runs import LONG
+from inkwright.session import ship
+
+
 
-def rle(pairs):
+def rle(pairs: list[tuple[int, int]]) -> bytes:
     return bytes(x for p in pairs for x in p)
 
 
-def blank(width, height, code=0x62):
-    """A layer of one colour, by long runs and single lengths."""
-    left, out = width * height, []
-    while left >= 0x4000:
-        out.append((code, 255))
-        left -= 0x4000
-    while left:
-        n = min(left, 128)
-        out.append((code, n - 1))
-        left -= n
+def bitmap(runs: list[tuple[int, int]]) -> bytes:
+    """(code, length) runs as byte pairs: long runs, then single lengths."""
+    out = []
+    for code, left in runs:
+        out += [(code, 255)] * (left // LONG)
+        left %= LONG
+        out += [(code, 127)] * (left // 128)
+        if left % 128:
+            out.append((code, left % 128 - 1))
     return rle(out)
 
 
-def stroke(points, pen=10, colour=0, thickness=400, record_class=5000, kind="others", status=0, screen=1872, rings=(), ring_count=None):
+def blank(width: int, height: int, code: int = 0x62) -> bytes:
+    """A layer of one colour."""
+    return bitmap([(code, width * height)])
+
+
+def stroke(points, pen: int = 10, colour: int = 0, thickness: int = 400, record_class: int = 5000, kind: str = "others", status: int = 0, screen: int = 1872, rings=(), ring_count: int | None = None) -> bytes:
+    """A pen record of points in the pen's own coordinates; ``ring_count`` may misstate the outline."""
     head = bytearray(208)
     struct.pack_into("<III", head, 0, pen, colour, thickness)
     struct.pack_into("<i", head, 40, record_class)
@@ -39,11 +53,14 @@ def stroke(points, pen=10, colour=0, thickness=400, record_class=5000, kind="oth
     return body + b"tail"
 
 
-def log(records, count=None):
+def log(records: list[bytes], count: int | None = None) -> bytes:
+    """A stroke log; ``count`` may misstate how many records follow."""
     return struct.pack("<I", len(records) if count is None else count) + b"".join(struct.pack("<I", len(r)) + r for r in records)
 
 
 class Note:
+    """A container under construction: blocks are written as they come, the footer last."""
+
     def __init__(self, signature=b"noteSN_FILE_VER_20230015"):
         self.data = bytearray(signature)
         self.footer = []
@@ -76,11 +93,13 @@ class Note:
         return bytes(self.data) + struct.pack("<I", at)
 
 
-def word(label, x, y, w, h):
+def word(label: str, x: float, y: float, w: float, h: float) -> dict:
+    """A recognized word; labels are UTF-8 bytes taken for Latin-1."""
     return {"label": label.encode().decode("latin-1"), "bounding-box": {"x": x, "y": y, "width": w, "height": h}}
 
 
-def proto(layers):
+def proto(layers) -> bytes:
+    """A list of layers (id, name), either of which may be missing."""
     out = b""
     for i, name in layers:
         body = (b"" if i is None else b"\x08" + bytes([i])) + (b"" if name is None else b"\x12" + bytes([len(name)]) + name.encode())
@@ -88,12 +107,34 @@ def proto(layers):
     return out
 
 
-def tile_file(path, config, surfaces):
-    db = sqlite3.connect(path)
+def tile_file(config: dict, surfaces: dict[str, dict[int, bytes]]) -> bytes:
+    """A tile database of configuration values and the tiles of surfaces, built in memory."""
+    db = sqlite3.connect(":memory:")
     db.execute("CREATE TABLE config (name TEXT, value BLOB)")
     db.executemany("INSERT INTO config VALUES (?, ?)", config.items())
     for name, tiles in surfaces.items():
         db.execute(f"CREATE TABLE {name} (tid INTEGER, tile BLOB)")
         db.executemany(f"INSERT INTO {name} VALUES (?, ?)", tiles.items())
     db.commit()
+    data = db.serialize()
     db.close()
+    return data
+
+
+PAGES = "note_id string, page_no int, words array<struct<label:string,x:double,y:double,w:double,h:double>>, strokes array<struct<x:int,y:int,colour:int,kind:string,status:int>>"
+
+
+def notes(pages: DataFrame) -> DataFrame:
+    """Files (path, content) of pages like ``PAGES``: one text element a word, one record a stroke
+    (of two points, one to the right of the other). A note is one value, so one task's group."""
+    ship(pages.sparkSession)
+
+    def make(rows):
+        note = Note()
+        note.header(APPLY_EQUIPMENT="A5X")
+        for page in rows.sort_values("page_no").itertuples():
+            text = [{"type": "Text", "label": w["label"], "words": [w]} for w in (word(x["label"], x["x"], x["y"], x["w"], x["h"]) for x in page.words)]
+            note.page(page.page_no, text, [stroke([(s["x"], s["y"]), (s["x"] + 9, s["y"])], colour=s["colour"], kind=s["kind"], status=s["status"]) for s in page.strokes])
+        return rows[["note_id"]].head(1).rename(columns={"note_id": "path"}).assign(content=[note.bytes()])
+
+    return pages.select("note_id", F.col("page_no").cast("int"), "words", "strokes").groupBy("note_id").applyInPandas(make, "path string, content binary")

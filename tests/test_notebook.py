@@ -4,12 +4,12 @@ import zlib
 
 import numpy as np
 import pytest
-from encoder import Note, blank, log, proto, rle, stroke, tile_file, word
 from pyspark.sql import functions as F
 
 from inkwright.operators import geometry, paragraphs, render, runs, strokes, svg
 from inkwright.plans import notebook, pdf
 from inkwright.sources import container, png, stroke_log, tiles
+from inkwright.sources.writer import Note, bitmap, blank, log, proto, rle, stroke, tile_file, word
 from inkwright.streaming import frames
 
 W, H = 1404, 1872
@@ -49,15 +49,28 @@ def test_sizes_marks_and_repeats():
     note = Note()
     note.header(APPLY_EQUIPMENT="N5")
     note.page(1, ORIENTATION="1090", PAGEID="A")
-    note.footer += [("TITLE_000100100020", note.kv([("TITLERECT", "1,2,3,4")]))] * 2
+    note.footer += [("TITLE_000100100020", note.kv([("TITLERECT", "1,2,3,4"), ("TITLEBITMAP", note.block(b"picture"))]))] * 2
     note.footer.append(("PAGE7", 1))
     note.footer.append(("PAGE7", 2))
     got = container.decode(note.bytes())
     assert (got["page_w"], got["page_h"]) == (2560, 1920)
-    assert [m["seq"] for m in got["marks"]] == [0, 1] and dict(got["marks"][0]["values"])["TITLESTYLE"] == "1000254"
+    assert [m["seq"] for m in got["marks"]] == [0, 1] and got["marks"][1]["bitmap"] == b"picture" and dict(got["marks"][0]["values"])["TITLESTYLE"] == "1000254"
     assert [p["page_no"] for p in got["pages"]] == [1]  # a repeated page key is dropped
 
 
+def test_keywords_and_titles(spark):
+    note = Note()
+    note.header()
+    note.page(1)
+    note.footer.append(("KEYWORD_00010200", note.kv([("KEYWORDSITE", note.block(b" alpha\0\0 "))])))
+    note.footer.append(("TITLE_000100100020", note.kv([("TITLERECT", "1,2,3,4")])))
+    found = container.notes(files(spark, a=note.bytes(), b=b"junk"))
+    (word_,) = container.keywords(found).collect()
+    assert (word_["page_no"], word_["text"], bytes(word_["bitmap"])) == (1, "alpha", b" alpha\0\0 ")
+    (title,) = container.titles(found).collect()
+    assert title["page_no"] == 1 and title["values"]["TITLESTYLE"] == "1000254" and title["bitmap"] is None
+
+
 def test_links_name_their_page(spark):
     import base64
 
@@ -144,11 +157,10 @@ def test_png_filters(kind):
     assert (png.decode(data)[..., :3] == px).all()
 
 
-def test_tiles(spark, tmp_path):
+def test_tiles(spark):
     tile = lambda v: png.encode(np.full((2, 2, 4), v, np.uint8))
-    path = str(tmp_path / "a.spd")
-    tile_file(path, {"fmt_ver": b"3", "ls": proto([(1, "surface_2"), (None, "surface_1"), (3, None)])}, {"surface_1": {4096 + 1: tile(10)}, "surface_2": {4096 * 2 + 1: tile(20)}, "surface_9": {0: tile(30)}, "other": {}})
-    docs = tiles.documents(files(spark, a=open(path, "rb").read(), b=b"junk"))
+    data = tile_file({"fmt_ver": b"3", "ls": proto([(1, "surface_2"), (None, "surface_1"), (3, None)])}, {"surface_1": {4096 + 1: tile(10)}, "surface_2": {4096 * 2 + 1: tile(20)}, "surface_9": {0: tile(30)}, "other": {}})
+    docs = tiles.documents(files(spark, a=data, b=b"junk"))
     rows = {r["doc_id"]: r for r in docs.collect()}
     assert rows["b"]["error"] and rows["a"]["fmt_ver"] == 3 and len(rows["a"]["tiles"]) == 3
     assert [(r["surface"]) for r in tiles.order(docs).orderBy("z").collect()] == ["surface_1", "surface_2"]
@@ -178,17 +190,7 @@ def painted(boxes):
         px[y0 : y1 + 1, x0 : x1 + 1] = code
     flat = px.ravel()
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1, [len(flat)]])
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        left = int(b - a)
-        while left >= 0x4000:
-            out.append((int(flat[a]), 255))
-            left -= 0x4000
-        while left:
-            n = min(left, 128)
-            out.append((int(flat[a]), n - 1))
-            left -= n
-    return rle(out)
+    return bitmap([(int(flat[a]), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def drawn_note():
