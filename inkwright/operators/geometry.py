@@ -6,6 +6,7 @@ how rows are dealt. Theta joins keep an equi-key (the page) so they plan as hash
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
@@ -76,17 +77,22 @@ def contained(points: DataFrame, rects: DataFrame, page: list[str], share: float
     return counted.where(F.try_divide(F.col("inside").cast("double"), F.col("n")) >= share).groupBy(*page, "path_id").agg(F.min("rect_idx").alias("rect_idx"))
 
 
+def overlap(mine: Mapping[str, Column], other: Mapping[str, Column]) -> Column:
+    """Whether two boxes (x0, y0, x1, y1) share a point, edges included."""
+    return reduce(and_, ((mine[f"{c}0"] <= other[f"{c}1"]) & (other[f"{c}0"] <= mine[f"{c}1"]) for c in "xy"))
+
+
+def washes_over(mine: Mapping[str, Column], other: Mapping[str, Column]) -> Column:
+    """Whether a stroke (idx, grey, box) lies as a highlighter on the other: later, lighter by more
+    than 16 steps but not near-white, and overlapping."""
+    return (mine["grey"] < WHITE) & (other["idx"] < mine["idx"]) & (other["grey"] + SAME_GREY < mine["grey"]) & overlap(mine, other)
+
+
 def highlighters(strokes: DataFrame, page: list[str]) -> DataFrame:
-    """Strokes (idx, grey, x0, y0, x1, y1) drawn as highlighter: some earlier one overlaps and is
-    darker by more than 16 steps. Near-white strokes never are."""
-    mine, other = strokes.where(F.col("grey") < WHITE).alias("a"), strokes.alias("b")
-    on = None
-    for c in page:
-        on = (F.col(f"a.{c}") == F.col(f"b.{c}")) if on is None else on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    on &= (F.col("b.idx") < F.col("a.idx")) & (F.col("b.grey") + SAME_GREY < F.col("a.grey"))
-    for lo, hi in (("x0", "x1"), ("y0", "y1")):
-        on &= (F.col(f"a.{lo}") <= F.col(f"b.{hi}")) & (F.col(f"b.{lo}") <= F.col(f"a.{hi}"))
-    return mine.join(other, on, "left_semi")
+    """Strokes (idx, grey, x0, y0, x1, y1) that lie as a highlighter on some other of their page."""
+    of = lambda side: {c: F.col(f"{side}.{c}") for c in ("idx", "grey", "x0", "y0", "x1", "y1")}
+    same = reduce(and_, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in page))
+    return strokes.alias("a").join(strokes.alias("b"), same & washes_over(of("a"), of("b")), "left_semi")
 
 
 def draw_order(primitives: DataFrame, page: list[str], bucket: Column) -> DataFrame:

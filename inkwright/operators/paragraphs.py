@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkwright.functions.text import repair
+
 # What makes one line, what makes a new paragraph, and how many lines set the scale.
 SAME_LINE, NEW_PARAGRAPH, RECENT = 0.5, 1.0, 3
 
+WORDS = "array<struct<label:string,`bounding-box`:struct<x:double,y:double,width:double,height:double>>>"
+SIDES = (
+    ("x", F.array_min, lambda w: w["bounding-box"]["x"]),
+    ("top", F.array_min, lambda w: w["bounding-box"]["y"]),
+    ("bottom", F.array_max, lambda w: w["bounding-box"]["y"] + w["bounding-box"]["height"]),
+)
+
 
 def visual_lines(fragments: DataFrame, page: list[str]) -> DataFrame:
     """Fragments (``page`` columns, ordinal, x, top, bottom, text) that share a visual line become
@@ -51,27 +60,23 @@ def joined(elements: DataFrame, page: list[str], separator: str = "\n") -> DataF
     return elements.groupBy(*page).agg(F.array_join(F.transform(said, lambda w: w["text"]), separator).alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-def element_lines(elements: DataFrame, page: list[str]) -> DataFrame:
-    """Text elements (``page``, elem_idx, type, label, words) as lines with their boxes. A label is
+def page_lines(elements: Column) -> Column:
+    """The lines of a page's text elements: array<struct<ordinal, text, x, top, bottom>>. A label is
     cut at line feeds and its words at words that are a line feed without a box; if these don't
     agree in number, the element is one line. Lines without text or boxes drop out."""
-    from inkwright.functions.text import repair
+    line_of = lambda words, text, ordinal: F.struct(ordinal.cast("long").alias("ordinal"), F.trim(text).alias("text"), *(agg(F.transform(words, side)).alias(n) for n, agg, side in SIDES))
 
-    text = elements.where(F.col("type") == "Text").withColumn("label", F.coalesce(repair(F.col("label")), F.col("label")))
-    word = text.select(*page, "elem_idx", "label", F.posexplode("words").alias("word_idx", "word"))
-    mark = (F.col("word.label") == "\n") & F.col("word.box").isNull()
-    order = W.partitionBy(*page, "elem_idx").orderBy("word_idx").rowsBetween(W.unboundedPreceding, 0)
-    word = word.withColumn("_mark", mark).withColumn("_line", F.sum(F.when(mark, 1).otherwise(0)).over(order))
-    parts = F.split("label", "\n")
-    whole = W.partitionBy(*page, "elem_idx")
-    word = word.withColumn("_agree", F.max("_line").over(whole) + 1 == F.size(parts)).withColumn("_line", F.when(F.col("_agree"), F.col("_line")).otherwise(0))
-    boxes = word.where(~F.col("_mark") & F.col("word.box").isNotNull())
-    box = lambda f: F.col(f"word.box.{f}")
-    label = F.when(F.col("_agree"), F.get(parts, F.col("_line").cast("int"))).otherwise(F.regexp_replace("label", "\n", " "))
-    return (
-        boxes.groupBy(*page, "elem_idx", "_line")
-        .agg(F.first(F.trim(label)).alias("text"), F.min(box("x")).alias("x"), F.min(box("y")).alias("top"), F.max(box("y") + box("height")).alias("bottom"))
-        .where(F.col("text") != "")
-        .withColumn("ordinal", F.col("elem_idx").cast("long") * 100000 + F.col("_line"))
-        .drop("elem_idx", "_line")
-    )
+    def lines(e: Column, at: Column) -> Column:
+        words = F.coalesce(e["words"], F.array().cast(WORDS))
+        label = F.coalesce(repair(e["label"]), e["label"])
+        is_mark = lambda w: (w["label"] == "\n") & w["bounding-box"].isNull()
+        boxed = lambda some: F.filter(some, lambda w: w["bounding-box"].isNotNull())
+        marks = F.filter(F.transform(words, lambda w, i: F.when(is_mark(w), i + 1)), lambda i: i.isNotNull())
+        cuts = F.concat(F.array(F.lit(0)), marks, F.array(F.size(words) + 1))  # places, from 1, around each line
+        parts = F.split(label, "\n")
+        each = F.transform(parts, lambda text, i: line_of(boxed(F.slice(words, F.get(cuts, i) + 1, F.get(cuts, i + 1) - F.get(cuts, i) - 1)), text, at.cast("long") * 100000 + i))
+        whole = F.array(line_of(boxed(words), F.regexp_replace(label, "\n", " "), at.cast("long") * 100000))
+        return F.when(F.size(marks) + 1 == F.size(parts), each).otherwise(whole)
+
+    text = F.filter(elements, lambda e: (e["type"] == "Text") & e["label"].isNotNull())
+    return F.filter(F.flatten(F.transform(text, lines)), lambda x: (x["text"] != "") & x["top"].isNotNull())

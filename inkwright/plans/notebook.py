@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import StructField, StructType
 
-from inkwright.functions.text import data_base64, grey_of_rgb, js_number, page_of_key, repair, title_style
+from inkwright.functions.text import data_base64, js_number, page_of_key, repair, title_style
 from inkwright.operators import geometry, paragraphs, render, strokes, svg
 from inkwright.plans import pdf
 from inkwright.session import ship
@@ -23,14 +23,17 @@ SAMPLES, HIDDEN, MARGIN, NEAR_GREY = 60, 0.05, 1, 48
 
 
 def page_summary(notes: DataFrame) -> DataFrame:
-    """For every page its recognized paragraphs and how many strokes are still drawn."""
-    pages = container.pages(notes)
-    lines = paragraphs.element_lines(container.elements(pages), PAGE)
-    text = paragraphs.paragraphs(paragraphs.visual_lines(lines, PAGE), PAGE).select(*PAGE, "text")
-    live = strokes.live(strokes.ink(stroke_log.strokes(pages))).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("live_strokes"))
-    return pages.select(*PAGE).join(text, PAGE, "left").join(live, PAGE, "left").select(*PAGE, "text", F.coalesce("live_strokes", F.lit(0)).alias("live_strokes"))
+    """For every page its recognized paragraphs and how many strokes are still drawn. Files are
+    decoded once, and only lines of text are shuffled, by page."""
+    pages = stroke_log.heads(container.pages(notes).select(*PAGE, "elements", "total_path"))
+    lines = paragraphs.page_lines(F.from_json("elements", container.ELEMENTS))
+    page = [*PAGE, "live_strokes"]  # the count depends on the page, so it may stand in its key
+    rows = pages.select(*PAGE, strokes.live_count(F.col("heads")).cast("long").alias("live_strokes"), F.explode_outer(lines).alias("line")).select(*page, "line.*")
+    text = paragraphs.paragraphs(paragraphs.visual_lines(rows, page), page)
+    return text.select(*PAGE, F.nullif("text", F.lit("")).alias("text"), "live_strokes")
 
 
+POINTS = "array<struct<x:double,y:double>>"
 TITLE = "struct<x:int,y:int,w:int,h:int,background:int,foreground:int,hatched:boolean>"
 
 
@@ -110,97 +113,160 @@ def grey_under(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> int | None:
     return int(greys[np.lexsort((first, -n))[0]])
 
 
-SEEN = stroke_log.STROKE + ", fill_share double, fill_grey int, under_grey int, presences map<int,double>, has_mask boolean, titles array<" + TITLE + ">, page_w int, page_h int"
-_SEEN = pa.schema([("fill_share", pa.float64()), ("fill_grey", pa.int32()), ("under_grey", pa.int32()), ("presences", pa.map_(pa.int32(), pa.float64())), ("has_mask", pa.bool_())])
+SEEN = f"""array<struct<stroke_idx:int,pen:bigint,colour:bigint,thickness:bigint,record_class:int,kind:string,trail_status:int,points:{POINTS},contour:array<{POINTS}>,
+fill_share:double,fill_grey:int,under_grey:int,presences:map<int,double>>>"""
+_SEEN = pa.list_(
+    pa.struct(
+        [f for f in stroke_log.ARROW if f.name not in PAGE]
+        + [pa.field("fill_share", pa.float64()), pa.field("fill_grey", pa.int32()), pa.field("under_grey", pa.int32()), pa.field("presences", pa.map_(pa.int32(), pa.float64()))]
+    )
+)
+
+
+def _seen_strokes(w: int, h: int, layers: list[dict], log: bytes | None, titles: list[dict]) -> tuple[list[dict], bool]:
+    """A page's records with what its pixels show of each, and whether it has ink layers."""
+    try:
+        mask = ink_mask(dict(zip(render.INK_LAYERS, (x["bitmap"] for x in layers), strict=False)), w, h)
+    except ValueError:
+        mask = None
+    rows, sums = [], {}
+    for k, r in stroke_log.records(log) if w > 0 and h > 0 else ():
+        row = stroke_log.row("", 0, w, h, k, r) | {"fill_share": None, "fill_grey": None, "under_grey": None, "presences": []}
+        if mask is not None:
+            x, y = stroke_log.page_points(r, w, h)
+            if r["kind"] == strokes.RECT and len(x) >= 2:
+                row["fill_share"], row["fill_grey"] = rect_sample(mask, min(x[:2]), min(y[:2]), max(x[:2]), max(y[:2]))
+            row["under_grey"] = grey_under(mask, x, y)
+            own = strokes.GREYS.get(r["colour"], r["colour"])
+            for g in {own, row["under_grey"], *(t["foreground"] for t in titles)} - {None}:
+                if g < 256:  # other numbers are no grey; no ink is like them
+                    if g not in sums:
+                        sums[g] = ink_sums(mask, g)
+                    row["presences"].append((g, presence(sums[g], x, y, r["thickness"])))
+        rows.append(row)
+    return rows, mask is not None
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, (note, no, w, h, layers, log, titles) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)):
-            try:
-                mask = ink_mask(dict(zip(render.INK_LAYERS, (x["bitmap"] for x in layers), strict=False)), w, h)
-            except ValueError:
-                mask = None
-            rows, more, sums = [], [], {}
-            for k, r in stroke_log.records(log) if w > 0 and h > 0 else ():
-                x, y = stroke_log.page_points(r, w, h)
-                share = grey = under = None
-                there = {}
-                if mask is not None:
-                    if r["kind"] == strokes.RECT and len(x) >= 2:
-                        share, grey = rect_sample(mask, min(x[:2]), min(y[:2]), max(x[:2]), max(y[:2]))
-                    under = grey_under(mask, x, y)
-                    own = strokes.GREYS.get(r["colour"], r["colour"])
-                    for g in {own, under, *(t["foreground"] for t in titles)} - {None}:
-                        if g < 256:  # other numbers are no grey; no ink is like them
-                            if g not in sums:
-                                sums[g] = ink_sums(mask, g)
-                            there[g] = presence(sums[g], x, y, r["thickness"])
-                rows.append(stroke_log.row(note, no, w, h, k, r))
-                more.append({"fill_share": share, "fill_grey": grey, "under_grey": under, "presences": list(there.items()), "has_mask": mask is not None})
-            if rows:
-                made, seen = pa.RecordBatch.from_pylist(rows, stroke_log.ARROW), pa.RecordBatch.from_pylist(more, _SEEN)
-                again = [batch.column(c).take(pa.array([i] * len(rows))) for c in (6, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*made.columns, *seen.columns, *again], names=[*made.schema.names, *seen.schema.names, "titles", "page_w", "page_h"])
-
-
-PRIMITIVE = "struct<z:int,kind:string,colour:string,width:double,fill:string,points:array<struct<x:double,y:double>>,rings:array<array<struct<x:double,y:double>>>>"
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            page = one.select(["page_w", "page_h", "layers", "total_path", "titles"]).to_pylist()[0]
+            rows, masked = _seen_strokes(*page.values())
+            kept = [k for k, n in enumerate(one.schema.names) if n not in ("total_path", "titles")]
+            rest = [pa.array([page["titles"]], one.schema.field("titles").type), pa.array([rows], _SEEN), pa.array([masked])]
+            yield pa.RecordBatch.from_arrays([*(one.column(k) for k in kept), *rest], names=[*(one.schema.names[k] for k in kept), "titles", "strokes", "has_mask"])
 
 
-def vector_pages(notes: DataFrame) -> DataFrame:
-    """Pages with strokes: (note_id, page_no, use_vector, primitives in drawing order).
+PRIMITIVE = f"struct<z:int,kind:string,colour:string,width:double,fill:string,points:{POINTS},rings:array<{POINTS}>>"
+PRIMITIVES = f"array<{PRIMITIVE}>"
+
+
+def _area(rings: Column) -> Column:
+    def cross(r):
+        follows = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+        return F.aggregate(F.zip_with(r, follows, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, c: a + c)
+
+    return F.abs(F.aggregate(F.transform(rings, cross), F.lit(0.0), lambda a, c: a + c)) / 2
+
+
+def _length(points: Column) -> Column:
+    steps = F.zip_with(points, F.slice(points, 2, F.size(points)), lambda a, b: F.coalesce(F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0)))
+    return F.aggregate(steps, F.lit(0.0), lambda a, s: a + s)
+
 
-    A page whose ink layers can't be read draws nothing; one whose strokes all turn out hidden
-    keeps its pixels (``use_vector`` false), as do pages without strokes, which have no row.
-    Strokes are decoded once, beside the pixels they are compared with; the rest are expressions
-    over the strokes of a page, which is also the only key anything is shuffled by.
+def _corners(s: Column) -> tuple[Column, Column, Column, Column]:
+    """x, y, w, h of the rectangle between a stroke's first two points."""
+    p, q = F.get(s["points"], F.lit(0)), F.get(s["points"], F.lit(1))
+    return F.least(p["x"], q["x"]), F.least(p["y"], q["y"]), F.abs(p["x"] - q["x"]), F.abs(p["y"] - q["y"])
+
+
+def with_primitives(pages: DataFrame) -> DataFrame:
+    """Pages (of ``pages_with_titles``) with ``use_vector`` and ``primitives`` in drawing order.
+
+    A page whose ink layers can't be read draws nothing; one without strokes, or whose strokes all
+    turn out hidden, keeps its pixels (``use_vector`` false). Strokes are decoded beside the pixels
+    they are compared with; the rest are expressions over the array of a page's strokes, which is
+    bounded by the page's stroke log. Nothing is shuffled.
     """
-    ship(notes.sparkSession)
-    pages = pages_with_titles(notes).where("total_path IS NOT NULL").select(*PAGE, "page_w", "page_h", "layers", "total_path", "titles")
-    ink = strokes.ink(pages.mapInArrow(_seen, SEEN), include_erasers=True)
-    two = F.col("is_rect") & (F.size("points") >= 2) & ~F.col("is_eraser")
-    p0, p1 = F.get("points", F.lit(0)), F.get("points", F.lit(1))
-    x, y, w, h = F.least(p0["x"], p1["x"]), F.least(p0["y"], p1["y"]), F.abs(p0["x"] - p1["x"]), F.abs(p0["y"] - p1["y"])
-    title = F.when(two, F.get(F.filter("titles", lambda t: geometry.same_rect([x, y, w, h], [t["x"], t["y"], t["w"], t["h"]])), F.lit(0)))
-    ink = ink.withColumn("title", title)
-    named = F.col("title").isNotNull()
-    fill = F.when(two & named, F.when(F.col("title.hatched"), "hatch").otherwise("solid")).when(two, geometry.fill_kind(F.col("fill_share")))
-    shape = F.when(~F.col("has_mask") | (fill == "skip"), "skip").when(two, "rect").otherwise("path")
-    ink = ink.withColumns({"fill": fill, "shape": shape})
+    ship(pages.sparkSession)
+    pages = pages.withColumn("total_path", F.coalesce("total_path", F.lit(b"")))
+    kept = [f for f in pages.schema.fields if f.name not in ("total_path", "titles")]
+    schema = StructType([*kept, StructField("titles", pages.schema["titles"].dataType), *StructType.fromDDL(f"strokes {SEEN}, has_mask boolean")])
+    out = pages.mapInArrow(_seen, schema)
+
+    def each(column: str, f, then=lambda c: c) -> None:
+        nonlocal out
+        out = out.withColumn(column, then(F.transform("strokes", f)))
+
+    masked = F.col("has_mask")
+    ink = F.filter("strokes", lambda s: strokes.is_ink(s["kind"], s["record_class"], s["pen"]))
+    out = out.withColumn("strokes", ink)
+    each("strokes", lambda s: s.withField("two", (s["kind"] == strokes.RECT) & (F.size(s["points"]) >= 2) & (s["colour"] != strokes.ERASER)))
+
+    def titled(s):
+        same = F.filter("titles", lambda t: geometry.same_rect(list(_corners(s)), [t["x"], t["y"], t["w"], t["h"]]))
+        return s.withField("title", F.when(s["two"], F.get(same, F.lit(0))))
+
+    each("strokes", titled)
+    named = lambda s: F.when(s["title"]["hatched"], "hatch").otherwise("solid")
+    each("strokes", lambda s: s.withField("fill", F.when(s["two"], F.when(s["title"].isNotNull(), named(s)).otherwise(geometry.fill_kind(s["fill_share"])))))
+    each("strokes", lambda s: s.withField("shape", F.when(~masked | F.coalesce(s["fill"] == "skip", F.lit(False)), "skip").when(s["two"], "rect").otherwise("path")))
 
     # labels on a heading take its text colour, or else the colour of the ink under them
-    box = F.struct("stroke_idx", F.greatest(F.lit(0.0), F.floor(x)).alias("x0"), F.greatest(F.lit(0.0), F.floor(y)).alias("y0"), F.least(F.col("page_w") - 1, F.ceil(x + w)).alias("x1"), F.least(F.col("page_h") - 1, F.ceil(y + h)).alias("y1"), "title")
-    ink = ink.withColumn("rects", F.array_sort(F.collect_list(F.when(F.col("shape") == "rect", box)).over(W.partitionBy(*PAGE))))
-    inside = lambda r: F.size(F.filter("points", lambda p: geometry.within(p["x"], p["y"], r["x0"], r["y0"], r["x1"], r["y1"])))
-    heading = F.get(F.filter("rects", lambda r: F.try_divide(inside(r).cast("double"), F.size("points")) >= geometry.INSIDE), F.lit(0))
-    path = (F.col("shape") == "path") & ~F.col("is_eraser")
-    ink = ink.withColumn("heading", F.when(path & (F.size("rects") > 0), heading)).drop("rects")
-    grey = F.when(two, F.coalesce(F.col("title.background"), "fill_grey")).when(F.col("is_eraser"), 255).when(F.col("heading").isNotNull(), F.coalesce(F.col("heading.title.foreground"), "under_grey", "grey")).otherwise(F.col("grey"))
-    ink = ink.withColumn("shown_grey", grey)
-    unseen = (F.size("points") > 0) & (F.coalesce(F.try_element_at("presences", F.col("shown_grey")), F.lit(0.0)) < HIDDEN)
-    hidden = path & ((F.coalesce("trail_status", F.lit(0)) != 0) | unseen)
-    ink = ink.withColumn("shape", F.when(hidden, "skip").otherwise(F.col("shape")))
-
-    rings = F.filter(F.coalesce("contour", F.array().cast("array<array<struct<x:double,y:double>>>")), lambda r: F.size(r) >= 3)
-    cross = lambda r: F.aggregate(F.transform(r, lambda p, i: p["x"] * F.get(r, (i + 1) % F.size(r))["y"] - F.get(r, (i + 1) % F.size(r))["x"] * p["y"]), F.lit(0.0), lambda a, c: a + c)
-    area = F.abs(F.aggregate(F.transform("rings", cross), F.lit(0.0), lambda a, c: a + c)) / 2
-    steps = F.zip_with("points", F.slice("points", F.lit(2), F.size("points")), lambda a, b: F.coalesce(F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0)))
-    length = F.aggregate(steps, F.lit(0.0), lambda a, s: a + s)
-    made = ink.withColumn("rings", rings)
-    kind = F.when(F.col("shape") == "rect", "rect").when(F.col("shape") == "path", F.when(F.size("rings") > 0, "filledPath").when(F.size("points") > 0, "strokedPath"))
-    colour = F.format_string("rgb(%d,%d,%d)", "shown_grey", "shown_grey", "shown_grey")
-    made = made.withColumns({"kind": kind, "width": geometry.render_width(F.col("thickness"), area, length), "colour": colour})
-
-    outline = F.when(F.size("points") > 0, F.col("points")).otherwise(F.flatten("contour"))
-    side = lambda f, agg: agg(F.transform(outline, lambda p: p[f]))
-    boxed = made.where("shape = 'path'").select(*PAGE, F.col("stroke_idx").alias("idx"), grey_of_rgb(F.col("colour")).alias("grey"), "pen_name", side("x", F.array_min).alias("x0"), side("x", F.array_max).alias("x1"), side("y", F.array_min).alias("y0"), side("y", F.array_max).alias("y1"))
-    high = geometry.highlighters(boxed, PAGE).where("pen_name = 'marker'").select(*PAGE, F.col("idx").alias("stroke_idx"), F.lit(True).alias("high"))
-    bucket = F.when(F.col("kind") == "rect", 0).when(F.col("high"), 1).otherwise(2)
-    made = made.join(high, [*PAGE, "stroke_idx"], "left").withColumn("order", F.struct(bucket.alias("bucket"), "stroke_idx"))
-    drawn = F.struct("order", F.struct(F.lit(0), "kind", "colour", "width", "fill", "points", "rings").cast(PRIMITIVE).alias("it"))
-    out = made.groupBy(*PAGE).agg(F.max((F.col("shape") != "skip") | ~F.col("has_mask")).alias("use_vector"), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), drawn)), lambda a, b: F.when(a["order"] < b["order"], -1).otherwise(1)).alias("found"))
-    numbered = F.transform("found", lambda f, i: f["it"].withField("z", (i + 1).cast("int")))
-    return out.select(*PAGE, "use_vector", F.when(F.col("use_vector"), numbered).otherwise(F.array().cast(f"array<{PRIMITIVE}>")).alias("primitives"))
+    def box(s):
+        x, y, w, h = _corners(s)
+        return F.struct(F.greatest(F.lit(0.0), F.floor(x)).alias("x0"), F.greatest(F.lit(0.0), F.floor(y)).alias("y0"), F.least(F.col("page_w") - 1, F.ceil(x + w)).alias("x1"), F.least(F.col("page_h") - 1, F.ceil(y + h)).alias("y1"), s["title"]["foreground"].alias("grey"))
+
+    out = out.withColumn("rects", F.transform(F.filter("strokes", lambda s: s["shape"] == "rect"), box))
+
+    def shown(s):
+        inside = lambda r: F.size(F.filter(s["points"], lambda p: geometry.within(p["x"], p["y"], r["x0"], r["y0"], r["x1"], r["y1"])))
+        on = F.filter("rects", lambda r: F.try_divide(inside(r).cast("double"), F.size(s["points"])) >= geometry.INSIDE)
+        label = F.when(F.size(on) > 0, F.coalesce(F.get(on, F.lit(0))["grey"], s["under_grey"]))
+        own = strokes.grey_level(s["colour"])
+        grey = F.when(s["two"], F.coalesce(s["title"]["background"], s["fill_grey"])).when((s["colour"] == strokes.ERASER) | (s["shape"] == "skip"), own).otherwise(F.coalesce(label, own))
+        return s.withField("shown", grey)
+
+    each("strokes", shown)
+
+    def kept_shape(s):
+        unseen = (F.size(s["points"]) > 0) & (F.coalesce(F.try_element_at(s["presences"], s["shown"]), F.lit(0.0)) < HIDDEN)
+        hidden = (s["shape"] == "path") & (s["colour"] != strokes.ERASER) & ((F.coalesce(s["trail_status"], F.lit(0)) != 0) | unseen)
+        return s.withField("shape", F.when(hidden, "skip").otherwise(s["shape"]))
+
+    each("strokes", kept_shape)
+    out = out.withColumn("use_vector", (F.size("strokes") > 0) & (~masked | F.exists("strokes", lambda s: s["shape"] != "skip")))
+    out = out.withColumn("strokes", F.filter("strokes", lambda s: F.col("use_vector") & (s["shape"] != "skip")))
+    empty = F.array().cast(f"array<{POINTS}>")
+    each("strokes", lambda s: s.withField("rings", F.filter(F.coalesce(s["contour"], empty), lambda r: F.size(r) >= 3)))
+    kind = lambda s: F.when(s["shape"] == "rect", "rect").when(F.size(s["rings"]) > 0, "filledPath").when(F.size(s["points"]) > 0, "strokedPath")
+    each("strokes", lambda s: s.withField("drawn", kind(s)))
+
+    def outline(s):
+        all_points = F.when(F.size(s["points"]) > 0, s["points"]).otherwise(F.flatten(s["contour"]))
+        side = lambda f, agg: agg(F.transform(all_points, lambda p: p[f]))
+        return F.struct(s["stroke_idx"].alias("idx"), s["shown"].alias("grey"), *(side(f, agg).alias(f"{f}{i}") for f in "xy" for i, agg in enumerate((F.array_min, F.array_max))))
+
+    each("strokes", lambda s: s.withField("box", F.when(s["shape"] == "path", outline(s))))
+    out = out.withColumn("boxes", F.filter(F.transform("strokes", lambda s: s["box"]), lambda b: b.isNotNull()))
+
+    def primitive(s):
+        high = (strokes.pen_name(s["pen"], s["kind"]) == "marker") & F.exists("boxes", lambda b: geometry.washes_over(s["box"], b))
+        bucket = F.when(s["drawn"] == "rect", 0).when(high, 1).otherwise(2)
+        paint = F.format_string("rgb(%d,%d,%d)", s["shown"], s["shown"], s["shown"])
+        width = geometry.render_width(s["thickness"], _area(s["rings"]), _length(s["points"]))
+        return F.struct(bucket.alias("bucket"), s["stroke_idx"].alias("idx"), F.struct(F.lit(0).alias("z"), s["drawn"].alias("kind"), paint.alias("colour"), width.alias("width"), s["fill"].alias("fill"), s["points"].alias("points"), s["rings"].alias("rings")).alias("it"))
+
+    visible = F.transform(F.filter("strokes", lambda s: s["drawn"].isNotNull()), primitive)
+    ordered = F.array_sort(visible)  # by bucket, then by place in the log
+    out = out.withColumn("primitives", F.transform(ordered, lambda v, i: v["it"].withField("z", i + 1)).cast(PRIMITIVES))
+    return out.drop("strokes", "rects", "boxes", "titles", "has_mask")
+
+
+def vector_pages(notes: DataFrame) -> DataFrame:
+    """(note_id, page_no, use_vector, primitives in drawing order) of every page."""
+    return with_primitives(pages_with_titles(notes).select(*PAGE, "page_w", "page_h", "layers", "total_path", "titles")).select(*PAGE, "use_vector", "primitives")
 
 
 def vector_primitives(notes: DataFrame) -> DataFrame:
@@ -238,12 +304,11 @@ def drawn_pages(notes: DataFrame, numbers: list[int] | None = None, upscale: flo
     """The pages an export needs: (note_id, page_no, out_no, w, h, png, error, words, primitives).
 
     With ``vector_ink`` the pages whose strokes can stand for their ink lose it from the image."""
-    pages = picked(container.pages(notes), numbers)
-    none = F.array().cast(f"array<{PRIMITIVE}>")
+    pages = picked(pages_with_titles(notes), numbers).select(*PAGE, "out_no", "page_w", "page_h", "equipment", "style", "layer_seq", "layers", "elements", "total_path", "titles")
     if vector_ink:
-        pages = pages.join(vector_pages(notes), PAGE, "left").withColumns({"raster_ink": ~F.coalesce("use_vector", F.lit(False)), "primitives": F.coalesce("primitives", none)})
+        pages = with_primitives(pages).withColumn("raster_ink", ~F.col("use_vector"))
     else:
-        pages = pages.withColumns({"raster_ink": F.lit(True), "primitives": none})
+        pages = pages.withColumns({"raster_ink": F.lit(True), "primitives": F.array().cast(PRIMITIVES)})
     size = [F.rint(F.col(c) * F.lit(float(upscale))).cast("int").alias(n) for c, n in (("page_w", "w"), ("page_h", "h"))]
     pages = pages.select(*PAGE, "out_no", "page_w", "page_h", *size, "style", "layer_seq", "layers", "raster_ink", page_words(upscale).alias("words"), _scaled(F.col("primitives"), upscale).alias("primitives"))
     if not images:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwright.functions.text import LAYER, LAYER_FIELD, PAIR, page_of_key
+from inkwright.operators.paragraphs import WORDS
 from inkwright.session import ship
 
 # The container's names, sizes and orientations.
@@ -28,7 +29,6 @@ PORTRAIT, LARGE, LARGE_DEVICE = (1404, 1872), (1920, 2560), "N5"
 CROSSWISE = {"1090", "1270"}
 TITLE_STYLE = "1000254"
 PICTURE = {"keyword": "KEYWORDSITE", "title": "TITLEBITMAP", "link": "LINKBITMAP"}
-WORDS = "array<struct<label:string,`bounding-box`:struct<x:double,y:double,width:double,height:double>>>"
 ELEMENTS = f"array<struct<type:string,label:string,words:{WORDS}>>"
 
 

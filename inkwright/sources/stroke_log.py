@@ -125,6 +125,24 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
+HEADS = "array<struct<pen:bigint,colour:bigint,record_class:int,kind:string,trail_status:int>>"
+_HEADS = pa.list_(pa.struct([("pen", pa.int64()), ("colour", pa.int64()), ("record_class", pa.int32()), ("kind", pa.string()), ("trail_status", pa.int32())]))
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of = lambda data: [{c: r[c] for c in ("pen", "colour", "record_class", "kind", "trail_status")} for _, r in records(data)]
+        found = pa.array([of(data) for data in batch.column(batch.num_columns - 1).to_pylist()], _HEADS)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "heads"])
+
+
+def heads(pages: DataFrame) -> DataFrame:
+    """Pages with ``heads``, what their records say beside their points, in place of ``total_path``."""
+    ship(pages.sparkSession)
+    kept = pages.drop("total_path")
+    return pages.select(*kept.columns, "total_path").mapInArrow(_heads, kept.schema.simpleString()[7:-1] + f",heads:{HEADS}")
+
+
 def strokes(pages: DataFrame) -> DataFrame:
     """All records of pages (note_id, page_no, page_w, page_h, total_path), in page pixels."""
     ship(pages.sparkSession)

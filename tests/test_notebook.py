@@ -227,6 +227,25 @@ def drawn(spark):
     return container.notes(files(spark, a=drawn_note()))
 
 
+def test_lines_of_elements(spark):
+    mark = {"label": "\n"}
+    two = [word("a", 1, 5, 9, 10), word("b", 20, 4, 9, 10), mark, word("c", 3, 30, 9, 10)]
+    text = [
+        {"type": "Text", "label": "a b\nc", "words": two},
+        {"type": "Text", "label": "a b c\n", "words": two[:2]},  # two parts, no mark: one line
+        {"type": "Text", "label": "a\n", "words": [two[0], mark]},  # the second line has nothing
+        {"type": "Image", "label": "x", "words": two},
+        {"type": "Text", "label": "none"},
+        {"type": "Text", "words": two},
+    ]
+    import json
+
+    found = spark.createDataFrame([(json.dumps(text),), ("[]",), (None,)], "elements string").select(paragraphs.page_lines(F.from_json("elements", container.ELEMENTS)).alias("x")).collect()
+    got = [tuple(r) for r in found[0]["x"]]
+    assert got == [(0, "a b", 1, 4, 15), (1, "c", 3, 30, 40), (100000, "a b c", 1, 4, 15), (200000, "a", 1, 5, 15)]
+    assert found[1]["x"] == [] and found[2]["x"] is None
+
+
 def test_vector_primitives(drawn):
     rows = notebook.vector_primitives(drawn).where("page_no = 1").orderBy("z").collect()
     assert [(r["kind"], r["colour"], r["fill"]) for r in rows] == [
@@ -244,7 +263,7 @@ def test_vector_primitives(drawn):
 
 def test_pages_that_keep_their_pixels(drawn):
     rows = {r["page_no"]: r for r in notebook.vector_pages(drawn).collect()}
-    assert {k: (r["use_vector"], len(r["primitives"])) for k, r in rows.items()} == {1: (True, 8), 3: (True, 0), 4: (False, 0)}
+    assert {k: (r["use_vector"], len(r["primitives"])) for k, r in rows.items()} == {1: (True, 8), 2: (False, 0), 3: (True, 0), 4: (False, 0)}
     pages = {r["page_no"]: r for r in notebook.drawn_pages(drawn, vector_ink=True).collect()}
     inked = {k: bool((png.decode(r["png"])[..., 3] > 0).any()) for k, r in pages.items()}
     assert inked == {1: False, 2: True, 3: False, 4: True}
@@ -339,3 +358,12 @@ def test_frames(spark, tmp_path):
     stream = frames.read_stream(spark, str(tmp_path / "feed")).writeStream.format("memory").queryName("frames").trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert spark.table("frames").count() == 2
+
+
+def test_exports_decode_once_and_shuffle_nothing(drawn):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    pages = notebook.svg_pages(drawn, vector_ink=True)
+    assert "Exchange" not in physical(pages) and physical(pages).count("_decode(") == 1 and physical(pages).count("_seen(") == 1
+    summary = notebook.page_summary(drawn)
+    assert physical(summary).count("Exchange") == 1 and physical(summary).count("_decode(") == 1 and "Join" not in plan(summary)
