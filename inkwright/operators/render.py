@@ -169,22 +169,29 @@ def stitch(tiles: dict[int, bytes], grid: tuple[int, int, int, int]) -> np.ndarr
     return out
 
 
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            cells = [(t["tid"] // 4096, t["tid"] % 4096) for t in row["tiles"]]
+            grid = (*(min(x, default=0) for x in zip(*cells)), *(max(x, default=0) for x in zip(*cells)))  # noqa: B905
+            image, error = None, None
+            try:
+                for name in row["names"]:
+                    now = stitch({t["tid"]: t["png"] for t in row["tiles"] if t["surface"] == name}, grid)
+                    if now is not None:
+                        image = now if image is None else over(now, image)
+            except ValueError as e:
+                image, error = None, str(e)
+            data = None if image is None else png.encode(image)
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]]), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=["doc_id", "png", "error"])
+
+
 def document_pngs(docs: DataFrame, visible: list[str] | None = None) -> DataFrame:
-    """(doc_id, png): all surfaces, or the visible ones, from the bottom up on the grid of all."""
-    from inkwright.sources.tiles import order, tile_rows
+    """(doc_id, png, error): all surfaces, or the visible ones, from the bottom up on the grid of
+    all; no png without any tile. A document is one row, so nothing is shuffled."""
+    from inkwright.sources.tiles import bottom_up
 
     ship(docs.sparkSession)
-    tiles = tile_rows(docs)
-    cell = lambda c: F.floor(c / 4096)
-    grid = tiles.groupBy("doc_id").agg(F.min(cell(F.col("tid"))).alias("c0"), F.min(F.col("tid") % 4096).alias("r0"), F.max(cell(F.col("tid"))).alias("c1"), F.max(F.col("tid") % 4096).alias("r1"))
-    shown = order(docs) if visible is None else order(docs).where(F.col("surface").isin(visible))
-    rows = shown.join(tiles, ["doc_id", "surface"]).join(grid, "doc_id")
-
-    def make(rows):
-        out, at = None, [int(rows[c].iloc[0]) for c in ("c0", "r0", "c1", "r1")]
-        for _, part in rows.groupby("z"):
-            now = stitch(dict(zip(part["tid"], part["png"], strict=True)), at)
-            out = now if out is None else over(now, out)
-        return rows[["doc_id"]].head(1).assign(png=[png.encode(out)])
-
-    return rows.groupBy("doc_id").applyInPandas(make, "doc_id string, png binary")
+    names = bottom_up() if visible is None else F.filter(bottom_up(), lambda n: n.isin(visible))
+    return docs.where("error IS NULL").select("doc_id", names.alias("names"), "tiles").mapInArrow(_composed, "doc_id string, png binary, error string")

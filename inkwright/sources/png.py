@@ -23,6 +23,21 @@ def encode(rgba: np.ndarray) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
+def _by_neighbours(line: bytes, up: bytes, step: int, paeth: bool) -> bytes:
+    """A row whose bytes are differences to the mean, or the nearest in value, of their neighbours."""
+    now = bytearray(len(line) + step)  # the first pixel's left neighbour is zero
+    for x, (value, b) in enumerate(zip(line, up, strict=True)):
+        a = now[x]
+        if paeth:
+            c = up[x - step] if x >= step else 0
+            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+        else:
+            guess = (a + b) >> 1
+        now[x + step] = value + guess & 255
+    return bytes(now[step:])
+
+
 def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
     out = np.zeros((h + 1, stride), np.uint8)
     for y in range(h):
@@ -34,27 +49,32 @@ def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
         elif kind == 1:
             out[y + 1] = (np.cumsum(line.reshape(-1, step), axis=0) & 255).ravel()
         else:
-            now = np.zeros(stride, np.int32)
-            for x in range(0, stride, step):
-                at = slice(x, x + step)
-                left = now[x - step : x] if x else np.zeros(step, np.int32)
-                if kind == 3:
-                    guess = (left + up[at]) // 2
-                else:
-                    corner = up[x - step : x] if x else np.zeros(step, np.int32)
-                    p = left + up[at] - corner
-                    a, b, c = abs(p - left), abs(p - up[at]), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up[at], corner))
-                now[at] = line[at] + guess & 255
-            out[y + 1] = now
+            out[y + 1] = np.frombuffer(_by_neighbours(raw[y, 1:].tobytes(), out[y].tobytes(), step, kind == 4), np.uint8)
     return out[1:]
 
 
 def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) uint8 of a file with 8-bit channels, not interlaced."""
+    """(height, width, 4) uint8 of a file with channels of 1 to 16 bits, not interlaced."""
+    try:
+        return _decode(data)
+    except (zlib.error, struct.error, KeyError, IndexError, TypeError) as e:
+        raise ValueError(f"broken PNG file: {e}") from e
+
+
+def _samples(rows: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The samples of unfiltered rows, as many bits as they have (the upper 8 of 16)."""
+    if bits == 16:
+        return rows[:, ::2]
+    if bits == 8:
+        return rows
+    each = np.unpackbits(rows, axis=1).reshape(len(rows), -1, bits)
+    return (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, :width]
+
+
+def _decode(data: bytes) -> np.ndarray:
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG file")
-    at, packed, palette, alpha, head = 8, b"", None, b"", None
+    at, packed, palette, clear, head = 8, [], None, b"", None
     while at + 8 <= len(data):
         n, name = struct.unpack_from(">I4s", data, at)
         body = data[at + 8 : at + 8 + n]
@@ -64,22 +84,27 @@ def decode(data: bytes) -> np.ndarray:
         elif name == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif name == b"tRNS":
-            alpha = body
+            clear = body
         elif name == b"IDAT":
-            packed += body
-    if head is None or head[2] != 8 or head[6]:
-        raise ValueError("not an 8-bit, plain PNG file")
-    w, h, _, kind = head[:4]
+            packed.append(body)
+    if head is None or head[6]:
+        raise ValueError("not a plain PNG file")
+    w, h, bits, kind = head[:4]
     c = CHANNELS[kind]
-    px = _unfilter(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * c), h, w * c, c).reshape(h, w, c)
+    stride = -(-w * c * bits // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + stride)
+    px = _samples(_unfilter(raw, h, stride, max(1, c * bits // 8)), w * c, bits).reshape(h, w, c)
     out = np.full((h, w, 4), 255, np.uint8)
     if kind == 3:
-        out[..., :3] = palette[px[..., 0]]
-        table = np.full(len(palette), 255, np.uint8)
-        table[: len(alpha)] = np.frombuffer(alpha, np.uint8)
-        out[..., 3] = table[px[..., 0]]
-    else:
-        out[..., :3] = px[..., :3] if c >= 3 else px[..., :1]
-        if c in (2, 4):
-            out[..., 3] = px[..., -1]
+        table = np.full((len(palette), 4), 255, np.uint8)
+        table[:, :3] = palette
+        table[: len(clear), 3] = np.frombuffer(clear, np.uint8)
+        return table[px[..., 0]]
+    full = px if bits >= 8 else px * (255 // ((1 << bits) - 1))
+    out[..., :3] = full[..., :3] if c >= 3 else full[..., :1]
+    if c in (2, 4):
+        out[..., 3] = full[..., -1]
+    elif clear:
+        one = np.frombuffer(clear, ">u2")
+        out[(px == (one >> 8 if bits == 16 else one)).all(axis=2), 3] = 0
     return out

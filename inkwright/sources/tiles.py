@@ -7,7 +7,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.session import ship
@@ -95,9 +95,13 @@ def tile_rows(docs: DataFrame) -> DataFrame:
     return docs.where("error IS NULL").select("doc_id", F.explode("tiles").alias("t")).select("doc_id", "t.*")
 
 
-def order(docs: DataFrame) -> DataFrame:
-    """Surfaces from the bottom up (doc_id, surface, z): the listed layers reversed, and then
-    surfaces that aren't listed are left out; without a list all surfaces as they are."""
+def bottom_up() -> Column:
+    """A document's surfaces from the bottom up: the listed layers reversed, and then surfaces that
+    aren't listed are left out; without a list all surfaces as they are."""
     listed = F.transform(F.reverse("layers"), lambda x: x["name"])
-    names = F.when(F.col("layers").isNotNull(), F.filter(listed, lambda n: F.array_contains("surfaces", n))).otherwise(F.col("surfaces"))
-    return docs.where("error IS NULL").select("doc_id", F.posexplode(names).alias("z", "surface"))
+    return F.when(F.col("layers").isNotNull(), F.filter(listed, lambda n: F.array_contains("surfaces", n))).otherwise(F.col("surfaces"))
+
+
+def order(docs: DataFrame) -> DataFrame:
+    """Surfaces from the bottom up (doc_id, surface, z)."""
+    return docs.where("error IS NULL").select("doc_id", F.posexplode(bottom_up()).alias("z", "surface"))

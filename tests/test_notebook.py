@@ -157,6 +157,24 @@ def test_png_filters(kind):
     assert (png.decode(data)[..., :3] == px).all()
 
 
+def chunked(w, h, bits, kind, rows, *more):
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + bytes(4)
+    return png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, kind, 0, 0, 0)) + b"".join(chunk(n, d) for n, d in more) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_png_depths():
+    grey = png.decode(chunked(3, 1, 2, 0, bytes([0, 0b00011100]), (b"tRNS", b"\0\1")))
+    assert grey[0].tolist() == [[0, 0, 0, 255], [85, 85, 85, 0], [255, 255, 255, 255]]
+    named = png.decode(chunked(3, 1, 4, 3, bytes([0, 0x01, 0x10]), (b"PLTE", bytes([1, 2, 3, 4, 5, 6])), (b"tRNS", b"\x07")))
+    assert named[0].tolist() == [[1, 2, 3, 7], [4, 5, 6, 255], [4, 5, 6, 255]]
+    deep = png.decode(chunked(1, 1, 16, 2, bytes([0, 9, 1, 8, 2, 7, 3])))
+    assert deep[0].tolist() == [[9, 8, 7, 255]]
+    good = png.encode(np.zeros((2, 2, 4), np.uint8))
+    for bad in (b"", good[:30], good[:50], chunked(1, 1, 8, 3, b"\0\0"), chunked(1, 1, 8, 9, b"\0\0")):
+        with pytest.raises(ValueError):
+            png.decode(bad)
+
+
 def test_tiles(spark):
     tile = lambda v: png.encode(np.full((2, 2, 4), v, np.uint8))
     data = tile_file({"fmt_ver": b"3", "ls": proto([(1, "surface_2"), (None, "surface_1"), (3, None)])}, {"surface_1": {4096 + 1: tile(10)}, "surface_2": {4096 * 2 + 1: tile(20)}, "surface_9": {0: tile(30)}, "other": {}})
@@ -166,6 +184,12 @@ def test_tiles(spark):
     assert [(r["surface"]) for r in tiles.order(docs).orderBy("z").collect()] == ["surface_1", "surface_2"]
     (row,) = render.document_pngs(docs).collect()
     got = png.decode(row["png"])
+    (one,) = render.document_pngs(docs, ["surface_1", "nowhere"]).collect()
+    assert png.decode(one["png"])[2, 2, 0] == 10 and png.decode(one["png"])[2, 4, 0] == 0
+    (none,) = render.document_pngs(docs, []).collect()
+    assert none["png"] is None and none["error"] is None
+    broken = tiles.documents(files(spark, c=tile_file({}, {"surface_1": {5: tile(1)[:40]}}), d=tile_file({}, {"surface_1": {}})))
+    assert {r["doc_id"]: (r["png"], bool(r["error"])) for r in render.document_pngs(broken).collect()} == {"c": (None, True), "d": (None, False)}
     assert got.shape == (4, 6, 4) and got[2, 2, 0] == 10 and got[2, 4, 0] == 20 and got[0, 0, 0] == 0
 
 
