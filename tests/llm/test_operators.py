@@ -484,6 +484,35 @@ def test_large_groups_stay_whole(spark, monkeypatch):
     assert {got[k] for k in range(220)} == {0} and all(got[k] == k for k in range(1000, 1100))
 
 
+def edited(base, rng, edits, k):
+    copy = list(base)
+    for spot in rng.sample(range(0, len(base) - 4, 5), edits):
+        copy[spot + 2] = f"new{k}x{spot}"
+    return " ".join(copy)
+
+
+def star_of(n, edits):
+    """An original of 300 words, its copies with that many words apart from each other changed."""
+    rng = random.Random(16)
+    base = words(rng, 300, 10**6).split(" ")
+    return [(0, " ".join(base), "a")] + [(k, edited(base, rng, edits, k), "a") for k in range(1, n + 1)]
+
+
+def test_star_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 700)
+    monkeypatch.setattr(jaccard, "BLOCK", 60)  # crowded prefixes lie in several blocks
+    monkeypatch.setattr(jaccard, "STRIP", 50)
+    rows = star_of(300, 6)  # 0.82 similar to the original, less to each other
+    got = Counter((r["doc_id"], r["class_id"], r["copy_id"], r["n_links"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect())
+    assert got == brute_classes(rows) and got[0, 0, 0, 300] == 1 and {r[1] for r in got} == {0}
+
+
+def test_star_of_3000(spark):
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(frame(spark, star_of(3000, 6))).collect()}
+    whole = sum(c == 0 for c, _ in got.values())
+    assert got[0][1] == whole - 1 >= jaccard.RECALL * 3000
+
+
 def test_depth_follows_recall():
     d = jaccard.shortest(0.8, 0.999)
     meet = lambda d: 1 - (1 - 0.8**d) ** jaccard.TREES
