@@ -513,6 +513,11 @@ def test_star_of_3000(spark):
     assert got[0][1] == whole - 1 >= jaccard.RECALL * 3000
 
 
+def test_no_link_of_a_large_group_is_lost(spark):
+    got = [r["n_links"] for r in jaccard.near_duplicates(frame(spark, star_of(1000, 1))).collect()]
+    assert got == [1000] * 1001  # 500,500 pairs, each 0.93 similar or more
+
+
 def test_depth_follows_recall():
     d = jaccard.shortest(0.8, 0.999)
     meet = lambda d: 1 - (1 - 0.8**d) ** jaccard.TREES
