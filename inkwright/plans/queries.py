@@ -137,6 +137,12 @@ def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.xml(F.substring("text", 1, 200)).alias("escaped"), F.concat(T.file_name(path), F.lit(".note")).alias("file"), T.data_base64(F.col("source").cast("binary")).alias("encoded"))
 
 
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS digest FROM documents")
+def text_marks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup escapes of whole texts, as digests; text_marks shows the first 200 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.xml(F.col("text")).cast("binary")).alias("digest"))
+
+
 # Recognized text
 
 LINES_SQL = f"""{EVENTS_SQL},

@@ -43,3 +43,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_escapes_of_whole_texts_are_compared(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from inkwright.plans import queries
+
+    def digests(end):
+        late = F.concat(F.rpad("text", 300, "x"), F.lit(end))
+        monkeypatch.setattr(queries, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").withColumn("text", late))
+        return {r["doc_id"]: r["digest"] for r in QUERIES["text_marks_whole"](spark, SF).collect()}
+
+    once, twice = digests("<"), digests("&lt;")
+    assert all(once[k] != twice[k] for k in once)  # marks after 300 characters count
