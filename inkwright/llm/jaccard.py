@@ -45,7 +45,7 @@ TASK_ROWS = 200_000
 #: Texts of a crowded prefix, and bytes of their shingles, that make a block.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
 #: Texts and shingles of a matrix.
-STRIP = 1024
+STRIP = 256
 _draw = np.random.RandomState(11)
 _MUL = _draw.randint(1, 2**62, TREES * DEPTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.randint(0, 2**62, TREES * DEPTH).astype(np.uint64)
@@ -268,7 +268,7 @@ def crowded_links(members: DataFrame, sets: DataFrame, least: float) -> DataFram
     dealt = members.join(blocks, F.col("bucket") == F.col("b_bucket")).select("bucket", "key", "parts", F.pmod(F.xxhash64("key", "bucket"), F.col("parts")).cast("int").alias("part"))
     each = dealt.select("bucket", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     each = written(each.select("bucket", "key", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")), "blocked")
-    return written(each.join(sets, F.col("key") == F.col("s_key")).groupBy("bucket", "i", "j").applyInArrow(_blocks(least), "key bigint, root bigint, n bigint"), "stars")
+    return written(each.join(sets.hint("merge"), F.col("key") == F.col("s_key")).groupBy("bucket", "i", "j").applyInArrow(_blocks(least), "key bigint, root bigint, n bigint"), "stars")
 
 
 def _verify(least: float) -> Callable:
