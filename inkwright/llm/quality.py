@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, pairs of words, and character 3- and 4-grams (of UTF-8 bytes, case kept) are hashed to
+Words, pairs of words, and 3- and 4-grams of characters (case kept) are hashed to
 ``2**17`` vectors. All pairs of a word with itself, next to each other or one or two words
 apart, share a vector each, so repetition is seen whatever the word. A document is the mean of its n-grams' vectors; softmax over two classes;
 vectors and output are learned together by stochastic gradient descent in numpy.
@@ -10,11 +10,12 @@ computed once, and a document's logit is the mean of these numbers over its n-gr
 broadcast is that array, of fixed size.
 
 Parameters: the fit takes at most ``per_class`` labelled documents of either class, chosen by
-hashed id; the prior of the classes is set back to that of all labelled rows.
+hashed id, of ``labelled.CLASS_CHARS`` characters together; the prior of the classes is set back
+to that of all labelled ids.
 
 Edges: null and empty texts get the score of the bias alone; long texts are taken whole;
-without labels of both classes every score is the prior or 0.5; repeated rows are scored each;
-only doc_id and text are read, so other columns cannot clash.
+without labels of both classes every score is the prior or 0.5; repeated rows are scored each,
+and a repeated id is learned from once; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.llm import tokens
-from inkwright.llm.labelled import fold, sample
+from inkwright.llm.labelled import known, sample
 from inkwright.llm.shared import small_batches
 
 BUCKETS = 1 << 17
@@ -44,12 +45,13 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def families(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind of n-gram: buckets in text order, and each text's first and last-but-one place."""
     texts = len(offsets) - 1
-    code = data.astype(np.uint64)
+    codes, begin = tokens.chars(data, offsets)
+    code = codes.astype(np.uint64)
     for k, n in enumerate((3, 4)):
-        key = np.full(max(0, len(data) - n + 1), n, np.uint64)
+        key = np.full(max(0, len(code) - n + 1), n, np.uint64)
         for j in range(n):
-            key = (key << np.uint64(8)) | code[j : j + len(key)]
-        yield ((key * _ODD[k]) >> _SHIFT).astype(np.int32), offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - n + 1)
+            key = key * np.uint64(tokens._BASE) + code[j : j + len(key)]
+        yield ((key * _ODD[k]) >> _SHIFT).astype(np.int32), begin[:-1], np.maximum(begin[:-1], begin[1:] - n + 1)
     w = tokens.words(data, offsets)
     ends = np.cumsum(np.bincount(w.doc, minlength=texts)) if len(w.doc) else np.zeros(texts, np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     bags = [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["y"]) for r in rows if r["ids"]]
     vectors, out, bias = train(bags, epochs=max(EPOCHS, -(-LEAST_STEPS // max(1, len(bags)))))
     drawn = np.bincount([b[2] for b in bags], minlength=2) + 1.0
-    there = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    there = {r["y"]: r["n"] for r in known(labels, label, folds, held).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = np.log((there.get(1, 0) + 1.0) / (there.get(0, 0) + 1.0)) - np.log(drawn[1] / drawn[0])
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0] + prior)
 

@@ -61,6 +61,16 @@ def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, pa.Array]
         yield lo, texts.slice(lo)
 
 
+def chars(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters (code points) of ``flat`` texts, and where each text begins."""
+    first = (data & 0xC0) != 0x80
+    if first.all():
+        return data, offsets
+    before = np.concatenate([[0], np.cumsum(first)])
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return (codes, before[offsets]) if len(codes) == before[-1] else (data, offsets)  # broken UTF-8: its bytes
+
+
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > 4 * PIECE:  # a giant text: not kept
         return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))

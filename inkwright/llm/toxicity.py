@@ -1,167 +1,148 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A document has the set of its 3- to 6-grams of UTF-8 bytes, in lower case. For each n-gram the
-ratio r = log((p + a) / |p|) - log((q + a) / |q|) compares in how many toxic and other
-documents it is. The n-grams whose ratio stands out of its own error most are kept, and a
-logistic regression with features r (where the n-gram is present) and an L2 penalty is
-fitted in numpy. N-grams are packed into integers, not hashed, so none collide.
+A document has the set of its 3- to 6-grams of characters, in lower case. Every n-gram counts:
+each is hashed to one of ``2**BITS`` buckets, whatever its frequency. For each bucket the ratio
+r = log((p + s P / N) / P) - log((q + s Q / N) / Q) compares in which part of the P toxic and of the Q
+other documents it is (N = P + Q, s = SMOOTH); a bucket that no labelled document has gets 0, and one
+that few have little. A logistic regression with features r (where
+the bucket is present) and an L2 penalty is fitted in numpy by dual coordinate descent: a step
+solves one document's dual variable exactly, so there is no rate to choose.
 
-Parameters: at most ``per_class`` labelled documents a class, by hashed id; at most
-``features`` n-grams, so what is broadcast has a fixed bound.
+Parameters: the fit takes at most ``per_class`` labelled documents a class, by hashed id, of
+``labelled.CLASS_CHARS`` characters together. What is broadcast is one number a bucket.
 
 Edges: null and empty texts score the bias alone; long texts are taken whole; without labels
-of both classes every score is 0.5; repeated rows are scored each; only doc_id and text are
-read.
+of both classes every score is 0.5; repeated rows are scored each, and a repeated id is
+learned from once; only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from inkwright.llm import tokens
 from inkwright.llm.labelled import sample
-from inkwright.llm.shared import small_batches, written
+from inkwright.llm.shared import small_batches
 
 SIZES = (3, 4, 5, 6)
 PER_CLASS = 2000
-FEATURES = 3000
-SMOOTH = 1.0
-_SLOTS = 1 << 20
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Packed n-grams at each place, and the places where they lie within one text."""
-    code = data.astype(np.uint64)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    for n in SIZES:
-        key = np.full(max(0, len(data) - n + 1), n, np.uint64)
-        for j in range(n):
-            key = (key << np.uint64(8)) | code[j : j + len(key)]
-        yield key, left[: len(key)] >= n
-
-
-def _lower(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts, ""))
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+BITS = 20
+SMOOTH = 50.0
+_BASE, _ODD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def gram_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text. The hash of an n-gram is (((1 B + c) B + c') ...) times an
+    odd number, and its upper BITS bits are the bucket."""
+    codes, offsets = tokens.chars(*tokens.flat(pc.utf8_lower(pc.fill_null(texts, ""))))
+    code = codes.astype(np.uint64)
+    hashed, key = [], np.ones(len(code) + 1, np.uint64)
+    for n in range(1, max(SIZES) + 1):
+        key = key[: max(0, len(code) - n + 1)] * np.uint64(_BASE) + code[n - 1 :]
+        if n in SIZES:
+            hashed.append(((key * np.uint64(_ODD)) >> np.uint64(64 - BITS)).astype(np.int32))
+    last = np.empty(1 << BITS, np.int32)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        found = np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(SIZES, hashed, strict=True)])
+        place = np.arange(len(found), dtype=np.int32)
+        last[found] = place  # of equal buckets one place stays
+        yield found[last[found] == place]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels = batch.column(2).to_numpy(zero_copy_only=False)
-        for lo, part in tokens.pieces(_lower(batch.column(1))):
-            data, offsets = tokens.flat(part)
-            kinds = list(grams(data, offsets))
-            sets = ([], [])
-            for d in range(len(part)):
-                a, b = offsets[d], offsets[d + 1]
-                sets[labels[lo + d]].append(np.unique(np.concatenate([k[a:b][ok[a:b]] for k, ok in kinds])))
-            found = [np.unique(np.concatenate(s or [np.zeros(0, np.uint64)]), return_counts=True) for s in sets]
-            keys = np.concatenate([found[1][0], found[0][0]]).astype(np.int64)
-            many = [len(found[1][0]), len(found[0][0])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([found[1][1], np.zeros(many[1], np.int64)])), pa.array(np.concatenate([np.zeros(many[0], np.int64), found[0][1]]))], names=["gram", "p", "q"])
-
-
-def _present(texts: pa.Array, table: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For pieces of the texts: first row, rows, and the pairs (row, feature) that are there."""
-    for lo, part in tokens.pieces(_lower(texts)):
-        data, offsets = tokens.flat(part)
-        pairs = []
-        for key, ok in grams(data, offsets):
-            at = np.flatnonzero(table[(key * _ODD) >> np.uint64(44)] & ok)
-            f = np.minimum(np.searchsorted(keys, key[at]), max(0, len(keys) - 1))
-            same = keys[f] == key[at] if len(keys) else np.zeros(len(at), bool)
-            pairs.append((np.searchsorted(offsets, at[same], "right") - 1) * (FEATURES + 1) + f[same])
-        both = np.unique(np.concatenate(pairs))
-        yield lo, len(part), both // (FEATURES + 1), both % (FEATURES + 1)
-
-
-def slots(keys: np.ndarray) -> np.ndarray:
-    table = np.zeros(_SLOTS, bool)
-    table[(keys * _ODD) >> np.uint64(44)] = True
-    return table
-
-
-def _finder(keys: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = slots(keys)
-        for batch in batches:
-            for lo, n, row, f in _present(batch.column(1), table, keys):
-                each = [f[row == d].astype("<i4").tobytes() for d in range(n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(each, pa.binary())], names=["doc_id", "y", "f"])
-
-    return run
-
-
-def regress(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty, by accelerated gradient steps over all rows."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    keep = np.ones(x.shape[1], np.float32)
-    keep[-1] = 0
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(30):  # the largest curvature, by power iteration
-        v = x.T @ (x @ v)
-        v /= max(np.linalg.norm(v), 1e-9)
-    step = 1 / (0.25 * float(np.linalg.norm(x.T @ (x @ v))) + penalty)
-    w = u = np.zeros(x.shape[1], np.float32)
-    for t in range(steps):
-        z = np.clip(x @ u, -30, 30)
-        g = x.T @ (1 / (1 + np.exp(-z)) - y).astype(np.float32) + penalty * keep * u
-        new = u - step * g
-        u = new + (t / (t + 3)) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = PER_CLASS, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
-    """N-grams (sorted), their weights times their ratios, and the bias."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    some = written(sample(docs, labels, label, folds, held, per_class), "labelled")
-    counted = some.mapInArrow(_counts, "gram bigint, p bigint, q bigint").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    counted = written(counted.where(F.col("p") + F.col("q") >= 5), "grams")
-    sums = counted.agg(F.sum(F.col("p") + F.lit(SMOOTH)).alias("p"), F.sum(F.col("q") + F.lit(SMOOTH)).alias("q")).first()
-    if not sums["p"]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0
-    p, q = F.col("p") + F.lit(SMOOTH), F.col("q") + F.lit(SMOOTH)
-    ratio = F.ln(p / F.lit(sums["p"])) - F.ln(q / F.lit(sums["q"]))
-    best = counted.withColumn("r", ratio).withColumn("z", F.abs(F.col("r")) / F.sqrt(F.lit(1.0) / p + F.lit(1.0) / q)).orderBy(F.col("z").desc(), "gram").limit(features)
-    chosen = sorted((r["gram"], r["r"]) for r in best.select("gram", "r").collect())
-    keys, r = np.array([k for k, _ in chosen], np.uint64), np.array([x for _, x in chosen], np.float32)
+        for lo, part in tokens.pieces(batch.column(1)):
+            each = [np.sort(f).astype("<i4").tobytes() for f in gram_sets(part)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), batch.column(2).slice(lo, len(part)), pa.array(each, pa.large_binary())], names=["doc_id", "y", "f"])
+
+
+def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The log-count ratio of every bucket."""
+    counts, many = np.zeros((2, 1 << BITS)), np.bincount(y, minlength=2)
+    for f, label in zip(rows, y, strict=True):
+        counts[label, f] += 1
+    other, toxic = (np.log((counts[k] + SMOOTH * many[k] / len(rows)) / max(1, many[k])) for k in (0, 1))
+    return toxic - other
+
+
+def _dual(square: float, z: float, old: float, most: float) -> float:
+    """The dual variable a in (0, most) with square (a - old) + z + log(a / (most - a)) = 0, by
+    Newton steps on its logit within a shrinking bracket."""
+    lo, hi = -z - square * most, -z + square * most
+    t = min(max(math.log(old / (most - old)), lo), hi)
+    for _ in range(60):
+        s = 1 / (1 + math.exp(-min(max(t, -500.0), 500.0)))
+        f = square * (most * s - old) + z + t
+        lo, hi = (lo, t) if f > 0 else (t, hi)
+        step = t - f / (square * most * s * (1 - s) + 1)
+        new = step if lo < step < hi else (lo + hi) / 2
+        if abs(new - t) < 1e-9:
+            break
+        t = new
+    return min(max(most / (1 + math.exp(-min(max(t, -500.0), 500.0))), most * 1e-12), most * (1 - 1e-12))
+
+
+def regress(rows: list[np.ndarray], r: np.ndarray, y: np.ndarray, penalty: float = 1.0, passes: int = 25, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Weights of the features ``r`` and the bias (the weight of a constant feature 1): minimizes the
+    log loss of all rows plus penalty / 2 times the squared weights."""
+    rng, most = np.random.RandomState(seed), 1.0 / penalty
+    w, bias = np.zeros(len(r)), 0.0
+    sign = np.where(y > 0, 1.0, -1.0)
+    values = [r[f] for f in rows]
+    square = [float(v @ v) + 1.0 for v in values]
+    dual = np.full(len(rows), most * 1e-3)
+    for f, v, s, a in zip(rows, values, sign, dual, strict=True):
+        w[f] += s * a * v
+        bias += s * a
+    for _ in range(passes):
+        moved = 0.0
+        for i in rng.permutation(len(rows)):
+            f, v, s = rows[i], values[i], sign[i]
+            new = _dual(square[i], s * (float(w[f] @ v) + bias), dual[i], most)
+            d = s * (new - dual[i])
+            w[f] += d * v
+            bias += d
+            moved = max(moved, abs(d))
+            dual[i] = new
+        if moved < 1e-3 * most:
+            break
+    return w, float(bias)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
+    """For each bucket its weight times its ratio, and the bias."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = some.mapInArrow(_finder(keys), f"doc_id {kind}, y int, f binary").toArrow().to_pylist()
-    rows.sort(key=lambda x: (x["doc_id"], x["y"], x["f"]))
-    y = np.array([x["y"] for x in rows], np.float32)
-    if len(set(y.tolist())) < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0
-    x = np.zeros((len(rows), len(keys)), np.float32)
-    for k, row in enumerate(rows):
-        at = np.frombuffer(row["f"], "<i4")
-        x[k, at] = r[at]
-    w, bias = regress(x, y)
-    return keys, (w * r).astype(np.float32), bias
+    found = sample(docs, labels, label, folds, held, per_class).mapInArrow(_sets, f"doc_id {kind}, y int, f binary").toArrow().sort_by([("doc_id", "ascending")])
+    y = found.column("y").to_numpy().astype(np.int64)
+    if len(np.unique(y)) < 2:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    rows = [np.frombuffer(x.as_buffer(), "<i4") for x in found.column("f")]
+    r = ratios(rows, y)
+    w, bias = regress(rows, r, y)
+    return (w * r).astype(np.float32), bias
 
 
 def _scorer(model, bias: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights = model.value
-        table = slots(keys)
+        weights = model.value
         for batch in batches:
-            for lo, n, row, f in _present(batch.column(1), table, keys):
-                z = bias + np.bincount(row, weights[f] if len(f) else None, minlength=n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
+            for lo, part in tokens.pieces(batch.column(1)):
+                z = bias + np.array([weights[f].sum(dtype=np.float64) for f in gram_sets(part)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
     return run
 
 
-def score(docs: DataFrame, keys: np.ndarray, weights: np.ndarray, bias: float) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """(doc_id, score): the probability of class 1 of every text."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scorer(spark.sparkContext.broadcast((keys, weights)), bias), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(_scorer(spark.sparkContext.broadcast(weights), bias), f"doc_id {kind}, score double")
