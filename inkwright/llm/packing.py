@@ -8,9 +8,10 @@ whose bitmaps don't meet the piece's, so to the tightest compatible bin, else to
 Larger pieces go first. A document longer than a bin is cut: full bins of its own, and the
 rest is packed as any other.
 
-Packing is sequential, so documents are dealt by hashed id to shards of about
-``shard_docs``, packed each on its own; a source or cluster of any size is spread over all
-shards. A shard is bounded, whatever the table's size.
+Packing is sequential, so documents are dealt to shards of about ``shard_docs``, packed each
+on its own: by a hash of id, source, size, cluster and, as equal rows are counted first, of the
+row's number among its equals. So a source, a cluster, an id or a row that comes any number of
+times is spread over all shards, and a shard is bounded, whatever the table's size.
 
 Edges: null and empty texts are pieces of 0 words; a null source or cluster is a value of its
 own; ties go by id, source, cluster; repeated rows are packed each, in different bins as they
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.llm.mixing import size_of
-from inkwright.llm.shared import small_batches, written
+from inkwright.llm.shared import counted, expanded, small_batches, written
 
 CAPACITY = 2048
 SHARD_DOCS = 1024
@@ -107,10 +108,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     ``offset`` of a bin. A bin's number holds its shard in the upper half."""
     small_batches(docs.sparkSession)
     copies = F.col(cluster) if cluster else F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    sized = written(docs.select("doc_id", size_of(F.col("text")).alias("size"), "source", copies.alias("cluster")), "sizes")
-    shards = max(1, -(-sized.count() // shard_docs))
+    sized = written(counted(docs.select("doc_id", size_of(F.col("text")).alias("size"), "source", copies.alias("cluster"))), "sizes")
+    shards = max(1, -(-(sized.agg(F.sum("rows")).first()[0] or 0) // shard_docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = sized.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(shards)).alias("shard"), "doc_id", "size", "source", "cluster")
+    row = [F.col(c).cast("string") for c in ("doc_id", "source", "size", "cluster")]
+    dealt = expanded(sized, "rows", "turn").select(F.pmod(F.xxhash64(*row, "turn", F.lit(4)), F.lit(shards)).alias("shard"), "doc_id", "size", "source", "cluster")
     return (
         dealt.repartition("shard")
         .sortWithinPartitions("shard", F.col("size").desc(), "doc_id", "source", "cluster")

@@ -22,8 +22,8 @@ def op1_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a mu-law file, read back."""
-    return telephony.read_media(telephony.encode_media(_read(spark, sf_dir, "documents")), store_pcm=False)
+    """Every text as a stored mu-law file, read back: digests, features and the 16 kHz PCM itself."""
+    return telephony.read_media(telephony.encode_media(_read(spark, sf_dir, "documents")))
 
 
 def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
@@ -94,7 +94,7 @@ _OP5 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          CASE WHEN length(text) > 0 THEN 0.25::DOUBLE + 0.75::DOUBLE * length(translate(text, '!$%&*#|=<>{}[]~^_0123456789', '')) / length(text) ELSE 1.0::DOUBLE END AS w,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / w AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
@@ -109,10 +109,10 @@ t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight
 g AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)::BIGINT) ELSE 0 END AS epochs FROM t),
 h AS (SELECT *, CASE WHEN epochs >= 3 THEN 0.0::DOUBLE ELSE target - epochs * source_size END AS part FROM g),
 r AS (SELECT k.doc_id, k.size, h.source_size, h.target, h.epochs, h.part,
-             coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+             coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
       FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN ahead + size / 2.0::DOUBLE <= part THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (epochs + CASE WHEN part > 0 AND ahead + size / 2.0::DOUBLE <= part THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwright.session import ship
 
@@ -19,6 +20,8 @@ _own: dict[str, str] = {}
 
 #: Rows of an Arrow batch that carries texts: some MB at a few KB a text.
 BATCH_ROWS = 512
+#: Equal rows that one task puts out again.
+CHUNK = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +36,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[key]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` after one round trip through a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwright/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has; Spark takes upper and lower case as equal."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def counted(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Equal rows as one row with their number, summed in each task before they are shuffled."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(name))
+
+
+def expanded(df: DataFrame, count: str, turn: str) -> DataFrame:
+    """Every row of ``df`` ``count`` times, with the number ``turn`` from 0. Rows that come very
+    often are dealt out in chunks first, so no task makes more than CHUNK of one row."""
+    each = df.where(F.col(count) <= CHUNK).withColumn(turn, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    often = df.where(F.col(count) > CHUNK)
+    (chunk,) = free_names(df, "chunk")
+    often = often.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))).repartition(*often.columns, chunk)
+    first = F.col(chunk) * CHUNK
+    often = often.withColumn(turn, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(count)) - 1))).drop(chunk)
+    return each.unionByName(often)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Before Python runs: workers find the package, and Arrow batches of texts are small, as a
     batch of long texts must fit a worker."""
