@@ -1,13 +1,17 @@
 """Media columns: telephony audio.
 
-Bytes are kept losslessly as the 8-bit mu-law samples of an 8 kHz WAV file (format tag 7).
-Reading parses the file, expands mu-law and A-law by 256-entry tables, decodes IMA ADPCM
-blocks with numpy across all blocks of a batch (one step a nibble, every block at once), and
-doubles the rate to 16 kHz PCM with an integer half-band filter.
+Bytes are kept losslessly as the 8-bit samples of an 8 kHz WAV file: mu-law (format tag 7), A-law
+(tag 6), or blocks of IMA ADPCM (tag 17). Media files are stored as a table and read back.
+Reading parses a file, and by its tag expands mu-law or A-law by a table of 256 entries or decodes
+ADPCM blocks with numpy across all blocks of a batch (one step a nibble, every block at once).
+Mono PCM at twice the rate comes from an integer half-band filter; it is stored as WAV files in a
+table, and its digest is taken from what is read there.
 
 Edges: a null text is empty; an empty text is one block of zeros; texts of any length are
 taken whole; equal texts give equal values; tables without rows give none; only the named
-columns are read. A media value that isn't such a file gives nulls.
+columns are read. A media value that isn't such a file (no WAV, another tag, no samples, stereo,
+an ADPCM file without a whole block) gives nulls; ADPCM bytes after the last whole block count
+as payload but give no samples.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkwright.llm.shared import small_batches
+from inkwright.llm.shared import small_batches, written
 from inkwright.llm.tokens import pieces
 
 BLOCK = 64
 RATE = 8000
-MULAW, PCM = 7, 1
+MULAW, ALAW, ADPCM, PCM = 7, 6, 17, 1
 
 # Fixed values of the IMA ADPCM format: quantizer steps, and index changes by a nibble's low three bits.
 STEPS = np.array(
@@ -82,22 +86,27 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
 
 
 def wav(data: bytes, tag: int, rate: int, bits: int) -> bytes:
-    step = bits // 8
-    head = struct.pack("<4sI4s4sIHHIIHHH4sI", b"RIFF", 38 + len(data) + len(data) % 2, b"WAVE", b"fmt ", 18, tag, 1, rate, rate * step, step, bits, 0, b"data", len(data))
+    """A mono WAV file; ``bits`` a sample, or 4 for ADPCM, whose blocks have BLOCK bytes."""
+    step = max(1, bits // 8) if tag != ADPCM else BLOCK
+    head = struct.pack("<4sI4s4sIHHIIHHH4sI", b"RIFF", 38 + len(data) + len(data) % 2, b"WAVE", b"fmt ", 18, tag, 1, rate, rate * step if tag != ADPCM else rate * BLOCK // (1 + 2 * (BLOCK - 4)), step, bits, 0, b"data", len(data))
     return head + data + b"\0" * (len(data) % 2)
 
 
-def wav_data(stored: bytes) -> tuple[int, int, bytes]:
-    """Format tag, rate and samples of a WAV file."""
+def wav_data(stored: bytes) -> tuple[int, int, bytes, int]:
+    """Format tag, rate, samples and block size of a mono WAV file."""
     if stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, tag, rate = 12, 0, 0
+    at, tag, rate, block = 12, 0, 0, 0
     while at + 8 <= len(stored):
         name, n = struct.unpack_from("<4sI", stored, at)
         if name == b"fmt ":
-            tag, _, rate = struct.unpack_from("<HHI", stored, at + 8)
+            if n < 16 or at + 24 > len(stored):
+                raise ValueError("no format")
+            tag, channels, rate, _, block = struct.unpack_from("<HHIIH", stored, at + 8)
+            if channels != 1:
+                raise ValueError("not mono")
         elif name == b"data":
-            return tag, rate, stored[at + 8 : at + 8 + n]
+            return tag, rate, stored[at + 8 : at + 8 + n], block
         at += 8 + n + n % 2
     raise ValueError("no samples")
 
@@ -107,78 +116,108 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (BLOCK - len(text) if not text else -len(text) % BLOCK)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column(1).cast(pa.binary())
-        for lo, part in pieces(raw, 8 << 20):
-            texts = [x or b"" for x in part.to_pylist()]
-            media = [wav(payload(x), MULAW, RATE, 8) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+def _encoder(tag: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).cast(pa.binary())
+            for lo, part in pieces(raw, 8 << 20):
+                texts = [x or b"" for x in part.to_pylist()]
+                media = [wav(payload(x), tag, RATE, 4 if tag == ADPCM else 8) for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return run
 
 
-def encode_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as a mu-law WAV file."""
+def encode_media(docs: DataFrame, tag: int = MULAW) -> DataFrame:
+    """(doc_id, n_bytes, media): each text's bytes as the samples of a WAV file of that format, stored."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(docs.select("doc_id", "text").mapInArrow(_encoder(tag), f"doc_id {kind}, n_bytes bigint, media binary"), "media", "zstd")
+
+
+def _blocks(data: list[bytes], block: int) -> np.ndarray:
+    """The samples of all whole blocks, decoded at once."""
+    rows = np.frombuffer(b"".join(x[: len(x) // block * block] for x in data), np.uint8).reshape(-1, block)
+    out = np.empty((len(rows), 1 + 2 * (block - 4)), np.int16)
+    for k in range(0, len(rows), 1 << 13):
+        out[k : k + (1 << 13)] = decode_adpcm(rows[k : k + (1 << 13)])
+    return out
+
+
+def linear(found: list[tuple[int, int, bytes, int] | None]) -> list[np.ndarray | None]:
+    """The samples of files (see ``wav_data``) by their tags; nothing for those that can't be decoded."""
+    out: list[np.ndarray | None] = [None] * len(found)
+    coded: dict[int, list[int]] = {}
+    for k, x in enumerate(found):
+        if x and x[2]:
+            tag, _, data, block = x
+            if tag in (MULAW, ALAW):
+                out[k] = (_MU if tag == MULAW else _A)[np.frombuffer(data, np.uint8)]
+            elif tag == ADPCM and block > 4 and len(data) >= block:
+                coded.setdefault(block, []).append(k)
+    for block, files in coded.items():
+        rows = _blocks([found[k][2] for k in files], block)
+        ends = np.cumsum([len(found[k][2]) // block for k in files])
+        for k, part in zip(files, np.split(rows, ends[:-1]), strict=True):
+            out[k] = part.reshape(-1)
+    return out
 
 
-def _feature(samples: list[bytes], adpcm: np.ndarray, keep: bool) -> tuple[list[str], list[bytes | None]]:
-    said, pcm = [], []
+def _features(found: list[tuple[int, int, bytes, int] | None], decoded: list[np.ndarray | None]) -> Iterator[str | None]:
+    """What each file's samples say as mu-law, as A-law and as ADPCM blocks of 64 bytes."""
+    coded = _blocks([x[2] for x, pcm in zip(found, decoded, strict=True) if pcm is not None], BLOCK)
+    power = lambda x: round(float(np.sqrt(np.mean(np.square(x.astype(np.float32)), dtype=np.float64))), 1) if x.size else 0.0
     at = 0
-    for data in samples:
-        b = np.frombuffer(data, np.uint8)
-        blocks = len(b) // BLOCK
-        linear, other, coded = _MU[b], _A[b], adpcm[at : at + blocks]
-        at += blocks
-        wide = double_rate(linear).astype("<i2", copy=False)
-        power = lambda x: round(float(np.sqrt(np.mean(np.square(x.astype(np.float32)), dtype=np.float64))), 1)
-        turns = int(np.count_nonzero((linear[1:] ^ linear[:-1]) < 0))
-        said.append(f"mulaw rms={power(linear)} peak={int(np.abs(linear.astype(np.int32)).max())} turns={turns}; alaw rms={power(other)} crc={zlib.crc32(other.tobytes()):08x}; adpcm rms={power(coded)} crc={zlib.crc32(coded.tobytes()):08x}; pcm16k n={len(wide)} crc={zlib.crc32(wide.tobytes()):08x}")
-        pcm.append(wav(wide.tobytes(), PCM, 2 * RATE, 16) if keep else None)
-    return said, pcm
-
-
-def _decoder(keep: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, part in pieces(batch.column(2), 2 << 20):
-                stored = part.to_pylist()
-                samples: list[bytes | None] = []
-                for x in stored:
-                    try:
-                        tag, _, data = wav_data(x or b"")
-                        samples.append(data if tag == MULAW and data and len(data) % BLOCK == 0 else None)
-                    except ValueError:
-                        samples.append(None)
-                good = [x for x in samples if x is not None]
-                blocks = np.frombuffer(b"".join(good), np.uint8).reshape(-1, BLOCK)
-                coded = np.empty((len(blocks), 1 + 2 * (BLOCK - 4)), np.int16)
-                for k in range(0, len(blocks), 1 << 13):
-                    coded[k : k + (1 << 13)] = decode_adpcm(blocks[k : k + (1 << 13)])
-                said, pcm = map(iter, _feature(good, coded, keep))
-                ok = lambda f: [None if x is None else f(x) for x in samples]
-                columns = [
-                    batch.column(0).slice(lo, len(stored)),
-                    batch.column(1).slice(lo, len(stored)),
-                    pa.array(ok(len), pa.int64()),
-                    pa.array(ok(lambda x: hashlib.sha256(x).hexdigest()), pa.string()),
-                    pa.array(ok(lambda x: zlib.crc32(x[-BLOCK:])), pa.int64()),
-                    pa.array([None if x is None else len(x) for x in stored], pa.int64()),
-                    pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in stored], pa.string()),
-                    pa.array(ok(lambda _: next(said)), pa.string()),
-                ]
-                if keep:
-                    columns.append(pa.array(ok(lambda _: next(pcm)), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
+    for x, pcm in zip(found, decoded, strict=True):
+        if pcm is None:
+            yield None
+            continue
+        b = np.frombuffer(x[2], np.uint8)
+        mu, a, blocks = _MU[b], _A[b], coded[at : at + len(b) // BLOCK]
+        at += len(b) // BLOCK
+        turns = int(np.count_nonzero((mu[1:] ^ mu[:-1]) < 0))
+        yield f"mulaw rms={power(mu)} peak={int(np.abs(mu.astype(np.int32)).max())} turns={turns}; alaw rms={power(a)} crc={zlib.crc32(a.tobytes()):08x}; adpcm rms={power(blocks)} crc={zlib.crc32(blocks.tobytes()):08x}"
 
-    return run
+
+def _file(stored: bytes | None) -> tuple[int, int, bytes, int] | None:
+    try:
+        return wav_data(stored or b"")
+    except ValueError:
+        return None
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, part in pieces(batch.column(2), 2 << 20):
+            stored = part.to_pylist()
+            found = [_file(x) for x in stored]
+            pcm = linear(found)
+            ok = lambda f: [None if p is None else f(x[2]) for x, p in zip(found, pcm, strict=True)]
+            columns = [
+                batch.column(0).slice(lo, len(stored)),
+                batch.column(1).slice(lo, len(stored)),
+                pa.array(ok(len), pa.int64()),
+                pa.array(ok(lambda x: hashlib.sha256(x).hexdigest()), pa.string()),
+                pa.array(ok(lambda x: zlib.crc32(x[-BLOCK:])), pa.int64()),
+                pa.array([None if x is None else len(x) for x in stored], pa.int64()),
+                pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in stored], pa.string()),
+                pa.array(_features(found, pcm), pa.string()),
+                pa.array([None if p is None else wav(double_rate(p).astype("<i2", copy=False).tobytes(), PCM, 2 * x[1], 16) for x, p in zip(found, pcm, strict=True)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
 
 
-def read_media(media: DataFrame, store_pcm: bool = True) -> DataFrame:
-    """Digests and features of the stored bytes, read back, and with ``store_pcm`` the 16 kHz PCM WAV file."""
+def read_media(media: DataFrame) -> DataFrame:
+    """Digests and features of stored files (doc_id, n_bytes, media), and their samples as mono PCM
+    WAV files of twice the rate (``pcm``)."""
+    small_batches(media.sparkSession)
     kind = media.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", pcm binary" * store_pcm
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decoder(store_pcm), schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm binary")
+
+
+def store_pcm(read: DataFrame) -> DataFrame:
+    """``read_media``'s rows as they are read from a stored table."""
+    return written(read, "pcm", "zstd")
