@@ -133,7 +133,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     out: list[tuple] = []
     now: tuple = ()
-    seen = chars = loss = total = examples = 0
+    before = ""
+    seen = loss = total = examples = 0
     turns = lost = hashlib.sha256()
 
     def ended() -> tuple:
@@ -144,13 +145,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != (conv,):
                 if now:
                     out.append(ended())
-                now, seen, chars, loss, total, examples = (conv,), 0, 0, 0, 0, 0
+                now, before, seen, loss, total, examples = (conv,), "", 0, 0, 0, 0
                 turns, lost = hashlib.sha256(), hashlib.sha256()
-            # The rows of a conversation grow at their end: what an earlier row had isn't read again.
-            for role, text in read_turns(formatted[chars:]):
+            # the whole context is read: it has to be what the example before it had
+            if not formatted.startswith(before):
+                raise ValueError(f"conversation {conv}: the context of an example isn't what was said before")
+            for role, text in read_turns(formatted[len(before) :]):
                 turns.update(f"{role}\n{text}\n".encode())
                 seen += 1
-            chars = len(formatted)
+            before = formatted
             total += len(formatted)
             if lo is not None:
                 reply = unescape(formatted[lo:hi])
@@ -167,5 +170,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Digests of what ``format_examples`` wrote, parsed from its rows where they are (no shuffle)."""
+    """Digests of what ``format_examples`` wrote, from its rows where they are (no shuffle). Every row is
+    read whole: its context is compared with the row before, and what it adds is parsed."""
     return examples.mapInArrow(_digests, DIGESTS)
