@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 A text is its set of five-word shingles. Texts with equal sets are one copy class and take part
-once. A signature of 128 minima is read as 16 trees of depth 8. All (tree, signature) rows
+once; classes go by a hash of the set, and a second hash verifies that a class is one set. A signature of 128 minima is read as 16 trees of depth 8. All (tree, signature) rows
 are sorted by range, which lays each tree out as a sorted prefix trie dealt over tasks; a
 hot prefix spans several tasks, as ties are broken by hash. All texts are paired that share a
 prefix of the depth where a pair at the threshold meets with the target recall (4 at 0.8 and
@@ -68,8 +68,12 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return h, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
 
 
-def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 for empty ones."""
+def set_keys(h: np.ndarray, at: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two unrelated hashes of each set, 0 for empty ones: the key, of so many bits, and the check."""
+    return _set_hash(h, at) >> np.int64(64 - bits), _set_hash(tokens.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
+
+
+def _set_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     up, _ = tokens._grown(int(np.diff(at).max(initial=0)) + 1)
     place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[place])])
@@ -85,17 +89,20 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, part in tokens.pieces(batch.column(1)):
-            h, at = shingle_sets(part)
-            keys = set_keys(h, at)
-            full = np.flatnonzero(np.diff(at) > 0)
-            signed: list[bytes | None] = [None] * len(part)
-            if len(full):
-                for d, row in zip(full, signatures(h, np.append(at[full], len(h))), strict=True):
-                    signed[d] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(keys), pa.array(signed, pa.binary())], names=["doc_id", "key", "signature"])
+def _signer(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, part in tokens.pieces(batch.column(1)):
+                h, at = shingle_sets(part)
+                keys, checks = set_keys(h, at, bits)
+                full = np.flatnonzero(np.diff(at) > 0)
+                signed: list[bytes | None] = [None] * len(part)
+                if len(full):
+                    for d, row in zip(full, signatures(h, np.append(at[full], len(h))), strict=True):
+                        signed[d] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(keys), pa.array(checks), pa.array(signed, pa.binary())], names=["doc_id", "key", "check", "signature"])
+
+    return run
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +300,19 @@ def _verify(least: float) -> Callable:
     return run
 
 
-def similarity_join(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_join(docs: DataFrame, least: float = LEAST, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, key) of all documents by copy class, links (a, b, similarity) between different
     copy classes of at least ``least``, and the stars of all further links (see crowded_links)."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, key bigint, signature binary"), "signed")
-    rows = signed.select("doc_id", "key")
-    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
+    signed = written(docs.select("doc_id", "text").mapInArrow(_signer(bits), f"doc_id {kind}, key bigint, check bigint, signature binary"), "signed")
+    grouped = lambda: written(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
+    classes = grouped()
+    mixed = classes.where(F.col("low") != F.col("high")).select(F.col("key").alias("m_key"))
+    if not mixed.isEmpty():  # different texts met in a key: the check is the key of all of them
+        signed = written(signed.join(mixed, F.col("key") == F.col("m_key"), "left").withColumn("key", F.when(F.col("m_key").isNull(), F.col("key")).otherwise(F.col("check"))).drop("m_key"), "signed")
+        classes = grouped()
+    rows, classes = signed.select("doc_id", "key"), classes.select("key", "first")
     one = signed.where(F.col("signature").isNotNull()).join(
         classes.select(F.col("key").alias("c_key"), "first"), (F.col("key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi"
     )
@@ -312,7 +324,7 @@ def similarity_join(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
     needed = written(asked.join(hot, F.col("key") == F.col("h_key"), "left").select("key", "hot").join(classes, "key"), "needed")
     # one plan at every size: what is needed grows with the input, so it isn't broadcast where it happens to be small
     texts = docs.select(F.col("doc_id"), F.col("text")).join(needed.select(F.col("first"), F.col("key").alias("t_key"), "hot").hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")))
-    texts = written(texts.select("t_key", "text", "hot").mapInArrow(_only, "t_key bigint, text string, hot array<bigint>").dropDuplicates(["t_key"]), "texts")
+    texts = written(texts.select("t_key", "text", "hot").mapInArrow(_owner(bits), "t_key bigint, text string, hot array<bigint>").dropDuplicates(["t_key"]), "texts")
     side = lambda key, text: texts.select(F.col("t_key").alias(key), F.col("text").alias(text), F.col("hot").alias(f"hot_{text}"))
     joined = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").where(~F.coalesce(F.arrays_overlap("hot_x", "hot_y"), F.lit(False)))
     links = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a bigint, b bigint, similarity double"), "links")
@@ -320,17 +332,23 @@ def similarity_join(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
     return rows, links, crowded_links(members, sets, least)
 
 
-def _only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _owner(bits: int) -> Callable:
     """Rows whose text has the key; others share an id with it."""
-    for batch in batches:
-        keys = [set_keys(*shingle_sets(part)) for _, part in tokens.pieces(batch.column(1))]
-        yield batch.filter(pa.array(np.concatenate([np.zeros(0, np.int64), *keys]) == batch.column(0).to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_keys(*shingle_sets(part), bits) for _, part in tokens.pieces(batch.column(1))]
+            wanted = batch.column(0).to_numpy()
+            keys, checks = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (wanted, wanted)
+            yield batch.filter(pa.array((keys == wanted) | (checks == wanted)))
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = LEAST, bits: int = 64) -> DataFrame:
     """(doc_id, key, copy_id, class_id, n_links) for every row: the smallest id of its copy
     class and of its class of linked texts, and its copy class's links."""
-    rows, links, stars = similarity_join(docs, least)
+    rows, links, stars = similarity_join(docs, least, bits)
     roots = components(links.select("a", "b").union(stars.select("key", "root")))
     one = F.lit(1).cast("long").alias("n")
     ends = links.select(F.col("a").alias("e_key"), one).union(links.select("b", one)).union(stars.select("key", "n")).groupBy("e_key").agg(F.sum("n").alias("n_links"))
