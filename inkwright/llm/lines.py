@@ -30,14 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.llm import tokens
-from inkwright.llm.shared import small_batches, written
+from inkwright.llm.shared import free_names, small_batches, written
 
 MIN_WORDS = 30
 _LAST = np.uint64(2**64 - 1)
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id.cast("string"), text)
+    """128 bits that stand for a row's id and text; null and empty texts differ."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.concat(F.lit("="), text), F.lit("")))
+    return F.unhex(F.md5(said.cast("binary")))
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +112,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
-    found = written(keyed.mapInArrow(_windows(min_words), f"doc_id {kind}, doc bigint, line int, lines int, mark bigint, window bigint"), "windows")
+    found = written(keyed.mapInArrow(_windows(min_words), f"doc_id {kind}, doc binary, line int, lines int, mark bigint, window bigint"), "windows")
     places = found.groupBy("mark").agg(F.min(F.struct("doc", "line")).alias("a"), F.max(F.struct("doc", "line")).alias("b"))
     # written, so both sides of the joins come straight from an exchange and hot keys can be split
     marks = written(places.where(F.col("a") != F.col("b")).select(F.col("mark").alias("f_mark")), "marks")
@@ -123,7 +125,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("doc", F.struct("line", "lines").alias("run")).groupBy("doc").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
 
-def _delete(text_at: int, runs_at: int, names: list[str]) -> Callable:
+def _delete(text_at: int, runs_at: int, names: list[str], said: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs = batch.column(text_at).to_pylist(), batch.column(runs_at).to_pylist()
@@ -141,16 +143,24 @@ def _delete(text_at: int, runs_at: int, names: list[str]) -> Callable:
                     texts[k] = "\n".join(x for x, d in zip(lines, drop, strict=True) if not d)
             columns = [batch.column(i) if i != text_at else pa.array(texts, pa.string()) for i in range(len(names))]
             columns += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_lines", "_gone", "_lost"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *said])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs taken out of ``text``, and three more columns:
-    ``_lines``, ``_gone`` (lines deleted) and ``_lost`` (words deleted)."""
-    runs = repeated_runs(docs, min_words).select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs"))
-    joined = docs.withColumn("_key", document_key(F.col("doc_id"), F.col("text"))).join(runs, F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")
-    names = list(docs.columns)
-    schema = joined.drop("_runs").schema.add("_lines", "long").add("_gone", "long").add("_lost", "long")
-    return joined.mapInArrow(_delete(names.index("text"), len(names), names), schema)
+    """``docs`` with later repeated runs taken out of ``text``, and three more columns: lines, lines
+    deleted and words deleted, named by ``report_columns``."""
+    key, doc, runs = free_names(docs, "_key", "_doc", "_runs")
+    found = repeated_runs(docs, min_words).select(F.col("doc").alias(doc), F.col("runs").alias(runs))
+    joined = docs.withColumn(key, document_key(F.col("doc_id"), F.col("text"))).join(found, F.col(key) == F.col(doc), "left").drop(key, doc)
+    names, said = list(docs.columns), report_columns(docs)
+    schema = joined.drop(runs).schema
+    for name in said:
+        schema = schema.add(name, "long")
+    return joined.mapInArrow(_delete(names.index("text"), len(names), names, said), schema)
+
+
+def report_columns(docs: DataFrame) -> list[str]:
+    """``_lines``, ``_gone`` and ``_lost``, or longer names where ``docs`` has these."""
+    return free_names(docs, "_lines", "_gone", "_lost")
