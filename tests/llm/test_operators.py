@@ -13,9 +13,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from inkwright.llm import labelled as labelled_module
 from inkwright.llm import bm25, chat, components, jaccard, lines, masked_lm, mixing, packing, quality, queries, telephony, tokens, toxicity
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, size int, rank int, first string"
+EXTRA = ["score", "key", "size", "rank", "first", "_doc", "_runs", "_key", "_lines", "_gone", "epochs", "last", "t_source", "t_last", "rows", "turn", "chunk", "target", "range", "part", "y", "class_id", "shard", "cluster"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 WS = " \t\n\x0b\x0c\r"
 
 
@@ -27,7 +29,7 @@ def split(text):
 
 def frame(spark, rows):
     """Documents with further columns whose names operators use themselves."""
-    return spark.createDataFrame([(i, t, None, s, 0, 0.5, "k", 1, 2, "f") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, None, s, 0, *EXTRA) for i, t, s in rows], DOCS)
 
 
 def words(rng, n, vocabulary=400):
@@ -102,7 +104,9 @@ def test_line_dedup_edges(spark, odd):
     passage = words(random.Random(5), 55)
     rows = odd + [(20, f"own start\n{passage}\nown end", "a"), (21, f"{passage}", "a"), (22, f"other\n{passage}", "a"), (23, "short\nline", "a"), (24, "short\nline", "a")]
     out = lines.dedup_lines(frame(spark, rows))
-    assert out.columns[:10] == frame(spark, rows).columns
+    n = len(out.columns) - 3
+    assert out.columns[:n] == frame(spark, rows).columns and out.columns[n:] == lines.report_columns(frame(spark, rows)) == ["_lines_", "_gone_", "_lost"]
+    assert all(list(r[5:n]) == EXTRA for r in out.collect())
     got = {}
     for r in out.collect():
         got.setdefault(r["doc_id"], []).append(r["text"])
@@ -122,6 +126,8 @@ def test_media_round_trip(spark, odd):
     for r in out:
         stored = bytes(r["pcm"])
         assert telephony.wav_data(stored)[:2] == (1, 16000) and len(telephony.wav_data(stored)[2]) == 4 * r["payload_bytes"]
+    kept = telephony.store_pcm(telephony.read_media(telephony.encode_media(frame(spark, odd)))).collect()
+    assert sorted((r["payload_sha256"], r["pcm"]) for r in kept) == sorted((r["payload_sha256"], r["pcm"]) for r in out)
     for text in texts:
         data = text + b"\0" * (-len(text) % 64 or (0 if text else 64))
         same = [r for r in out if r["payload_sha256"] == hashlib.sha256(data).hexdigest()]
@@ -135,6 +141,53 @@ def test_broken_media_is_null(spark):
     assert all(r["payload_sha256"] is None for r in telephony.read_media(bad).collect())
 
 
+def slow_adpcm(block):
+    level, index = int(np.frombuffer(block[:2], "<i2")[0]), min(88, block[2])
+    out = [level]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = int(telephony.STEPS[index])
+            change = (step >> 3) + sum(step >> s for s, bit in ((0, 4), (1, 2), (2, 1)) if nibble & bit)
+            level = max(-32768, min(32767, level - change if nibble & 8 else level + change))
+            index = max(0, min(88, index + int(telephony.TURNS[nibble & 7])))
+            out.append(level)
+    return out
+
+
+def test_features_and_pcm_by_formula(spark):
+    text = "Feature strings, byte by byte: äöü " * 9
+    data = telephony.payload(text.encode())
+    r = telephony.read_media(telephony.encode_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    mu, a = ([int(t[b]) for b in data] for t in (telephony.mulaw_table(), telephony.alaw_table()))
+    coded = [x for k in range(0, len(data), 64) for x in slow_adpcm(data[k : k + 64])]
+    power = lambda x: round(math.sqrt(sum(v * v for v in x) / len(x)), 1)
+    crc = lambda x: f"{zlib.crc32(np.array(x, '<i2').tobytes()):08x}"
+    turns = sum((p ^ q) < 0 for p, q in itertools.pairwise(mu))
+    assert r["feature"] == f"mulaw rms={power(mu)} peak={max(map(abs, mu))} turns={turns}; alaw rms={power(a)} crc={crc(a)}; adpcm rms={power(coded)} crc={crc(coded)}"
+    wide = []
+    for k, v in enumerate(mu):
+        at = lambda j: mu[min(max(j, 0), len(mu) - 1)]
+        wide += [v, max(-32768, min(32767, (9 * (v + at(k + 1)) - at(k - 1) - at(k + 2) + 8) >> 4))]
+    assert np.frombuffer(telephony.wav_data(bytes(r["pcm"]))[2], "<i2").tolist() == wide
+
+
+def test_files_are_read_by_their_tags(spark):
+    rng = np.random.RandomState(1)
+    some = [rng.bytes(n) for n in (1, 63, 200, 64, 100)]
+    tags = [telephony.MULAW, telephony.ALAW, telephony.ALAW, telephony.ADPCM, telephony.ADPCM]
+    rows = [(k, 0, bytearray(telephony.wav(x, t, 8000, 4 if t == telephony.ADPCM else 8))) for k, (x, t) in enumerate(zip(some, tags, strict=True))]
+    rows += [(8, 0, bytearray(telephony.wav(b"abcd", 3, 8000, 8))), (9, 0, bytearray(telephony.wav(b"x" * 60, telephony.ADPCM, 8000, 4)))]
+    got = {r["doc_id"]: r for r in telephony.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    pcm = lambda k: np.frombuffer(telephony.wav_data(bytes(got[k]["pcm"]))[2], "<i2")[::2].tolist()
+    mu, a = telephony.mulaw_table(), telephony.alaw_table()
+    assert pcm(0) == [int(mu[b]) for b in some[0]] and pcm(1) == [int(a[b]) for b in some[1]] and pcm(2) == [int(a[b]) for b in some[2]]
+    assert pcm(3) == slow_adpcm(some[3]) and pcm(4) == slow_adpcm(some[4][:64]) and got[4]["payload_bytes"] == 100
+    assert got[8]["payload_sha256"] is None and got[8]["pcm"] is None and got[9]["pcm"] is None
+    for tag in (telephony.ALAW, telephony.ADPCM):
+        r = telephony.read_media(telephony.encode_media(spark.createDataFrame([(1, "hello")], "doc_id long, text string"), tag)).first()
+        assert r["payload_sha256"] == hashlib.sha256(telephony.payload(b"hello")).hexdigest()
+
+
 def test_tables_and_adpcm_by_formula():
     mu, a = telephony.mulaw_table(), telephony.alaw_table()
     assert mu[0xFF] == 0 and mu[0x80] == 32124 and mu[0] == -32124 and a[0xD5] == 8 and a[0x55] == -8 and abs(a.astype(int)).max() == 32256
@@ -142,16 +195,7 @@ def test_tables_and_adpcm_by_formula():
     blocks = rng.randint(0, 256, (5, 64), dtype=np.uint8)
     got = telephony.decode_adpcm(blocks)
     for k in range(5):
-        level, index = int(blocks[k, :2].copy().view("<i2")[0]), min(88, int(blocks[k, 2]))
-        want = [level]
-        for byte in blocks[k, 4:].tolist():
-            for nibble in (byte & 15, byte >> 4):
-                step = int(telephony.STEPS[index])
-                change = (step >> 3) + sum(step >> s for s, bit in ((0, 4), (1, 2), (2, 1)) if nibble & bit)
-                level = max(-32768, min(32767, level - change if nibble & 8 else level + change))
-                index = max(0, min(88, index + int(telephony.TURNS[nibble & 7])))
-                want.append(level)
-        assert got[k].tolist() == want
+        assert got[k].tolist() == slow_adpcm(bytes(blocks[k]))
     x = np.array([0, 100, -100, 32767, 32767], np.int16)
     assert telephony.double_rate(x)[::2].tolist() == x.tolist() and len(telephony.double_rate(x)) == 10
 
@@ -203,13 +247,55 @@ def test_quality_shortcut_is_the_network():
     assert rng is not None
 
 
+def test_training_by_brute_force():
+    """The same steps with one vector an n-gram and no shortcuts."""
+    rng = np.random.RandomState(3)
+    bags = [(np.unique(rng.randint(0, 30, 8)).astype(np.int32), None, k % 2) for k in range(12)]
+    bags = [(u, rng.randint(1, 4, len(u)), y) for u, _, y in bags]
+    vectors, out, bias = quality.train(bags, buckets=30, width=4, epochs=3, rate=0.3, seed=5)
+    draw = np.random.RandomState(5)
+    v = [list(map(float, x)) for x in draw.uniform(-1 / 4, 1 / 4, (30, 4)).astype(np.float32)]
+    o, b, step = [[0.0] * 4, [0.0] * 4], [0.0, 0.0], 0
+    for _ in range(3):
+        for k in draw.permutation(12):
+            ids, counts, y = bags[k]
+            eta = 0.3 * (1 - step / 36)
+            step += 1
+            share = [c / counts.sum() for c in counts]
+            mean = [sum(s * v[i][d] for s, i in zip(share, ids, strict=True)) for d in range(4)]
+            z = [sum(o[c][d] * mean[d] for d in range(4)) + b[c] for c in (0, 1)]
+            p = [math.exp(x) / sum(map(math.exp, z)) - (c == y) for c, x in enumerate(z)]
+            back = [sum(p[c] * o[c][d] for c in (0, 1)) for d in range(4)]
+            for c in (0, 1):
+                b[c] -= eta * 0.1 * p[c]
+                o[c] = [o[c][d] - eta * p[c] * mean[d] for d in range(4)]
+            size = math.sqrt(sum(s * s for s in share))
+            for s, i in zip(share, ids, strict=True):
+                v[i] = [v[i][d] - eta / size * s * back[d] for d in range(4)]
+    assert np.allclose(vectors, v, atol=1e-4) and np.allclose(out, o, atol=1e-4) and np.allclose(bias, b, atol=1e-4)
+
+
+def test_grams_are_of_characters():
+    data, offsets = tokens.flat(pa.array(["中文字", "abc", "", "äöüß"]))
+    three, four = list(quality.families(data, offsets))[:2]
+    assert [int(b - a) for a, b in zip(three[1], three[2], strict=True)] == [1, 1, 0, 2] and [int(b - a) for a, b in zip(four[1], four[2], strict=True)] == [0, 0, 0, 1]
+
+
+def test_samples_are_bounded(spark):
+    rows = [(1, "b", "s")] * 3 + [(1, "a", "s")] + [(k, "x" * 40, "s") for k in range(2, 60)]
+    table = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1)], "doc_id long, quality int")
+    got = labelled_module.sample(frame(spark, rows), table, "quality", 4, 2, 50, 400).collect()
+    assert max(Counter(r["y"] for r in got).values()) <= 11 and len({r["doc_id"] for r in got}) == len(got)
+    assert all(r["text"] == "a" for r in got if r["doc_id"] == 1)
+
+
 def test_toxicity_learns_and_takes_edges(spark, odd):
     rng = random.Random(4)
     rows, labels = labelled(spark, rng, lambda r: words(r, 30) + " Zorgblat " + words(r, 5))
     table = spark.createDataFrame([(i, 1, y) for i, y in labels] + [(None, 1, 1), (9999, None, 1)], "doc_id long, quality int, toxic int")
     docs = frame(spark, rows + [(i + 1000 if i else None, t, s) for i, t, s in odd] + [(5000, "x " * 50000 + "zorgblat", "a")])
     model = toxicity.fit(docs, table)
-    assert len(model[0]) <= toxicity.FEATURES
+    assert len(model[0]) == 1 << toxicity.BITS
     got = toxicity.score(docs, *model).collect()
     truth = dict(labels)
     held = [r for r in got if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
@@ -222,6 +308,44 @@ def test_toxicity_learns_and_takes_edges(spark, odd):
     assert toxicity.score(frame(spark, []), *model).count() == 0
 
 
+def slow_grams(text):
+    out = set()
+    for n in toxicity.SIZES:
+        for k in range(len(text.lower()) - n + 1):
+            h = 1
+            for c in text.lower()[k : k + n]:
+                h = (h * toxicity._BASE + ord(c)) % 2**64
+            out.add((h * toxicity._ODD % 2**64) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    texts = ["Ab", "abc abc", None, "", "ÄÖÜ 中文字符 x", "the same the same the same", "🙂🙂🙂"]
+    found = [set(f.tolist()) for f in toxicity.gram_sets(pa.array(texts))]
+    assert found == [slow_grams(t or "") for t in texts] and len(found[4]) == 8 + 7 + 6 + 5  # of characters, not of bytes
+    rng = random.Random(6)
+    rows = [(i, words(rng, 12, 25) + (" vile" if i % 4 == 0 else ""), "a") for i in range(120)]
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    weights, bias = toxicity.fit(frame(spark, rows), table)
+    mine = [(slow_grams(t), int(i % 4 == 0)) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    n, many = len(mine), [sum(y == k for _, y in mine) for k in (0, 1)]
+    counts = [Counter(g for s, y in mine if y == k for g in s) for k in (0, 1)]
+    ratio = {g: math.log((counts[1][g] + toxicity.SMOOTH * many[1] / n) / many[1]) - math.log((counts[0][g] + toxicity.SMOOTH * many[0] / n) / many[0]) for g in counts[0] | counts[1]}
+    used = sorted(ratio)
+    assert set(np.flatnonzero(weights).tolist()) <= set(used)
+    x = np.array([[ratio[g] if g in s else 0.0 for g in used] + [1.0] for s, _ in mine])
+    y = np.array([y for _, y in mine], float)
+    w = np.zeros(x.shape[1])
+    hessian = lambda p: x.T @ (x * (p * (1 - p))[:, None]) + np.eye(x.shape[1])
+    for _ in range(30):  # Newton's method on the same loss
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(hessian(p), x.T @ (p - y) + w)
+    want = x @ w
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, rows), weights, bias).collect()}
+    kept = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert np.allclose([math.log(got[i] / (1 - got[i])) for i in kept], want, atol=0.05)
+
+
 # 4: packing
 
 
@@ -280,6 +404,12 @@ def test_packing_is_whole_and_without_conflicts(spark, odd):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_shards_are_bounded(spark):
+    rows = [(None, f"word{i}", "a") for i in range(6000)] + [(7, "same text", "b")] * 10_000
+    out = packing.pack(frame(spark, rows), shard_docs=500).collect()
+    assert len(out) == 16_000 and max(Counter(r["bin"] >> 32 for r in out).values()) < 700
+
+
 # 5: mixing
 
 
@@ -315,6 +445,32 @@ def test_mixing_meets_targets(spark, odd):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
+def test_ranges_are_even(spark):
+    rng = random.Random(10)
+    noisy = lambda i: f"{i}" + "#" * rng.randrange(40)
+    rows = [(None, f"w{i} and more words", "a") for i in range(6000)] + [(i, noisy(i), "b") for i in range(6000)] + [(3, "again", "c")] * 10_000
+    placed = mixing._placed(frame(spark, rows), (5, 2, 1), 3, None)
+    widest = {(r["source"], r["range"]): r["count"] for r in placed.groupBy("source", "range").count().collect()}
+    assert max(widest.values()) < 400 and sum(n for (s, _), n in widest.items() if s == "c") == 1
+    out = mixing.mix(frame(spark, rows)).collect()
+    assert len(out) == 22_000 and abs(sum(r["taken"] for r in out if r["source"] == "c") - next(r["target"] for r in out if r["source"] == "c")) <= 1
+    times = Counter(r["copies"] for r in out if r["source"] == "c")
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(frame(spark, rows)).where("source = 'c'").collect()) == {3: sum(k * n for k, n in times.items())} and len(times) == 2
+
+
+def test_no_fraction_of_a_full_source(spark):
+    rows = [(1, "", "a"), (2, "one two", "a"), (3, "x " * 500, "b")]
+    assert {r["doc_id"]: r["copies"] for r in mixing.mix(frame(spark, rows)).collect()}[1] == 3
+
+
+def test_weights_may_be_a_column(spark):
+    rows = [(i, "some words here", "a") for i in range(3000)] + [(5000 + i, "some words here", "b") for i in range(3000)]
+    docs = frame(spark, rows).withColumn("score", F.when(F.col("doc_id") % 2 == 0, 0.1).otherwise(0.9))
+    got = [r for r in mixing.mix(docs, weights=(1, 9), weight=F.col("score")).collect() if r["source"] == "a"]
+    share = [np.mean([r["copies"] for r in got if r["doc_id"] % 2 == k]) for k in (0, 1)]
+    assert share[1] > 3 * share[0]
+
+
 def test_better_documents_come_more_often(spark):
     good = "plain words in a row " * 4
     rows = [(i, good if i % 2 else "$$$ 123 ### 456 %%% 789 &&& 000 |", "a") for i in range(2000)] + [(5000 + i, good, "b") for i in range(2000)]
@@ -424,6 +580,14 @@ def test_chat_examples(spark):
     assert chat.read_back(chat.format_examples(df.limit(0))).count() == 0
 
 
+def test_a_wrong_context_is_seen(spark):
+    turns = [(1, 0, "user", "hello"), (1, 1, "assistant", "good day"), (1, 2, "user", "and"), (1, 3, "assistant", "bye")]
+    examples = chat.format_examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(examples).first()["n_turns"] == 4
+    with pytest.raises(Exception, match="context of an example"):
+        chat.read_back(examples.withColumn("formatted", F.when(F.col("example") == 1, F.replace("formatted", F.lit("hello"), F.lit("hallo"))).otherwise(F.col("formatted")))).collect()
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_escapes_are_reversible(seed):
     rng = random.Random(seed)
@@ -518,6 +682,26 @@ def test_no_link_of_a_large_group_is_lost(spark):
     assert got == [1000] * 1001  # 500,500 pairs, each 0.93 similar or more
 
 
+def test_templates_keep_their_pairs(spark):
+    """Texts of one template, 0.76 similar by what they share, and planted pairs that are 0.82."""
+    rng, n, pairs = random.Random(17), 8000, 200
+    shared = words(rng, 142, 10**6).split(" ")
+    own = lambda k, m: [f"own{k}x{j}" for j in range(m)]
+    rows = [(k, " ".join(shared + own(k, 22)), "a") for k in range(n)]
+    rows += [(10**6 + k, " ".join(shared + own(k, 6) + own(10**6 + k, 16)), "a") for k in range(pairs)]
+    a, b = sets(rows[0][1]), sets(rows[1][1])
+    assert len(a & b) / len(a | b) < 0.8 <= len(a & sets(rows[n][1])) / len(a | sets(rows[n][1]))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    met = sum(got[10**6 + k] == (k, 1) == got[k] for k in range(pairs))
+    assert met >= 0.99 * pairs and sum(c == (k, 0) for k, c in got.items()) >= n - pairs
+
+
+def test_keys_that_meet_are_told_apart(spark, odd):
+    rows = odd + [(100 + k, words(random.Random(k // 2), 40), "a") for k in range(60)]
+    got = Counter((r["doc_id"], r["class_id"], r["copy_id"], r["n_links"]) for r in jaccard.near_duplicates(frame(spark, rows), bits=3).collect())
+    assert got == brute_classes(rows)
+
+
 def test_depth_follows_recall():
     d = jaccard.shortest(0.8, 0.999)
     meet = lambda d: 1 - (1 - 0.8**d) ** jaccard.TREES
