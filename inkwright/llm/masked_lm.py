@@ -1,41 +1,57 @@
-"""Masked pseudo-likelihood: a bidirectional window network over word classes.
-
-Every word is predicted from the words on both its sides. A word is one of ``2**17`` buckets:
-32 shapes (length, capital, last and inner characters) of 4,096 hashes each. The 64 most
-frequent buckets are classes of their own, the others share the class of their shape, so
-log P(word | neighbours) = log P(class | neighbours) + log P(bucket | class). The network
-(embeddings of the left and the right class, one tanh layer, softmax over 96 classes) is
-trained in numpy; a document's score is the sum over all its words.
-
-Everything is learned from all documents: bucket counts, then counts of (left, class, right)
-over every word, summed in each task before they are shuffled. With neighbours one word away
-these counts are all the network can see of the corpus, so training on them is training on
-every word. What reaches the driver is bounded by the number of buckets and of class triples;
-the broadcast is the table of log-probabilities of all triples.
+"""Masked pseudo-likelihood: a bidirectional window network over words.
+
+Every word is predicted from the two words before and the two after it. Words are hashed to 2**20
+buckets: 32 shapes (length, capital, last and inner characters) of 32,768 hashes each. The 3,584
+most frequent buckets are outputs of their own; the others share 512 outputs, 16 to a shape, and
+log P(word | neighbours) = log P(output | neighbours) + log P(bucket | output). The network has a
+vector for every output at each of the four places, one tanh layer, and a softmax in two steps:
+over 64 groups of outputs, then over the 64 outputs of the word's group. A document's score is the
+sum over all its words.
+
+Everything is learned from all documents. They are written once as bucket numbers. Counts of
+buckets give outputs, their first biases, and P(bucket | output). Then each of ROUNDS rounds is a
+pass of all tasks over all words: a task goes on from the network broadcast to it by stochastic
+gradient steps in numpy, and gives back its vectors, weighed by the words that each had a part in.
+Their weighed means, summed in bundles of tasks and then of bundles, are the next network. So what
+is gathered grows with the number of tasks, while the driver and each group of rows hold a fixed
+number of networks (1.4 MB each).
 
 Edges: null and empty texts have 0 words, log-probability 0 and no mean; long texts are taken
-whole; a table without words gives uniform probabilities; repeated rows count each; only
-doc_id and text are read.
+whole; a table without words gives uniform probabilities; repeated rows count each; a place before
+the first or after the last word is a neighbour of its own; only doc_id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.llm import tokens
-from inkwright.llm.shared import small_batches
+from inkwright.llm.shared import small_batches, written
 
-SHAPES, HASHES, OWN = 32, 4096, 64
+SHAPES, HASHES = 32, 1 << 15
 BUCKETS = SHAPES * HASHES
-CLASSES = OWN + SHAPES
-EDGE = CLASSES  # before the first and after the last word
-SIDES = CLASSES + 1
-WIDTH, STEPS, RATE = 24, 200, 0.05
+GROUPS, MEMBERS = 64, 64
+OUTPUTS = GROUPS * MEMBERS
+SHARED = 16 * SHAPES
+OWN = OUTPUTS - SHARED
+EDGE = OUTPUTS  # before the first and after the last word
+PLACES = (-2, -1, 1, 2)
+WIDTH = 16
+#: Rows of a network, each with a bias last: a vector for every neighbour at every place, then for groups, then for outputs.
+AT_GROUPS = len(PLACES) * (OUTPUTS + 1)
+AT_OUTPUTS = AT_GROUPS + GROUPS
+ROWS = AT_OUTPUTS + OUTPUTS
+ROUNDS, STEP_WORDS, RATE = 2, 8192, 0.2
+#: Rows of a network that are summed together, and networks that one group of rows sums.
+BLOCK_ROWS, BUNDLE = 1024, 64
 
 _LETTER = np.zeros(256, np.int64)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -52,131 +68,248 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         shape = shape * 2 + ((first >= 65) & (first <= 90))
         shape = shape * 2 + _LETTER[data[last]]
         shape = shape * 2 + (letters[last] - letters[w.start] < size - 1)
-    return shape * HASHES + (w.hash >> np.uint64(52)).astype(np.int64), w.doc
+    return (shape * HASHES + (w.hash >> np.uint64(49)).astype(np.int64)).astype(np.int32), w.doc
 
 
-def neighbours(classes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes before and after every word, within its text."""
-    left, right = np.full(len(classes), EDGE), np.full(len(classes), EDGE)
-    same = doc[1:] == doc[:-1]
-    left[1:][same] = classes[:-1][same]
-    right[:-1][same] = classes[1:][same]
-    return left, right
+def neighbours(outputs: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The outputs at PLACES around every word, within its text."""
+    out = np.full((len(PLACES), len(outputs)), EDGE, np.int32)
+    for k, off in enumerate(PLACES):
+        here, there = (slice(off, None), slice(None, -off)) if off > 0 else (slice(None, off), slice(-off, None))
+        same = doc[here] == doc[there]
+        out[k, there][same] = outputs[here][same]
+    return out
 
 
-def classes_of(counts: np.ndarray) -> np.ndarray:
-    """The class of each bucket: the most frequent have their own (ties: the smaller bucket)."""
-    out = OWN + np.arange(BUCKETS) // HASHES
-    top = np.lexsort((np.arange(BUCKETS), -counts))[:OWN]
+def outputs_of(counts: np.ndarray) -> np.ndarray:
+    """The output of each bucket: the most frequent have their own (ties: the smaller bucket)."""
+    at = np.arange(BUCKETS)
+    out = OWN + at // HASHES * (SHARED // SHAPES) + at % (SHARED // SHAPES)
+    top = np.lexsort((at, -counts))[:OWN]
     top = top[counts[top] > 0]
     out[top] = np.arange(len(top))
-    return out
+    return out.astype(np.int32)
 
 
-def inside(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """log P(bucket | class), with one added to every count."""
+def inside(counts: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    """log P(bucket | output), with one added to every count."""
     more = counts + 1.0
-    return np.log(more / np.bincount(classes, more, minlength=CLASSES)[classes]).astype(np.float32)
-
-
-def train(cells: np.ndarray, steps: int = STEPS, width: int = WIDTH, rate: float = RATE, seed: int = 0) -> np.ndarray:
-    """``cells[left, right, class]``: counts. Returns the network's log-probabilities in the same
-    shape, after full-batch Adam steps on the mean log-likelihood of all words."""
-    rng = np.random.RandomState(seed)
-    total = max(1.0, float(cells.sum()))
-    prior = np.log((cells.sum((0, 1)) + 1) / (total + CLASSES))
-    p = [rng.normal(0, 0.3, (SIDES, width)), rng.normal(0, 0.3, (SIDES, width)), np.zeros(width), rng.normal(0, 0.1, (width, CLASSES)), prior]
-    p = [x.astype(np.float32) for x in p]
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    n = (cells.reshape(-1, CLASSES) / total).astype(np.float32)
-    weight = n.sum(1, keepdims=True)
-
-    def forward() -> tuple[np.ndarray, np.ndarray]:
-        h = np.tanh(p[0][:, None] + p[1][None] + p[2]).reshape(-1, width)
-        z = h @ p[3] + p[4]
-        z -= z.max(1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    for t in range(1, steps + 1):
-        h, logp = forward()
-        d = weight * np.exp(logp) - n
-        back = ((d @ p[3].T) * (1 - h * h)).reshape(SIDES, SIDES, width)
-        grads = [back.sum(1), back.sum(0), back.sum((0, 1)), h.T @ d, d.sum(0)]
-        for k, g in enumerate(grads):
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
-            p[k] -= rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
-    return forward()[1].reshape(SIDES, SIDES, CLASSES)
-
-
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return np.log(more / np.bincount(outputs, more, minlength=OUTPUTS)[outputs]).astype(np.float32)
+
+
+def untrained(counts: np.ndarray, outputs: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A network that predicts outputs by their frequency, whatever the neighbours."""
+    net = np.zeros((ROWS, WIDTH + 1), np.float32)
+    net[:AT_GROUPS, :WIDTH] = np.random.RandomState(seed).normal(0, 0.3, (AT_GROUPS, WIDTH))
+    each = np.bincount(outputs, counts, minlength=OUTPUTS) + 1.0
+    net[AT_GROUPS:AT_OUTPUTS, WIDTH] = np.log(each.reshape(GROUPS, MEMBERS).sum(1) / each.sum())
+    net[AT_OUTPUTS:, WIDTH] = np.log(each)
+    return net
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _hidden(net: np.ndarray, around: np.ndarray) -> np.ndarray:
+    vectors = net[:AT_GROUPS].reshape(len(PLACES), OUTPUTS + 1, WIDTH + 1)
+    total = vectors[0][around[0], :WIDTH]
+    for k in range(1, len(PLACES)):
+        total += vectors[k][around[k], :WIDTH]
+    return np.tanh(total, out=total)
+
+
+def _choices(net: np.ndarray, outputs: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+    """The softmaxes that words in the order of their ``outputs`` take part in: the first of the rows
+    chosen from, the words, the probabilities, and each word's choice."""
+    cut = np.searchsorted(outputs, np.arange(GROUPS + 1) * MEMBERS)
+    steps = [(AT_GROUPS, GROUPS, slice(0, len(outputs)), outputs // MEMBERS)]
+    steps += [(AT_OUTPUTS + g * MEMBERS, MEMBERS, slice(cut[g], cut[g + 1]), outputs[cut[g] : cut[g + 1]] % MEMBERS) for g in range(GROUPS) if cut[g] < cut[g + 1]]
+    for first, n, at, choice in steps:
+        rows = net[first : first + n]
+        yield first, at, _softmax(h[at] @ rows[:, :WIDTH].T + rows[:, WIDTH]), choice
+
+
+def log_probabilities(net: np.ndarray, outputs: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """log P(output | neighbours) of every word."""
+    out = np.empty(len(outputs))
+    for lo in range(0, len(outputs), 1 << 15):
+        order = lo + np.argsort(outputs[lo : lo + (1 << 15)], kind="stable")
+        y, said = outputs[order], np.zeros(len(order))
+        for _, at, p, choice in _choices(net, y, _hidden(net, around[:, order])):
+            said[at] += np.log(np.maximum(p[np.arange(len(choice)), choice], 1e-30))
+        out[order] = said
+    return out
+
+
+def gradient(net: np.ndarray, outputs: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the summed -log P(output | neighbours) of words in the order of their outputs: rows that the
+    words have a part in, the gradient of each, and the words."""
+    n, h = len(outputs), _hidden(net, around)
+    back = np.zeros_like(h)
+    rows, grads, words = [], [], []
+    for first, at, d, choice in _choices(net, outputs, h):
+        d[np.arange(len(choice)), choice] -= 1
+        rows.append(np.arange(first, first + d.shape[1]))
+        grads.append(np.empty((d.shape[1], WIDTH + 1), np.float32))
+        grads[-1][:, :WIDTH], grads[-1][:, WIDTH] = d.T @ h[at], d.sum(0)
+        words.append(np.full(d.shape[1], len(choice)))
+        back[at] += d @ net[first : first + d.shape[1], :WIDTH]
+    back *= 1 - h * h
+    for k in range(len(PLACES)):
+        order = np.argsort(around[k], kind="stable")
+        cell = around[k][order]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        rows.append(k * (OUTPUTS + 1) + cell[starts])
+        grads.append(np.zeros((len(starts), WIDTH + 1), np.float32))
+        grads[-1][:, :WIDTH] = np.add.reduceat(back[order], starts)
+        words.append(np.diff(np.append(starts, n)))
+    return np.concatenate(rows), np.concatenate(grads), np.concatenate(words)
+
+
+class Trainer:
+    """Stochastic gradient steps from a given network; each row's step shrinks with the gradients
+    that it had, and goes by its mean gradient a word."""
+
+    def __init__(self, net: np.ndarray, rate: float = RATE, seed: int = 0):
+        self.net, self.rate, self.rng = net.copy(), rate, np.random.RandomState(seed)
+        self.words, self.squares = np.zeros(ROWS), np.full(ROWS, 1e-6, np.float32)
+
+    def learn(self, outputs: np.ndarray, around: np.ndarray) -> None:
+        order = self.rng.permutation(len(outputs))
+        for lo in range(0, len(order), STEP_WORDS):
+            some = order[lo : lo + STEP_WORDS]
+            some = some[np.argsort(outputs[some], kind="stable")]
+            rows, grads, words = gradient(self.net, outputs[some], around[:, some])
+            grads /= np.sqrt(words)[:, None].astype(np.float32)
+            self.squares[rows] += np.einsum("ij,ij->i", grads, grads) / (WIDTH + 1)
+            self.net[rows] -= self.rate * grads / np.sqrt(self.squares[rows])[:, None]
+            self.words[rows] += words
+
+
+class Model(NamedTuple):
+    """Outputs of buckets, log P(bucket | output), and the network."""
+
+    outputs: np.ndarray
+    within: np.ndarray
+    net: np.ndarray
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, part in tokens.pieces(batch.column(1)):
+            bucket, doc = buckets(*tokens.flat(part))
+            ends = np.cumsum(np.bincount(doc, minlength=len(part))) if len(doc) else np.zeros(len(part), np.int64)
+            each = [x.astype("<i4").tobytes() for x in np.split(bucket, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(each, pa.binary())], names=["doc_id", "words"])
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): the bucket numbers of every text's words, written."""
+    small_batches(docs.sparkSession)
+    return written(docs.select("doc_id", "text").mapInArrow(_encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary"), "words")
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and text numbers of a column of encoded texts."""
+    data, offsets = tokens.flat(column)
+    return np.frombuffer(data.tobytes(), "<i4"), np.repeat(np.arange(len(column)), np.diff(offsets) // 4)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for _, part in tokens.pieces(batch.column(0)):
-            counts += np.bincount(buckets(*tokens.flat(part))[0], minlength=BUCKETS)
+        counts += np.bincount(_words(batch.column(0))[0], minlength=BUCKETS)
     at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+    for k in range(0, max(1, len(at)), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(counts[at[k : k + 50_000]])], names=["at", "n"])
 
 
-def _count_cells(model) -> Callable:
+def _learner(model, rate: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = model.value
-        counts = np.zeros(SIDES * SIDES * CLASSES, np.int64)
+        outputs_by_bucket, _, net = model.value
+        task = TaskContext.get().partitionId()
+        trainer = Trainer(net, rate, task)
         for batch in batches:
             for _, part in tokens.pieces(batch.column(0)):
-                bucket, doc = buckets(*tokens.flat(part))
-                c = classes[bucket]
-                left, right = neighbours(c, doc)
-                cell, n = np.unique((left * SIDES + right) * CLASSES + c, return_counts=True)
-                counts[cell] += n
-        at = np.flatnonzero(counts)
-        for k in range(0, max(1, len(at)), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(counts[at[k : k + 50_000]])], names=["at", "n"])
+                bucket, doc = _words(part)
+                outputs = outputs_by_bucket[bucket]
+                trainer.learn(outputs, neighbours(outputs, doc))
+        if trainer.words.any():
+            sums = np.hstack([trainer.net * trainer.words[:, None], trainer.words[:, None]])
+            yield from _sums(task, (sums[k : k + BLOCK_ROWS] for k in range(0, ROWS, BLOCK_ROWS)))
 
     return run
 
 
-def _summed(counts: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int64)
-    rows = counts.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return out
+def _sums(task: int, blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k, block in enumerate(blocks):
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([k], pa.int32()), pa.array([block.astype("<f8").tobytes()], pa.binary())], names=["task", "block", "sums"])
+
+
+def _bundle(group: pa.Table) -> pa.Table:
+    some = group.sort_by("task")
+    total = sum(np.frombuffer(x, "<f8") for x in some.column("sums").to_pylist())
+    return pa.table({"task": [some.column("task")[0].as_py() // BUNDLE], "block": pa.array([some.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of buckets, log P(bucket | class), and log P(class | left, right)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select("text")
-    counts = _summed(texts.mapInArrow(_count_buckets, "at bigint, n bigint"), BUCKETS)
-    classes = classes_of(counts)
-    cells = _summed(texts.mapInArrow(_count_cells(spark.sparkContext.broadcast(classes)), "at bigint, n bigint"), SIDES * SIDES * CLASSES)
-    return classes, inside(counts, classes), train(cells.reshape(SIDES, SIDES, CLASSES))
+SUMS = "task bigint, block int, sums binary"
+
+
+def trained(encoded: DataFrame, model: Model, rate: float = RATE) -> np.ndarray:
+    """The network after one pass of all tasks over all words; rows without words stay as they were."""
+    known = encoded.sparkSession.sparkContext.broadcast(model)
+    sums = written(encoded.select("words").mapInArrow(_learner(known, rate), SUMS), "networks")
+    most = sums.agg(F.max("task")).first()[0]
+    while most is not None and most > 0:  # bundles of tasks, then bundles of bundles
+        sums = written(sums.groupBy("block", F.floor(F.col("task") / BUNDLE)).applyInArrow(_bundle, SUMS), "networks")
+        most //= BUNDLE
+    known.unpersist()
+    net = model.net.copy()
+    for row in sums.collect():
+        block = np.frombuffer(row["sums"], "<f8").reshape(-1, WIDTH + 2)
+        at = row["block"] * BLOCK_ROWS + np.flatnonzero(block[:, -1] > 0)
+        full = block[block[:, -1] > 0]
+        net[at] = full[:, :-1] / full[:, -1:]
+    return net
+
+
+def fit(encoded: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """The model learned from all words of ``encode``'s rows."""
+    counts = np.zeros(BUCKETS, np.int64)
+    found = encoded.select("words").mapInArrow(_count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    outputs = outputs_of(counts)
+    model = Model(outputs, inside(counts, outputs), untrained(counts, outputs))
+    for k in range(rounds):
+        model = model._replace(net=trained(encoded, model, rate / (k + 1)))
+    return model
 
 
-def text_scores(texts: pa.Array, classes: np.ndarray, within: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text."""
-    bucket, doc = buckets(*tokens.flat(texts))
-    c = classes[bucket]
-    left, right = neighbours(c, doc)
-    logp = table[left, right, c].astype(np.float64) + within[bucket]
-    return np.bincount(doc, minlength=len(texts)), np.bincount(doc, logp, minlength=len(texts))
+def word_scores(bucket: np.ndarray, doc: np.ndarray, model: Model) -> np.ndarray:
+    """log P(word | neighbours) of every word."""
+    outputs = model.outputs[bucket]
+    return log_probabilities(model.net, outputs, neighbours(outputs, doc)) + model.within[bucket]
 
 
 def _scorer(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*model.value)
         for batch in batches:
             for lo, part in tokens.pieces(batch.column(1)):
-                n, total = text_scores(part, *model.value)
+                bucket, doc = _words(part)
+                n = np.bincount(doc, minlength=len(part))
+                total = np.bincount(doc, word_scores(bucket, doc, known), minlength=len(part))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
     return run
 
 
-def score(docs: DataFrame, classes: np.ndarray, within: np.ndarray, table: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    model = spark.sparkContext.broadcast((classes, within, table))
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), f"doc_id {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+def score(encoded: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every encoded text."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    known = encoded.sparkSession.sparkContext.broadcast(model)
+    return encoded.select("doc_id", "words").mapInArrow(_scorer(known), f"doc_id {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double")

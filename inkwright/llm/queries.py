@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from inkwright.llm import bm25, chat, jaccard, lines, masked_lm, mixing, packing, quality, telephony, toxicity
 from inkwright.llm.labelled import fold
+from inkwright.llm.shared import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +61,8 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
-    docs = _read(spark, sf_dir, "documents")
-    return masked_lm.score(docs, *masked_lm.fit(docs))
+    encoded = masked_lm.encode(_read(spark, sf_dir, "documents"))
+    return masked_lm.score(encoded, masked_lm.fit(encoded))
 
 
 def op9_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

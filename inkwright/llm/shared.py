@@ -22,6 +22,8 @@ _own: dict[str, str] = {}
 BATCH_ROWS = 512
 #: Equal rows that one task puts out again.
 CHUNK = 4096
+#: A table of fewer bytes may lie in one part of a file, which one task reads alone.
+SMALL = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,13 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores; any other as it is."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has; Spark takes upper and lower case as equal."""
     taken = {c.lower() for c in df.columns}

@@ -519,34 +519,81 @@ def test_search_by_brute_force(spark, odd, monkeypatch, small):
 # 8: language model
 
 
+def plain_scores(text, model):
+    """log P of every word, one at a time, by the whole softmax."""
+    bucket, _ = masked_lm.buckets(*tokens.flat(pa.array([text])))
+    said = [int(model.outputs[b]) for b in bucket]
+    at = lambda k: said[k] if 0 <= k < len(said) else masked_lm.EDGE
+    net, w, out = model.net.astype(float), masked_lm.WIDTH, []
+    for k, y in enumerate(said):
+        h = np.tanh(sum(net[p * (masked_lm.OUTPUTS + 1) + at(k + off), :w] for p, off in enumerate(masked_lm.PLACES)))
+        z = lambda rows: rows[:, :w] @ h + rows[:, w]
+        soft = lambda v: v - np.log(np.exp(v).sum())
+        g, m = divmod(y, masked_lm.MEMBERS)
+        first = masked_lm.AT_OUTPUTS + g * masked_lm.MEMBERS
+        out.append(soft(z(net[masked_lm.AT_GROUPS : masked_lm.AT_OUTPUTS]))[g] + soft(z(net[first : first + masked_lm.MEMBERS]))[m] + model.within[bucket[k]])
+    return out
+
+
 def test_pseudo_likelihood(spark, odd):
     rng = random.Random(12)
-    rows = odd + [(100 + i, " ".join("the cat sat on the mat" if rng.random() < 0.7 else words(rng, 3) for _ in range(9)), "a") for i in range(120)]
+    rows = odd + [(100 + i, " ".join("the cat sat on the mat" if rng.random() < 0.7 else words(rng, 3) for _ in range(9)), "a") for i in range(400)]
     docs = frame(spark, rows)
-    classes, within, table = masked_lm.fit(docs)
-    got = {(r["doc_id"], r["n_words"]): r for r in masked_lm.score(docs, classes, within, table).collect()}
+    encoded = masked_lm.encode(docs)
+    model = masked_lm.fit(encoded, rounds=3)
+    counts = Counter(b for _, t, _ in rows for b in masked_lm.buckets(*tokens.flat(pa.array([t], pa.string())))[0].tolist())
+    top = sorted(counts, key=lambda b: (-counts[b], b))[: masked_lm.OWN]
+    assert [model.outputs[b] for b in top] == list(range(len(top)))  # counts are of all words
+    shares = np.bincount(model.outputs, np.exp(model.within.astype(float)), minlength=masked_lm.OUTPUTS)
+    assert np.allclose(shares[np.unique(model.outputs)], 1, atol=1e-3)
+    got = {(r["doc_id"], r["n_words"]): r for r in masked_lm.score(encoded, model).collect()}
+    assert len(got) == len({(i, len(split(t))) for i, t, _ in rows})
     assert got[(1, 0)]["log_likelihood"] == 0 and got[(1, 0)]["mean_log_likelihood"] is None and got[(3, 0)]["n_words"] == 0
-    assert np.allclose(np.exp(table).sum(2), 1, atol=1e-4)
-    assert np.allclose(np.bincount(classes, np.exp(within.astype(float)), minlength=masked_lm.CLASSES)[np.unique(classes)], 1, atol=1e-3)
-    text = next(t for i, t, _ in rows if i == 100)
-    bucket, _ = masked_lm.buckets(*tokens.flat(pa.array([text])))
-    c = [masked_lm.EDGE, *classes[bucket], masked_lm.EDGE]
-    want = sum(float(table[c[k - 1], c[k + 1], c[k]]) + float(within[bucket[k - 1]]) for k in range(1, len(c) - 1))
-    assert got[(100, len(split(text)))]["log_likelihood"] == pytest.approx(want, rel=1e-6)
-    usual, odd_one = (masked_lm.text_scores(pa.array([t]), classes, within, table)[1][0] for t in ("the cat sat on the mat", "mat the on sat cat the"))
-    assert usual > odd_one  # the order counts, from both sides
-    empty = masked_lm.fit(frame(spark, []))
-    assert np.isfinite(empty[2]).all() and masked_lm.score(frame(spark, []), *empty).count() == 0
+    for want in (100, 4, 10):
+        text = next(t for i, t, _ in rows if i == want)
+        r = got[(want, len(split(text)))]
+        assert r["log_likelihood"] == pytest.approx(sum(plain_scores(text, model)), rel=1e-4) and r["mean_log_likelihood"] == pytest.approx(r["log_likelihood"] / r["n_words"])
+    usual, odd_one = (sum(plain_scores(t, model)) for t in ("the cat sat on the mat", "mat the on sat cat the"))
+    assert usual > odd_one + 5  # the order counts, from both sides
+    empty = masked_lm.encode(frame(spark, []))
+    assert np.isfinite(masked_lm.fit(empty).net).all() and masked_lm.score(empty, masked_lm.fit(empty)).count() == 0
 
 
-def test_training_lowers_the_loss():
+def test_gradient_by_differences():
     rng = np.random.RandomState(0)
-    cells = np.zeros((masked_lm.SIDES, masked_lm.SIDES, masked_lm.CLASSES))
-    for _ in range(3000):
-        a, b = rng.randint(0, 5, 2)
-        cells[a, b, (a + 2 * b) % 7] += 1
-    loss = lambda t: -(cells * t).sum() / cells.sum()
-    assert loss(masked_lm.train(cells, steps=200)) < 0.5 * loss(masked_lm.train(cells, steps=0))
+    outputs = np.sort(rng.choice([0, 1, 5, 70, 71, 4000], 40)).astype(np.int32)
+    around = rng.choice([0, 5, 71, masked_lm.EDGE], (4, 40)).astype(np.int32)
+    counts = np.zeros(masked_lm.BUCKETS)
+    net = masked_lm.untrained(counts, masked_lm.outputs_of(counts))
+    net[masked_lm.AT_GROUPS :, : masked_lm.WIDTH] = rng.normal(0, 0.3, (masked_lm.ROWS - masked_lm.AT_GROUPS, masked_lm.WIDTH))
+    rows, grads, words_ = masked_lm.gradient(net, outputs, around)
+    loss = lambda x: -masked_lm.log_probabilities(x, outputs, around).sum()
+    assert len(set(rows.tolist())) == len(rows) and words_[: masked_lm.GROUPS].tolist() == [40] * masked_lm.GROUPS
+    for k in [*range(3), 64, 70, *range(len(rows) - 6, len(rows))]:
+        column = masked_lm.WIDTH if rows[k] >= masked_lm.AT_GROUPS and k % 2 else 3
+        more, less = net.copy(), net.copy()
+        more[rows[k], column] += 0.01
+        less[rows[k], column] -= 0.01
+        assert grads[k, column] == pytest.approx((loss(more) - loss(less)) / 0.02, abs=0.02)
+
+
+def test_means_of_tasks_are_weighed_by_words(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "BUNDLE", 3)  # several levels of bundles
+    rows = [(i, f"a{i % 7} b c", "s") for i in range(60)]
+    encoded = masked_lm.encode(frame(spark, rows).repartition(11))
+    model = masked_lm.fit(encoded, rounds=0)
+    got = masked_lm.trained(encoded, model, 0.0)  # no step: the mean of equal networks is that network
+    assert np.allclose(got, model.net, atol=1e-5)
+    moved = masked_lm.trained(encoded, model, 0.2)
+    touched = np.flatnonzero((moved != model.net).any(axis=1))
+    assert len(touched) and set(range(masked_lm.AT_GROUPS, masked_lm.AT_OUTPUTS)) <= set(touched.tolist())
+
+
+def test_held_out_texts_are_likelier_than_by_frequency(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train, held = (masked_lm.encode(docs.where(F.pmod(F.col("doc_id"), F.lit(5)) == 0 if k else F.pmod(F.col("doc_id"), F.lit(5)) != 0)) for k in (0, 1))
+    mean = lambda model: masked_lm.score(held, model).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    assert mean(masked_lm.fit(train)) > mean(masked_lm.fit(train, rounds=0)) + 0.7
 
 
 # 9: chat
