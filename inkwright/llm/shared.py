@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt to all cores; any other as it is."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= SMALL:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
