@@ -20,6 +20,16 @@ def key_values(text: Column) -> Column:
     )
 
 
+def nested(text: Column) -> Column:
+    """array<struct<grp, name, value>> of the pairs whose key comes once, cut at its first underscore;
+    pairs without a part on either side drop out."""
+    pairs = key_values(text)
+    single = lambda p: F.size(F.filter(pairs, lambda q: q["key"] == p["key"])) == 1
+    at = lambda p: F.instr(p["key"], "_")
+    kept = F.filter(pairs, lambda p: single(p) & (at(p) > 1) & (F.length(p["key"]) > at(p)))
+    return F.transform(kept, lambda p: F.struct(F.substring_index(p["key"], "_", 1).alias("grp"), F.substr(p["key"], at(p) + 1).alias("name"), p["value"].alias("value")))
+
+
 def layers(text: Column) -> Column:
     """array<map<string, string>> of the ``{"key"#value,…}`` objects; of a repeated key the last counts."""
 

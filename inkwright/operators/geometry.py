@@ -37,6 +37,15 @@ def ring_area(points: DataFrame, by: list[str]) -> DataFrame:
     return points.withColumn("_cross", F.col("x") * ny - nx * F.col("y")).groupBy(*by).agg(F.sum("_cross").alias("area2"))
 
 
+def outline(points: DataFrame, by: list[str]) -> DataFrame:
+    """``path_length`` and ``ring_area`` of the same points, sorted once: (``by``, length, area2)."""
+    order, whole = W.partitionBy(*by).orderBy("idx"), W.partitionBy(*by).orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    step = F.hypot((F.col("x") - F.lag("x").over(order)).cast("double"), (F.col("y") - F.lag("y").over(order)).cast("double"))
+    nx, ny = (F.coalesce(F.lead(c).over(order), F.first(c).over(whole)) for c in ("x", "y"))
+    both = points.select(*by, F.coalesce(step, F.lit(0.0)).alias("_step"), (F.col("x") * ny - nx * F.col("y")).alias("_cross"))
+    return both.groupBy(*by).agg(F.sum("_step").alias("length"), F.sum("_cross").alias("area2"))
+
+
 def render_width(thickness: Column, area: Column, length: Column) -> Column:
     """The width of a round pen whose outline has this area along this length; without an area
     the nominal width, a hundredth of the thickness."""
@@ -51,6 +60,11 @@ def commonest(rows: DataFrame, by: list[str], value: str, order: str) -> DataFra
     return counted.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(*by, value, "n")
 
 
+def first_seen(rows: DataFrame, value: str, order: Column) -> DataFrame:
+    """The distinct values with where each was seen first: ordering by ``seen`` keeps their order."""
+    return rows.groupBy(value).agg(F.min(order).alias("seen"))
+
+
 def same_rect(one: list[Column], other: list[Column], tolerance: int = TITLE_PIXELS) -> Column:
     """Whether x, y, w and h all differ by the tolerance at most."""
     return reduce(and_, (F.abs(a - b) <= tolerance for a, b in zip(one, other, strict=True)))

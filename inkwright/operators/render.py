@@ -19,36 +19,40 @@ BYTES = ("layers", "total_path")
 INK_LAYERS = ("MAINLAYER", "LAYER1", "LAYER2", "LAYER3")
 
 
-def runs_of(data: bytes, pixels: int, blank: bool = False) -> Iterator[tuple[int, int]]:
-    """(code, length) runs of a bitmap's byte pairs; the fold of ``runs.fold`` over real bytes."""
-    held, total = None, 0
-    for k in range(0, len(data) - 1, 2):
-        code, n = data[k], data[k + 1]
-        ready = []
-        if held and held[0] == code:
-            ready, held = [(code, 1 + n + (held[1] << 7))], None
-        else:
-            if held:
-                ready, held = [(held[0], held[1] << 7)], None
-            if n == 255:
-                ready.append((code, LONG_BLANK if blank else LONG))
-            elif n & 128:
-                held = code, (n & 127) + 1
-            else:
-                ready.append((code, n + 1))
-        for run in ready:
-            total += run[1]
-            yield run
-    if held and (last := next((held[1] << i for i in range(7, -1, -1) if held[1] << i <= pixels - total), 0)):
-        yield held[0], last
+def runs_of(data: bytes, pixels: int, blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and lengths of a bitmap's runs; the fold of ``runs.fold`` over real bytes, for all pairs at once."""
+    pairs = np.frombuffer(data, np.uint8, len(data) // 2 * 2).reshape(-1, 2).astype(np.int64)
+    code, n = pairs[:, 0], pairs[:, 1]
+    if not len(n):
+        return code, n
+    at = np.arange(len(n))
+    high, upper = (n >= 128) & (n != 255), ((n & 127) + 1) << 7
+    could = np.zeros(len(n), bool)  # the pair before may be held for this one
+    could[1:] = high[:-1] & (code[1:] == code[:-1])
+    joins = could & ((at - np.maximum.accumulate(np.where(could, 0, at))) % 2 == 1)
+    held = high & ~joins
+    alone = np.zeros(len(n), bool)  # what was held stands alone before this pair
+    alone[1:] = held[:-1] & ~joins[1:]
+    own = np.where(n == 255, LONG_BLANK if blank else LONG, np.where(high, 0, n + 1))
+    own[1:] = np.where(joins[1:], 1 + n[1:] + upper[:-1], own[1:])
+    before = np.zeros(len(n), np.int64)
+    before[1:] = np.where(alone[1:], upper[:-1], 0)
+    codes_, lengths = np.stack([np.roll(code, 1), code], 1).ravel(), np.stack([before, own], 1).ravel()
+    if held[-1]:
+        gap, size = pixels - lengths.sum(), (n[-1] & 127) + 1
+        codes_, lengths = np.append(codes_, code[-1]), np.append(lengths, next((size << i for i in range(7, -1, -1) if size << i <= gap), 0))
+    return codes_[lengths > 0], lengths[lengths > 0]
 
 
 def codes(data: bytes, width: int, height: int, factor: int = 1, blank: bool = False) -> np.ndarray:
     """The colour code of every ``factor``-th row and column."""
-    found = np.array(list(runs_of(data, width * height, blank)), np.int64).reshape(-1, 2)
-    if found[:, 1].sum() != width * height:
-        raise ValueError(f"{found[:, 1].sum()} pixels instead of {width * height}")
-    return np.repeat(found[:, 0].astype(np.uint8), found[:, 1]).reshape(height, width)[::factor, ::factor]
+    code, length = runs_of(data, width * height, blank)
+    if length.sum() != width * height:
+        raise ValueError(f"{length.sum()} pixels instead of {width * height}")
+    if factor == 1:
+        return np.repeat(code.astype(np.uint8), length).reshape(height, width)
+    kept = (np.arange(0, height, factor)[:, None] * width + np.arange(0, width, factor)).ravel()
+    return code.astype(np.uint8)[np.searchsorted(np.cumsum(length), kept, "right")].reshape(-(-height // factor), -(-width // factor))
 
 
 _COLOURS = np.array([PALETTE.get(c, UNKNOWN) for c in range(256)], np.uint8)
@@ -86,9 +90,9 @@ def enlarged(rgba: np.ndarray, factor: float) -> np.ndarray:
         at = (np.arange(round(n * factor)) + 0.5) / factor - 0.5
         low = np.floor(at).astype(int)
         taps = [(np.clip(low + j, 0, n - 1), kernel(at - (low + j))) for j in (-1, 0, 1, 2)]
-        return sum(x[i] * w.reshape(-1, *[1] * (x.ndim - 1)) for i, w in taps)
+        return sum(x[i] * w.astype(np.float32).reshape(-1, *[1] * (x.ndim - 1)) for i, w in taps)
 
-    x = rgba.astype(np.float64)
+    x = rgba.astype(np.float32)
     x[..., :3] *= x[..., 3:] / 255
     x = along(along(x).swapaxes(0, 1)).swapaxes(0, 1)
     a = np.clip(x[..., 3:], 0, 255)

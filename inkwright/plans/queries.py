@@ -66,12 +66,15 @@ KV_SQL = """t AS (SELECT o_custkey, string_agg('<' || o_orderstatus || '_' || o_
 k AS (SELECT o_custkey, unnest(range(len(regexp_extract_all(text, '<([^:<>]+):([^:<>]+)>', 1)))) AS pos, unnest(regexp_extract_all(text, '<([^:<>]+):([^:<>]+)>', 1)) AS key, unnest(regexp_extract_all(text, '<([^:<>]+):([^:<>]+)>', 2)) AS value FROM t)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("_", "o_orderstatus", "o_orderpriority")
     value = F.when(F.col("o_orderkey") % 7 == 0, "").when(F.col("o_orderkey") % 11 == 0, "a:b").otherwise(F.col("o_orderkey").cast("string"))
     parts = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat(F.lit("<"), key, F.lit(":"), value, F.lit(">")).alias("said"))))
-    text = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(parts, lambda p: p["said"]), "").alias("text"))
-    return text.select("o_custkey", F.posexplode(T.key_values(F.col("text"))).alias("pos", "kv")).select("o_custkey", "pos", "kv.key", "kv.value")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(parts, lambda p: p["said"]), "").alias("text"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("o_custkey", F.posexplode(T.key_values(F.col("text"))).alias("pos", "kv")).select("o_custkey", "pos", "kv.key", "kv.value")
 
 
 @query(f"WITH {KV_SQL} SELECT o_custkey, key, count(*) AS n, string_agg(value, '|' ORDER BY pos) AS vals FROM k GROUP BY o_custkey, key")
@@ -85,9 +88,7 @@ def kv_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey, substr(key, 1, instr(key, '_') - 1) AS grp, substr(key, instr(key, '_') + 1) AS name, value FROM g WHERE instr(key, '_') > 1 AND length(key) > instr(key, '_')""")
 def kv_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys cut at their first underscore; a key that repeats is dropped entirely."""
-    once = _pairs(spark, sf_dir).groupBy("o_custkey", "key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value")).where("n = 1")
-    at = F.instr("key", "_")
-    return once.where((at > 1) & (F.length("key") > at)).select("o_custkey", F.substring_index("key", "_", 1).alias("grp"), F.expr("substring(key, instr(key, '_') + 1)").alias("name"), "value")
+    return _texts(spark, sf_dir).select("o_custkey", F.explode(T.nested(F.col("text"))).alias("p")).select("o_custkey", "p.*")
 
 
 @query("""SELECT n_nationkey, n_nationkey % 5 AS layer_id, n_name AS name, n_nationkey % 2 = 0 AS visible FROM nation""")
@@ -112,9 +113,14 @@ def label_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.repair(broken).cast("binary")).alias("digest"))
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+@query("SELECT user_id::VARCHAR AS note_id, event_id::INT AS page_no, 0 AS elem_idx, 'Text' AS type, event_type AS label, 'k' || (props->>'$.k') AS word, (event_id % 90)::DOUBLE AS x FROM events")
 def json_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
+    """Recognized elements and their words, parsed from a page's JSON."""
+    k = F.get_json_object("props", "$.k")
+    said = F.format_string('[{"type":"Text","label":"%s","words":[{"label":"k%s","bounding-box":{"x":%d,"y":0,"width":1,"height":1}}]}]', "event_type", k, F.col("event_id") % 90)
+    pages = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("note_id"), F.col("event_id").cast("int").alias("page_no"), said.alias("elements"))
+    first = F.get("words", F.lit(0))
+    return container.elements(pages).select("note_id", "page_no", "elem_idx", "type", "label", first["label"].alias("word"), first["box"]["x"].alias("x"))
 
 
 @query("SELECT conv_id AS page, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")
@@ -123,24 +129,13 @@ def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.joined(said, ["page"]).select("page", F.md5(F.col("text").cast("binary")).alias("digest"), "n")
 
 
-@query("SELECT row_number() OVER (ORDER BY try_cast(n_name[8:] AS BIGINT), n_name)::INT AS rank, n_name FROM nation")
-def numeric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page keys in the order of their numbers, not of their characters."""
-    number = F.expr("try_cast(substring(n_name, 8) AS BIGINT)")
-    return table(spark, sf_dir, "nation").select(F.row_number().over(W.orderBy(number, "n_name")).alias("rank"), "n_name")
-
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(text[:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped, (source || '.note') AS file, to_base64(encode(source)) AS encoded FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS escaped, (source || '.note') AS file, to_base64(encode(source)) AS encoded FROM documents")
 def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup escapes, file names and base64 of texts."""
+    """Markup escapes of whole texts (as digests), file names and base64."""
     path = F.concat(F.lit("/a/b/"), "source", F.lit(".note"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.xml(F.substring("text", 1, 200)).alias("escaped"), F.concat(T.file_name(path), F.lit(".note")).alias("file"), T.data_base64(F.col("source").cast("binary")).alias("encoded"))
-
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.xml(F.col("text")).cast("binary")).alias("escaped"), F.concat(T.file_name(path), F.lit(".note")).alias("file"), T.data_base64(F.col("source").cast("binary")).alias("encoded"))
 
-@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS digest FROM documents")
-def text_marks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup escapes of whole texts, as digests; text_marks shows the first 200 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.xml(F.col("text")).cast("binary")).alias("digest"))
 
 
 # Recognized text
@@ -192,17 +187,10 @@ def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LENGTH_SQL} SELECT path, round(CASE WHEN area2 = 0 THEN 4.0 ELSE (sqrt(length * length + pi() * abs(area2) / 2) - length) / (pi() / 2) END, 6) AS width FROM m")
 def render_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The width of a pen from the area and length of its outline."""
-    p = points(spark, sf_dir)
-    both = G.path_length(p, ["path"]).join(G.ring_area(p, ["path"]), "path")
+    both = G.outline(points(spark, sf_dir), ["path"])
     return both.select("path", F.round(G.render_width(F.lit(400), F.abs("area2") / 2, F.col("length")), 6).alias("width"))
 
 
-@query(f"WITH {POINTS_SQL} SELECT path, x, y FROM p WHERE (idx - 1) % (CASE WHEN (SELECT max(idx) FROM p q WHERE q.path = p.path) >= 4 THEN 2 ELSE 1 END) = 0")
-def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step-th point from the first, the step following the number of points."""
-    p = points(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("path")))
-    return p.where((F.col("idx") - 1) % F.greatest(F.lit(1), F.least(F.lit(2), F.floor(F.col("n") / 2))) == 0).select("path", "x", "y")
-
 
 @query("SELECT l_orderkey, l_linenumber, round(1404 - l_partkey / (1872.0::DOUBLE * 8 / 1872.0::DOUBLE), 6) AS x, round(l_suppkey / (1872.0::DOUBLE * 8 / 1872.0::DOUBLE), 6) AS y FROM lineitem")
 def to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,14 +218,15 @@ def rect_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.match_rects(strokes, titles, ["page"])
 
 
-@query(f"""WITH {POINTS_SQL}, r AS (SELECT unnest([0, 1]) AS rect_idx, unnest([0, 40]) AS lo, unnest([300, 400]) AS hi),
-c AS (SELECT path, rect_idx, avg(CASE WHEN x BETWEEN lo AND hi AND y BETWEEN 20 AND 280 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM p, r GROUP BY path, rect_idx)
-SELECT path AS path_id, min(rect_idx) AS rect_idx FROM c WHERE share >= 0.8 GROUP BY path""")
+@query(f"""WITH {POINTS_SQL}, r AS (SELECT i // 2 AS page, i % 2 AS rect_idx, i % 2 * 40 + i // 2 % 7 AS lo, 300 + i % 2 * 100 AS hi FROM (SELECT unnest(range(200)) AS i)),
+c AS (SELECT path, rect_idx, avg(CASE WHEN x BETWEEN lo AND hi AND y BETWEEN 20 AND 280 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM p JOIN r ON path % 100 = page GROUP BY path, rect_idx)
+SELECT path % 100 AS page, path AS path_id, min(rect_idx)::INT AS rect_idx FROM c WHERE share >= 0.8 GROUP BY path""")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of two rectangles that holds four fifths of a path's points."""
-    rects = spark.range(2).select(F.lit(1).alias("page"), F.col("id").cast("int").alias("rect_idx"), (F.col("id") * 40).alias("x0"), (F.col("id") * 100 + 300).alias("x1"), F.lit(20).alias("y0"), F.lit(280).alias("y1"))
-    p = points(spark, sf_dir).select(F.lit(1).alias("page"), F.col("path").alias("path_id"), "x", "y")
-    return G.contained(p, rects, ["page"]).select("path_id", "rect_idx")
+    """The first of a page's two rectangles that holds four fifths of a path's points."""
+    i = F.col("id")
+    rects = spark.range(200).select(F.floor(i / 2).alias("page"), (i % 2).cast("int").alias("rect_idx"), (i % 2 * 40 + F.floor(i / 2) % 7).alias("x0"), (i % 2 * 100 + 300).alias("x1"), F.lit(20).alias("y0"), F.lit(280).alias("y1"))
+    p = points(spark, sf_dir).select((F.col("path") % 100).alias("page"), F.col("path").alias("path_id"), "x", "y")
+    return G.contained(p, rects, ["page"]).select("page", "path_id", "rect_idx")
 
 
 STROKES_SQL = """s AS (SELECT o_custkey AS page, o_orderkey AS idx, (o_orderkey * 37 % 256)::INT AS grey, o_orderkey % 90 AS x0, o_orderkey % 90 + o_orderkey % 25 AS x1, o_orderkey % 70 AS y0, o_orderkey % 70 + o_orderkey % 35 AS y1 FROM orders)"""
@@ -331,17 +320,15 @@ def rle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte pairs folded to runs: held lengths, long runs, and the tail cut to 20,000 pixels."""
     idx = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER))
     n = F.when(F.col("l_suppkey") % 9 == 0, 255).otherwise((F.col("l_partkey") * 13 % 256).cast("int"))
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(idx.alias("idx"), (F.col("l_partkey") % 2 + 97).cast("int").alias("code"), n.alias("n")).alias("p"))
-    folded = pairs.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("p")).alias("pairs")).select("l_orderkey", R.fold(F.col("pairs"), F.lit(20000).cast("long")).alias("runs"))
-    return folded.select("l_orderkey", F.posexplode("runs").alias("idx", "run")).select("l_orderkey", "idx", "run.code", "run.len")
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", idx.alias("idx"), (F.col("l_partkey") % 2 + 97).cast("int").alias("code"), n.alias("n"))
+    return R.fold(pairs, ["l_orderkey"], F.lit(20000).cast("long"))
 
 
-@query("SELECT l_orderkey, l_linenumber, tid // 4096 AS col, tid % 4096 AS \"row\", min(tid // 4096) OVER () AS left_col, max(tid % 4096) OVER () AS last_row FROM (SELECT l_orderkey, l_linenumber, l_partkey % 50 * 4096 + l_suppkey AS tid FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, tid // 4096 AS col, tid % 4096 AS \"row\", min(tid // 4096) OVER (PARTITION BY l_orderkey) AS left_col, max(tid % 4096) OVER (PARTITION BY l_orderkey) AS last_row FROM (SELECT l_orderkey, l_linenumber, l_partkey % 50 * 4096 + l_suppkey AS tid FROM lineitem)")
 def tile_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tile ids as cells, with the bounds of the whole grid."""
+    """Tile ids as cells, with the bounds of their document's grid."""
     col, row = R.tile_cell(F.col("l_partkey") % 50 * 4096 + F.col("l_suppkey"))
-    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", col.alias("col"), row.alias("row"))
-    return cells.crossJoin(F.broadcast(cells.agg(F.min("col").alias("left_col"), F.max("row").alias("last_row"))))
+    return R.grid(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", col.alias("col"), row.alias("row")), ["l_orderkey"])
 
 
 @query("""SELECT p_partkey, CASE code WHEN 97 THEN 'rgba(0,0,0,255)' WHEN 98 THEN 'rgba(0,0,0,0)' WHEN 99 THEN 'rgba(128,128,128,255)' WHEN 100 THEN 'rgba(169,169,169,255)' WHEN 101 THEN 'rgba(255,255,255,255)' ELSE 'rgba(255,255,255,0)' END AS rgba
@@ -360,28 +347,13 @@ def first_layer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lookups, pages, options
 
-@query("""WITH p AS (SELECT c_nationkey AS id, min(c_custkey) AS page FROM customer GROUP BY c_nationkey)
-SELECT o_orderkey, 'file' || coalesce('#Page ' || page, '') AS text FROM orders LEFT JOIN p ON p.id = o_custkey % 30""")
-def first_match_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links with the first page of the id they name, or none."""
-    first = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.min("c_custkey").alias("page"))
-    links = table(spark, sf_dir, "orders").withColumn("id", F.col("o_custkey") % 30)
-    return links.join(first, "id", "left").select("o_orderkey", F.concat(F.lit("file"), F.coalesce(F.concat(F.lit("#Page "), F.col("page").cast("string")), F.lit(""))).alias("text"))
-
 
 @query("SELECT i AS seq, r_regionkey, r_name FROM (SELECT unnest([0, 1, 2, 3]) AS i, unnest([3, 1, 3, 0]) AS k) JOIN region ON r_regionkey = k")
 def page_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by a list of numbers, whose order and repeats count."""
-    wanted = spark.range(1).select(F.posexplode(F.array(*map(F.lit, (3, 1, 3, 0)))).alias("seq", "r_regionkey"))
-    return wanted.join(table(spark, sf_dir, "region"), "r_regionkey").select("seq", "r_regionkey", "r_name")
-
+    pages = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("page_no"), "r_regionkey", "r_name")
+    return notebook.picked(pages, [3, 1, 3, 0]).select((F.col("out_no") - 1).alias("seq"), "r_regionkey", "r_name")
 
-@query("SELECT n_nationkey, round(CASE WHEN n_nationkey % 3 IN (0, 1) THEN 1404 * 11.9 / 1920 ELSE 1404 * 11.9 / 1404 END, 9) AS scale FROM nation")
-def scale_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recognition canvas is 1920 wide without equipment or on one device, else native."""
-    device = F.when(F.col("n_nationkey") % 3 == 1, "A5X").when(F.col("n_nationkey") % 3 == 2, "N6")
-    canvas = F.when(device.isNull() | (device == "A5X"), 1920.0).otherwise(1404.0)
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(F.lit(1404 * 11.9) / canvas, 9).alias("scale"))
 
 
 @query("SELECT p_partkey, (p_partkey % 256)::INT AS background, (p_partkey % 2 * 254)::INT AS foreground, p_partkey % 256 = 0 AND p_partkey % 2 = 0 AS hatched FROM part")
@@ -390,12 +362,6 @@ def title_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.title_style(code).alias("s")).select("p_partkey", "s.*")
 
 
-@query("""SELECT c_custkey, coalesce(bool_and(o_orderkey % 4 IN (1, 2, 3)), true) AS landscape FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
-def all_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all pages lie crosswise; so do none at all."""
-    pages = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_and((F.col("o_orderkey") % 4).isin(1, 2, 3)).alias("all"))
-    return table(spark, sf_dir, "customer").join(pages, "c_custkey", "left").select("c_custkey", F.coalesce("all", F.lit(True)).alias("landscape"))
-
 
 @query("SELECT o_orderkey, floor((o_orderkey - 500) / 2.0::DOUBLE + 0.5)::BIGINT AS rounded, (o_orderkey * 72 / 300.0::DOUBLE)::DOUBLE AS pt FROM orders")
 def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +374,7 @@ def distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values of the listed groups with where each was first seen."""
     listed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     rows = table(spark, sf_dir, "lineitem").join(listed, "l_orderkey", "left_semi")
-    return rows.groupBy("l_suppkey").agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seen"))
+    return G.first_seen(rows, "l_suppkey", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
 
 
 @query(f"""WITH {POINTS_SQL}, d AS (SELECT path, string_agg(CASE WHEN idx = 1 THEN 'M' ELSE 'L' END || x || '.00,' || y || '.00', ' ' ORDER BY idx) AS d FROM p GROUP BY path),
@@ -436,7 +402,8 @@ def note_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a notebook file of up to three pages, read back: text and live strokes of each page."""
     e = F.col("event_id")
     colour, kind = F.when(e % 7 == 0, S.ERASER).otherwise(0), F.when(e % 11 == 0, S.LINK_BOX).otherwise("others")
-    stroke = F.struct((e % 1000).cast("int").alias("x"), (e % 700).cast("int").alias("y"), colour.alias("colour"), kind.alias("kind"), F.when(e % 5 == 0, -2).otherwise(0).alias("status"))
+    point = lambda off: F.struct((e % 1000 + off).cast("double").alias("x"), (e % 700).cast("double").alias("y"))
+    stroke = F.struct(F.array(point(0), point(9)).alias("points"), colour.alias("colour"), kind.alias("kind"), F.when(e % 5 == 0, -2).otherwise(0).alias("status"))
     f = fragments(spark, sf_dir).withColumnRenamed("ordinal", "event_id")
     number = lambda c: F.col(c).cast("double")
     word = F.struct(F.col("text").alias("label"), number("x").alias("x"), number("top").alias("y"), F.lit(20.0).alias("w"), (number("bottom") - number("top")).alias("h"))
@@ -463,8 +430,8 @@ def _pixels(batches):
         for order, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             runs = [(r["code"], r["len"]) for r in found]
             image = png.decode(png.encode(render.image(writer.bitmap(runs), sum(n for _, n in runs), 1)))
-            grey, n = np.unique(image[..., 0], return_counts=True)
-            out += [(order, int(g), int(k)) for g, k in zip(grey, n, strict=True)]
+            n = np.bincount(image[..., 0].ravel(), minlength=256)
+            out += [(order, int(g), int(n[g])) for g in np.flatnonzero(n)]
         if out:
             columns = zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["l_orderkey", "grey", "pixels"])
@@ -493,3 +460,6 @@ def tiles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = tiles.documents(rows.groupBy("path").applyInPandas(make, "path string, content binary"))
     return render.document_pngs(docs).mapInArrow(measured, "doc_id string, width int, height int, total bigint")
+
+
+from inkwright.plans import exports as _exports  # noqa: E402, F401  registers its queries

@@ -28,6 +28,11 @@ HEADER_AT = 24
 PORTRAIT, LARGE, LARGE_DEVICE = (1404, 1872), (1920, 2560), "N5"
 CROSSWISE = {"1090", "1270"}
 TITLE_STYLE = "1000254"
+# What blocks say where they are silent.
+HEADER_DEFAULTS = dict.fromkeys(("MODULE_LABEL", "FILE_TYPE", "APPLY_EQUIPMENT", "FINAL_OPERATION_PAGE", "FINAL_OPERATION_LAYER", "ORIGINAL_STYLE", "ORIGINAL_STYLEMD5", "DEVICE_DPI", "SOFT_DPI", "FILE_PARSE_TYPE", "APP_VERSION", "FILE_RECOGN_TYPE"), "0")
+PAGE_DEFAULTS = dict.fromkeys(("PAGESTYLE", "PAGESTYLEMD5", "LAYERSWITCH", "TOTALPATH", "THUMBNAILTYPE", "RECOGNSTATUS", "RECOGNTEXT", "RECOGNFILE", "RECOGNFILESTATUS", "ORIENTATION"), "0")
+LAYER_DEFAULTS = {"LAYERTYPE": "NOTE", "LAYERNAME": "MAINLAYER", "LAYERPATH": "0", "LAYERBITMAP": "0", "LAYERVECTORGRAPH": "0", "LAYERRECOGN": "0"}
+LAYER_FLAGS = ("isBackgroundLayer", "isAllowAdd", "isCurrentLayer", "isVisible", "isDeleted", "isAllowUp", "isAllowDown")
 PICTURE = {"keyword": "KEYWORDSITE", "title": "TITLEBITMAP", "link": "LINKBITMAP"}
 ELEMENTS = f"array<struct<type:string,label:string,words:{WORDS}>>"
 
@@ -77,19 +82,19 @@ def recognition(data: bytes, at: str | None) -> str | None:
 
 
 def _page(data: bytes, no: int, at: int) -> dict:
-    kv = single(pairs(block(data, at)))
+    kv = PAGE_DEFAULTS | single(pairs(block(data, at)))
     for needed in ("LAYERINFO", "LAYERSEQ"):
         if needed not in kv:
             raise Broken(f"page {no} has no {needed}")
     layers = []
     for name in LAYERS:
-        said = single(pairs(block(data, number(kv.get(name)))))
-        layers.append({"name": said.get("LAYERNAME", name), "bitmap": block(data, number(said.get("LAYERBITMAP")))})
+        said = LAYER_DEFAULTS | single(pairs(block(data, number(kv.get(name)))))
+        layers.append({"name": said["LAYERNAME"], "type": said["LAYERTYPE"], "bitmap": block(data, number(said["LAYERBITMAP"]))})
     return {
         "page_no": no,
         "page_id": kv.get("PAGEID"),
-        "style": kv.get("PAGESTYLE", "0"),
-        "orientation": kv.get("ORIENTATION", "0"),
+        "style": kv["PAGESTYLE"],
+        "orientation": kv["ORIENTATION"],
         "layer_seq": kv["LAYERSEQ"].split(","),
         "layer_info": [list(x.items()) for x in layer_info(kv["LAYERINFO"])],
         "layers": layers,
@@ -111,8 +116,8 @@ def decode(data: bytes) -> dict:
     footer = pairs(block(data, uint(data, len(data) - 4)))
     once = {k: v[0] for k, v in footer.items() if len(v) == 1}
     part = lambda prefix: {k[len(prefix) :].lstrip("_"): v for k, v in once.items() if k.startswith(prefix)}
-    header = single(pairs(block(data, number(once.get("FILE_FEATURE")) or HEADER_AT)))
-    width, height = LARGE if header.get("APPLY_EQUIPMENT") == LARGE_DEVICE else PORTRAIT
+    header = HEADER_DEFAULTS | single(pairs(block(data, number(once.get("FILE_FEATURE")) or HEADER_AT)))
+    width, height = LARGE if header["APPLY_EQUIPMENT"] == LARGE_DEVICE else PORTRAIT
     pages = [_page(data, i + 1, number(at)) for i, (_, at) in enumerate(sorted(part("PAGE").items(), key=lambda x: _key_order(x[0])))]
     if all(p["orientation"] in CROSSWISE for p in pages):
         width, height = height, width
@@ -130,14 +135,16 @@ def decode(data: bytes) -> dict:
                     kv = {"TITLESTYLE": TITLE_STYLE} | kv
                 picture = block(data, number(kv.get(PICTURE[kind])))
                 marks.append({"kind": kind, "key": key[len(prefix) :], "seq": seq, "text": text, "values": list(kv.items()), "bitmap": picture})
-    cover = next((block(data, number(part("COVER").get(k))) for k in ("0", "1", "") if number(part("COVER").get(k)) > 0), None)
-    return {"version": m[1].decode(), "equipment": header.get("APPLY_EQUIPMENT"), "page_w": width, "page_h": height, "header": list(header.items()), "pages": pages, "marks": marks, "cover": cover}
+    covers = part("COVER")
+    at = number(covers.get("0", covers.get("1")))  # a first cover without an address is no cover
+    cover = block(data, at) if at > 0 else None
+    return {"version": m[1].decode(), "equipment": header["APPLY_EQUIPMENT"], "page_w": width, "page_h": height, "header": list(header.items()), "pages": pages, "marks": marks, "cover": cover}
 
 
 _MAP = pa.map_(pa.string(), pa.string())
 _PAGE = pa.struct(
     [("page_no", pa.int32()), ("page_id", pa.string()), ("style", pa.string()), ("orientation", pa.string()), ("layer_seq", pa.list_(pa.string())), ("layer_info", pa.list_(_MAP))]
-    + [("layers", pa.list_(pa.struct([("name", pa.string()), ("bitmap", pa.binary())]))), ("elements", pa.string()), ("total_path", pa.binary()), ("extra", _MAP)]
+    + [("layers", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("bitmap", pa.binary())]))), ("elements", pa.string()), ("total_path", pa.binary()), ("extra", _MAP)]
 )
 _MARK = pa.struct([("kind", pa.string()), ("key", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("values", _MAP), ("bitmap", pa.binary())])
 _NOTE = pa.schema(
@@ -145,7 +152,7 @@ _NOTE = pa.schema(
     + [("header", _MAP), ("pages", pa.list_(_PAGE)), ("marks", pa.list_(_MARK)), ("cover", pa.binary())]
 )
 NOTE = """note_id string, error string, version string, equipment string, page_w int, page_h int, header map<string,string>,
-pages array<struct<page_no:int,page_id:string,style:string,orientation:string,layer_seq:array<string>,layer_info:array<map<string,string>>,layers:array<struct<name:string,bitmap:binary>>,elements:string,total_path:binary,extra:map<string,string>>>,
+pages array<struct<page_no:int,page_id:string,style:string,orientation:string,layer_seq:array<string>,layer_info:array<map<string,string>>,layers:array<struct<name:string,type:string,bitmap:binary>>,elements:string,total_path:binary,extra:map<string,string>>>,
 marks array<struct<kind:string,key:string,seq:int,text:string,values:map<string,string>,bitmap:binary>>, cover binary"""
 
 
@@ -174,6 +181,14 @@ def pages(found: DataFrame) -> DataFrame:
     return found.where("error IS NULL").select("note_id", "page_w", "page_h", "equipment", F.explode("pages").alias("p")).select("note_id", "page_w", "page_h", "equipment", "p.*")
 
 
+def layer_infos(page_rows: DataFrame) -> DataFrame:
+    """What pages say of their layers (note_id, page_no, ordinal, layer_id, name, flags), with defaults."""
+    rows = page_rows.select("note_id", "page_no", F.posexplode("layer_info").alias("ordinal", "m"))
+    flags = [F.coalesce(F.col("m")[f] == "true", F.lit(False)).alias(f) for f in LAYER_FLAGS]
+    number_ = F.regexp_extract(F.coalesce(F.col("m")["layerId"], F.lit("0")), r"^\s*([+-]?\d+)", 1).try_cast("int")
+    return rows.select("note_id", "page_no", "ordinal", number_.alias("layer_id"), F.coalesce(F.col("m")["name"], F.lit("Main layer")).alias("name"), *flags)
+
+
 def elements(page_rows: DataFrame) -> DataFrame:
     """Recognized elements (note_id, page_no, elem_idx, type, label, words)."""
     out = page_rows.select("note_id", "page_no", F.posexplode(F.from_json("elements", ELEMENTS)).alias("elem_idx", "e"))

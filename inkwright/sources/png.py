@@ -39,6 +39,8 @@ def _by_neighbours(line: bytes, up: bytes, step: int, paeth: bool) -> bytes:
 
 
 def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
+    if not raw[:, 0].any():
+        return raw[:, 1:]
     out = np.zeros((h + 1, stride), np.uint8)
     for y in range(h):
         kind, line, up = raw[y, 0], raw[y, 1:].astype(np.int32), out[y].astype(np.int32)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,45 +53,84 @@ def _rings(r: _Reader) -> list[np.ndarray] | None:
         return None
 
 
-def record(body: bytes) -> dict | None:
-    """One record, or nothing if its body doesn't decode."""
-    try:
-        pen, colour, thickness = struct.unpack_from("<III", body, PEN)
-        (kind_class,) = struct.unpack_from("<i", body, CLASS)
-        (screen,) = struct.unpack_from("<I", body, SCREEN)
-        if len(body) < HEAD or screen == 0:
-            return None
-        r = _Reader(body, HEAD)
-        r.skip(24 * r.uint())
-        yx = r.take("<u4", 2 * r.uint()).reshape(-1, 2)
-        for size in SKIPPED:
-            r.skip(size * r.uint())
-        (status,) = struct.unpack_from("<i", body, r.at)
-        r.skip(STATUS_SPAN)
-    except (ValueError, struct.error):
-        return None
-    return {
-        "pen": pen, "colour": colour, "thickness": thickness, "record_class": kind_class, "screen_height": screen, "trail_status": status,
-        "kind": body[KIND : KIND + KIND_SIZE].split(b"\0")[0].decode("utf-8", "replace"), "raw_x": yx[:, 1], "raw_y": yx[:, 0], "rings": _rings(r),
-    }
+def flat(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of a binary column in a row, and where each value begins (nulls are empty)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return b"".join(column.drop_null().to_pylist()), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _bodies(data: bytes, offsets: np.ndarray) -> np.ndarray:
+    """(log, place, begin, end) of the records' bodies. A length of zero or past the log's end stops the
+    walk through a log and keeps what was read."""
+    out = []
+    for log, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        count = int.from_bytes(data[at : at + 4], "little") if end - at >= HEAD else 0
+        at += 4
+        for k in range(count if 0 < count <= MOST_RECORDS else 0):
+            size = int.from_bytes(data[at : at + 4], "little")
+            if at + 4 > end or size == 0 or at + 4 + size > end:
+                break
+            out.append((log, k, at + 4, at + 4 + size))
+            at += 4 + size
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+_names: dict[bytes, str] = {}
+
+
+def _name(raw: bytes) -> str:
+    if raw not in _names:
+        if len(_names) > 1000:
+            _names.clear()
+        _names[raw] = raw.split(b"\0")[0].decode("utf-8", "replace")
+    return _names[raw]
+
+
+def columns(data: bytes, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The records of logs that lie in a row, a column each: ``log``, ``k``, the head's numbers, ``kind``,
+    ``trail_status``, and where points (``points_at``, ``n_points``) and outlines (``rings_at``) lie.
+    Sections are passed over for all records at once; a record that doesn't decode is left out."""
+    body = _bodies(data, offsets)
+    at, end = body[:, 2], body[:, 3]
+    held = np.frombuffer(data + bytes(HEAD + 4), np.uint8).astype(np.int64)  # what is read past the end doesn't count
+
+    def uint(pos: np.ndarray) -> np.ndarray:
+        pos = np.minimum(pos, len(data))
+        return held[pos] | held[pos + 1] << 8 | held[pos + 2] << 16 | held[pos + 3] << 24
+
+    signed = lambda x: np.where(x >= 1 << 31, x - (1 << 32), x)
+    screen = uint(at + SCREEN)
+    ok = (end - at >= HEAD) & (screen > 0)
+    pos = at + HEAD
+    found = {}
+    for name, size in (("", 24), ("points", 8), *(("", n) for n in SKIPPED)):
+        n = uint(pos)
+        if name:
+            found = {"points_at": pos + 4, "n_points": n}
+        ok &= pos + 4 <= end
+        pos = pos + 4 + size * n
+        ok &= pos <= end
+    status = signed(uint(pos))
+    ok &= pos + STATUS_SPAN <= end
+    out = {"log": body[:, 0], "k": body[:, 1], "pen": uint(at + PEN), "colour": uint(at + COLOUR), "thickness": uint(at + THICKNESS), "record_class": signed(uint(at + CLASS)), "screen_height": screen, "trail_status": status, **found, "rings_at": pos + STATUS_SPAN, "end": end}
+    out = {c: v[ok] for c, v in out.items()}
+    kinds = [_name(data[a + KIND : a + KIND + KIND_SIZE]) for a in at[ok].tolist()]
+    return out | {"kind": np.array(kinds, object)}
 
 
 def records(data: bytes | None) -> Iterator[tuple[int, dict]]:
-    """Records with their places in the log. A length of zero or past the end stops the walk and
-    keeps what was read; a body that doesn't decode is left out and the walk goes on."""
-    if not data or len(data) < HEAD:
-        return
-    count = int.from_bytes(data[:4], "little")
-    at = 4
-    for k in range(count if 0 < count <= MOST_RECORDS else 0):
-        if at + 4 > len(data):
-            return
-        size = int.from_bytes(data[at : at + 4], "little")
-        if size == 0 or at + 4 + size > len(data):
-            return
-        if found := record(data[at + 4 : at + 4 + size]):
-            yield k, found
-        at += 4 + size
+    """Records of one log with their places in it."""
+    found = columns(data or b"", np.array([0, len(data or b"")]))
+    heads_ = [found[c].tolist() for c in ("k", *HEAD_COLUMNS, "points_at", "n_points", "rings_at", "end")]
+    for k, pen, colour, thickness, record_class, kind, status, screen, at, n, rings_at, end in zip(*heads_, strict=True):
+        yx = np.frombuffer(data, "<u4", 2 * n, at).reshape(-1, 2)
+        yield k, {
+            "pen": pen, "colour": colour, "thickness": thickness, "record_class": record_class, "screen_height": screen, "trail_status": status,
+            "kind": kind, "raw_x": yx[:, 1], "raw_y": yx[:, 0], "rings": _rings(_Reader(data[rings_at:end])),
+        }
+
+
+HEAD_COLUMNS = ("pen", "colour", "thickness", "record_class", "kind", "trail_status", "screen_height")
 
 
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -117,12 +157,39 @@ def row(note: str, no: int, w: int, h: int, k: int, r: dict) -> dict:
     return same | {"note_id": note, "page_no": no, "stroke_idx": k, "points": _points(*page_points(r, w, h)), "contour": contour}
 
 
+def _lists(values: pa.Array, sizes: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=None if mask is None else pa.array(mask))
+
+
+def _struct_points(x: np.ndarray, y: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], names=["x", "y"])
+
+
+def _outlines(data: bytes, found: dict[str, np.ndarray]) -> pa.Array:
+    rings = [_rings(_Reader(data[a:b])) for a, b in zip(found["rings_at"].tolist(), found["end"].tolist(), strict=True)]
+    each = [ring for some in rings for ring in some or ()]
+    xy = np.concatenate([np.zeros((0, 2)), *each])
+    inner = _lists(_struct_points(xy[:, 0], xy[:, 1]), np.array([len(r) for r in each], np.int64))
+    return _lists(inner, np.array([len(r or ()) for r in rings], np.int64), np.array([r is None for r in rings], bool))
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for note, no, w, h, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            rows = [row(note, no, w, h, k, r) for k, r in (records(data) if w > 0 and h > 0 else ())]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, ARROW)
+        sides = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]
+        data, offsets = flat(pc.if_else(pc.and_(pc.greater(batch.column(2), 0), pc.greater(batch.column(3), 0)), batch.column(4), None))
+        found = columns(data, offsets)
+        log, n = found["log"], found["n_points"]
+        if not len(log):
+            continue
+        at = np.repeat(found["points_at"] - 8 * (np.cumsum(n) - n), n) + 8 * np.arange(n.sum())
+        raw = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(8)].copy().view("<u4").reshape(-1, 2).astype(np.float64)
+        w, h = (np.repeat(side[log].astype(np.float64), n) for side in sides)
+        scale = np.repeat(found["screen_height"], n) / h
+        points = _lists(_struct_points(w - raw[:, 1] / scale, raw[:, 0] / scale), n)
+        heads_ = [pa.array(found[c], t) for c, t in (("pen", pa.int64()), ("colour", pa.int64()), ("thickness", pa.int64()), ("record_class", pa.int32()), ("kind", pa.string()), ("trail_status", pa.int32()))]
+        where = pa.array(log)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(found["k"], pa.int32()), *heads_, points, _outlines(data, found)], schema=ARROW)
 
 
 HEADS = "array<struct<pen:bigint,colour:bigint,record_class:int,kind:string,trail_status:int>>"
@@ -131,9 +198,10 @@ _HEADS = pa.list_(pa.struct([("pen", pa.int64()), ("colour", pa.int64()), ("reco
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        of = lambda data: [{c: r[c] for c in ("pen", "colour", "record_class", "kind", "trail_status")} for _, r in records(data)]
-        found = pa.array([of(data) for data in batch.column(batch.num_columns - 1).to_pylist()], _HEADS)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "heads"])
+        found = columns(*flat(batch.column(batch.num_columns - 1)))
+        each = pa.StructArray.from_arrays([pa.array(found[f.name], f.type) for f in _HEADS.value_type], fields=list(_HEADS.value_type))
+        lists = _lists(each, np.bincount(found["log"], minlength=batch.num_rows))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "heads"])
 
 
 def heads(pages: DataFrame) -> DataFrame:

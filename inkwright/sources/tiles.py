@@ -38,16 +38,18 @@ def fields(data: bytes) -> list[tuple[int, int | bytes]]:
 
 
 def layer_list(data: bytes | None) -> list[tuple[int, str]] | None:
-    """(id, name) of each listed layer; nothing if the list doesn't decode. A layer without a
-    name is left out, one without an id has 0."""
+    """(id, name) of each listed layer; nothing without a list or if it doesn't decode. A layer without
+    a name is left out, one without an id has 0."""
+    if data is None:
+        return None
     try:
         found = []
-        for no, body in fields(data or b""):
+        for no, body in fields(data):
             if no == 1 and isinstance(body, bytes):
                 inner = dict(fields(body))
                 if isinstance(inner.get(2), bytes):
                     found.append((inner.get(1, 0), inner[2].decode("utf-8", "replace")))
-        return found if data else None
+        return found
     except (IndexError, TypeError):
         return None
 
@@ -56,8 +58,20 @@ def as_bytes(value) -> bytes:
     return b"" if value is None else value if isinstance(value, bytes) else str(value).encode()
 
 
-SCHEMA = "doc_id string, error string, fmt_ver int, layers array<struct<id:bigint,name:string>>, config map<string,binary>, surfaces array<string>, tiles array<struct<surface:string,tid:bigint,png:binary>>"
-_ARROW = pa.schema([("doc_id", pa.string()), ("error", pa.string()), ("fmt_ver", pa.int32()), ("layers", pa.list_(pa.struct([("id", pa.int64()), ("name", pa.string())]))), ("config", pa.map_(pa.string(), pa.binary())), ("surfaces", pa.list_(pa.string())), ("tiles", pa.list_(pa.struct([("surface", pa.string()), ("tid", pa.int64()), ("png", pa.binary())])))])
+NUMBER = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
+
+
+def numbers(config: dict[str, bytes], *names: str) -> list[float] | None:
+    """The numbers that these values begin with; nothing if one is missing or none."""
+    found = [NUMBER.match(config[n].decode("utf-8", "replace")) if n in config else None for n in names]
+    return [float(m[1]) for m in found] if all(found) else None
+
+
+# Where the configuration has the view and the size.
+VIEW, SIZE = {"x": "vp.x", "y": "vp.y", "scale": "vp.scale"}, {"width": "surface.width", "height": "surface.height"}
+
+SCHEMA = "doc_id string, error string, fmt_ver int, viewport struct<x:double,y:double,scale:double>, canvas struct<width:double,height:double>, thumbnail binary, layers array<struct<id:bigint,name:string>>, config map<string,binary>, surfaces array<string>, tiles array<struct<surface:string,tid:bigint,png:binary>>"
+_ARROW = pa.schema([("doc_id", pa.string()), ("error", pa.string()), ("fmt_ver", pa.int32()), ("viewport", pa.struct([(c, pa.float64()) for c in VIEW])), ("canvas", pa.struct([(c, pa.float64()) for c in SIZE])), ("thumbnail", pa.binary()), ("layers", pa.list_(pa.struct([("id", pa.int64()), ("name", pa.string())]))), ("config", pa.map_(pa.string(), pa.binary())), ("surfaces", pa.list_(pa.string())), ("tiles", pa.list_(pa.struct([("surface", pa.string()), ("tid", pa.int64()), ("png", pa.binary())])))])
 
 
 def decode(content: bytes) -> dict:
@@ -71,8 +85,9 @@ def decode(content: bytes) -> dict:
     finally:
         db.close()
     found = layer_list(config.get("ls"))
-    ver = config.get("fmt_ver", b"").decode("utf-8", "replace")
-    return {"fmt_ver": int(ver) if ver.isdigit() else None, "layers": None if found is None else [{"id": i, "name": n} for i, n in found], "config": list(config.items()), "surfaces": names, "tiles": tiles}
+    ver = re.match(r"\s*([+-]?\d+)", config.get("fmt_ver", b"").decode("utf-8", "replace"))
+    named = lambda names: None if (x := numbers(config, *names.values())) is None else dict(zip(names, x, strict=True))
+    return {"fmt_ver": int(ver[1]) if ver else None, "viewport": named(VIEW), "canvas": named(SIZE), "thumbnail": config.get("thumbnail") or None, "layers": None if found is None else [{"id": i, "name": n} for i, n in found], "config": list(config.items()), "surfaces": names, "tiles": tiles}
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

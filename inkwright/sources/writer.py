@@ -7,14 +7,15 @@ import json
 import sqlite3
 import struct
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwright.operators.runs import LONG
 from inkwright.session import ship
 
 
-
 def rle(pairs: list[tuple[int, int]]) -> bytes:
     return bytes(x for p in pairs for x in p)
 
@@ -36,6 +37,9 @@ def blank(width: int, height: int, code: int = 0x62) -> bytes:
     return bitmap([(code, width * height)])
 
 
+_EMPTY_SECTIONS = b"".join(struct.pack("<I", 2) + bytes(2 * size) for size in (2, 4, 1, 8, 4))
+
+
 def stroke(points, pen: int = 10, colour: int = 0, thickness: int = 400, record_class: int = 5000, kind: str = "others", status: int = 0, screen: int = 1872, rings=(), ring_count: int | None = None) -> bytes:
     """A pen record of points in the pen's own coordinates; ``ring_count`` may misstate the outline."""
     head = bytearray(208)
@@ -43,14 +47,11 @@ def stroke(points, pen: int = 10, colour: int = 0, thickness: int = 400, record_
     struct.pack_into("<i", head, 40, record_class)
     head[48 : 48 + len(kind)] = kind.encode()
     struct.pack_into("<I", head, 128, screen)
-    body = bytes(head) + struct.pack("<I", 1) + bytes(24) + struct.pack("<I", len(points)) + b"".join(struct.pack("<II", y, x) for x, y in points)
-    for size in (2, 4, 1, 8, 4):
-        body += struct.pack("<I", 2) + bytes(2 * size)
-    body += struct.pack("<i", status) + bytes(48) + struct.pack("<I", 0) + bytes(10)
-    body += struct.pack("<I", len(rings) if ring_count is None else ring_count)
-    for ring in rings:
-        body += struct.pack("<I", len(ring)) + b"".join(struct.pack("<ff", x, y) for x, y in ring)
-    return body + b"tail"
+    flat = [v for x, y in points for v in (y, x)]
+    body = [bytes(head), struct.pack("<I", 1), bytes(24), struct.pack(f"<I{len(flat)}I", len(points), *flat), _EMPTY_SECTIONS, struct.pack("<i", status), bytes(48), struct.pack("<I", 0), bytes(10)]
+    body.append(struct.pack("<I", len(rings) if ring_count is None else ring_count))
+    body += [struct.pack(f"<I{2 * len(ring)}f", len(ring), *(v for p in ring for v in p)) for ring in rings]
+    return b"".join([*body, b"tail"])
 
 
 def log(records: list[bytes], count: int | None = None) -> bytes:
@@ -121,20 +122,47 @@ def tile_file(config: dict, surfaces: dict[str, dict[int, bytes]]) -> bytes:
     return data
 
 
-PAGES = "note_id string, page_no int, words array<struct<label:string,x:double,y:double,w:double,h:double>>, strokes array<struct<x:int,y:int,colour:int,kind:string,status:int>>"
+POINT = "struct<x:double,y:double>"
+PAGES = f"""note_id string, page_no int, header map<string,string>, values map<string,string>, words array<struct<label:string,x:double,y:double,w:double,h:double>>,
+strokes array<struct<points:array<{POINT}>,pen:int,colour:int,thickness:int,record_class:int,kind:string,status:int,screen:int,rings:array<array<{POINT}>>>>,
+layers array<struct<name:string,runs:array<struct<code:int,len:int>>>>, marks array<struct<kind:string,key:string,values:map<string,string>,body:binary>>, cover array<int>"""
+#: Where a mark's picture or text lies.
+BODY = {"KEYWORD": "KEYWORDSITE", "TITLE": "TITLEBITMAP", "LINKO": "LINKBITMAP"}
+
+
+def _note(rows: list[dict]) -> bytes:
+    note = Note()
+    note.header(**dict(rows[0]["header"] or [("APPLY_EQUIPMENT", "A5X")]))
+    xy = lambda points: [(p["x"], p["y"]) for p in points]
+    for page in sorted(rows, key=lambda r: str(r["page_no"])):  # in the order of texts: readers have to go by the numbers
+        text = None if page["words"] is None else [{"type": "Text", "label": v["label"], "words": [v]} for v in (word(x["label"], x["x"], x["y"], x["w"], x["h"]) for x in page["words"])]
+        ink = None
+        if page["strokes"] is not None:
+            given = [{k: v for k, v in s.items() if v is not None and k not in ("points", "rings")} for s in page["strokes"]]
+            ink = [stroke([(int(x), int(y)) for x, y in xy(s["points"])], rings=[xy(r) for r in s.get("rings") or ()], **more) for s, more in zip(page["strokes"], given, strict=True)]
+        layers = {x["name"]: bitmap([(r["code"], r["len"]) for r in x["runs"]]) for x in page["layers"] or ()}
+        note.page(page["page_no"], text, ink, layers, **dict(page["values"] or ()))
+    for m in (m for page in rows for m in page["marks"] or ()):
+        pairs = dict(m["values"] or ())
+        if m["body"] is not None:
+            pairs[BODY[m["kind"]]] = note.block(m["body"])
+        note.footer.append((f"{m['kind']}_{m['key']}", note.kv(pairs.items())))
+    for no, size in enumerate(rows[0]["cover"] or ()):  # sizes of the covers; 0 is an address without one
+        if size is not None:
+            note.footer.append((f"COVER_{no}", note.block(b"c" * size) if size else 0))
+    return note.bytes()
 
 
 def notes(pages: DataFrame) -> DataFrame:
-    """Files (path, content) of pages like ``PAGES``: one text element a word, one record a stroke
-    (of two points, one to the right of the other). A note is one value, so one task's group."""
+    """Files (path, content) of pages like ``PAGES``; columns that are missing are null. Words become
+    text elements of one word; strokes are in pen coordinates, marks come in the pages' order. A
+    note is one value, so one task's group."""
     ship(pages.sparkSession)
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(PAGES)}
+    given = [F.col(n).cast(kinds[n]).alias(n) if n in pages.columns and n != "strokes" else F.col(n) if n in pages.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
 
-    def make(rows):
-        note = Note()
-        note.header(APPLY_EQUIPMENT="A5X")
-        for page in rows.sort_values("page_no").itertuples():
-            text = [{"type": "Text", "label": w["label"], "words": [w]} for w in (word(x["label"], x["x"], x["y"], x["w"], x["h"]) for x in page.words)]
-            note.page(page.page_no, text, [stroke([(s["x"], s["y"]), (s["x"] + 9, s["y"])], colour=s["colour"], kind=s["kind"], status=s["status"]) for s in page.strokes])
-        return rows[["note_id"]].head(1).rename(columns={"note_id": "path"}).assign(content=[note.bytes()])
+    def make(rows: pa.Table) -> pa.Table:
+        found = sorted(rows.to_pylist(), key=lambda r: r["page_no"])
+        return pa.table({"path": pa.array([found[0]["note_id"]]), "content": pa.array([_note(found)], pa.binary())})
 
-    return pages.select("note_id", F.col("page_no").cast("int"), "words", "strokes").groupBy("note_id").applyInPandas(make, "path string, content binary")
+    return pages.select(*given).groupBy("note_id").applyInArrow(make, "path string, content binary")

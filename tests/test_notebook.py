@@ -105,17 +105,41 @@ def random_pairs(rng, n):
 def test_fold_agrees_with_decoder(spark):
     rng = np.random.RandomState(0)
     cases = [random_pairs(rng, 12) for _ in range(40)]
-    rows = [(k, [{"code": c, "n": n} for c, n in x]) for k, x in enumerate(cases)]
-    got = spark.createDataFrame(rows, "k int, p array<struct<code:int,n:int>>").select("k", runs.fold(F.col("p"), F.lit(60000).cast("long")).alias("r")).orderBy("k").collect()
+    rows = [(k, i, c, n) for k, x in enumerate(cases) for i, (c, n) in enumerate(x)]
+    got = runs.fold(spark.createDataFrame(rows, "k int, idx int, code int, n int"), ["k"], F.lit(60000).cast("long")).orderBy("k", "idx").collect()
     for k, x in enumerate(cases):
-        assert [(r["code"], r["len"]) for r in got[k]["r"]] == list(render.runs_of(rle(x), 60000))
+        want = slow_runs(x, 60000)
+        assert [(r["code"], r["len"]) for r in got if r["k"] == k] == want == list(zip(*(c.tolist() for c in render.runs_of(rle(x), 60000)), strict=True))
+
+
+def slow_runs(pairs, pixels):
+    """Pair by pair, with one held back."""
+    out, held = [], None
+    for code, n in pairs:
+        if held and held[0] == code:
+            out.append((code, 1 + n + (((held[1] & 127) + 1) << 7)))
+            held = None
+            continue
+        if held:
+            out.append((held[0], ((held[1] & 127) + 1) << 7))
+            held = None
+        if n == 255:
+            out.append((code, 0x4000))
+        elif n >= 128:
+            held = code, n
+        else:
+            out.append((code, n + 1))
+    if held:
+        gap = pixels - sum(n for _, n in out)
+        out += [(held[0], s) for s in [((held[1] & 127) + 1) << i for i in range(7, -1, -1)] if s <= gap][:1]
+    return out
 
 
 def test_small_image_and_scale(spark):
     data = rle([(0x61, 1), (0x65, 1)] * 2 + [(0x65, 1), (0x61, 1)] * 2)
     full = render.codes(data, 4, 4)
     assert (render.codes(data, 4, 4, 2) == full[::2, ::2]).all() and render.codes(data, 4, 4, 2).tolist() == [[0x61, 0x65], [0x65, 0x61]]
-    r = [("a", i, n, c) for i, (c, n) in enumerate(render.runs_of(data, 16))]
+    r = [("a", i, n, c) for i, (c, n) in enumerate(zip(*(c.tolist() for c in render.runs_of(data, 16)), strict=True))]
     found = runs.sampled(runs.offsets(spark.createDataFrame(r, "b string, idx int, len long, code int"), ["b"]), 4, 2).collect()
     assert {(x["x"], x["y"]): x["code"] for x in found} == {(x, y): int(full[2 * y, 2 * x]) for x in range(2) for y in range(2)}
     with pytest.raises(ValueError):

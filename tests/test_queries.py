@@ -39,6 +39,19 @@ def test_results_do_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_the_rest_works_without_the_optional_folders(tmp_path):
+    """A copy without both llm folders but with the pipeline still lists and runs the other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE)), "False"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
@@ -53,7 +66,7 @@ def test_escapes_of_whole_texts_are_compared(spark, monkeypatch):
     def digests(end):
         late = F.concat(F.rpad("text", 300, "x"), F.lit(end))
         monkeypatch.setattr(queries, "table", lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet").withColumn("text", late))
-        return {r["doc_id"]: r["digest"] for r in QUERIES["text_marks_whole"](spark, SF).collect()}
+        return {r["doc_id"]: r["escaped"] for r in QUERIES["text_marks"](spark, SF).collect()}
 
     once, twice = digests("<"), digests("&lt;")
     assert all(once[k] != twice[k] for k in once)  # marks after 300 characters count
