@@ -1,18 +1,20 @@
 """Line dedup by winnowing over line hashes.
 
 Lines are hashed. A window is a least run of lines with ``min_words`` words or more, taken
-forwards from every line and backwards from every line. The smallest line hash of a window is
-its fingerprint, so any two equal runs of ``min_words`` words share one, as both hold the same
-windows. Fingerprints that occur at one place only are dropped with their windows; positions of
-the others are joined by fingerprint and window, and each later place matches the first one.
-Extending a match both ways is the union of the windows that match: the forward windows of a
-run reach its last window, the backward windows go on to its very end. All lines of a later
-run are deleted; the first place (by doc_id, then line) stays.
+forwards from every line and backwards from every line. Winnowing selects of each window the line
+with the smallest hash (the leftmost of equal ones) as its fingerprint; neighbouring windows mostly
+select the same line, so there are fewer fingerprints than lines. Any two equal runs of
+``min_words`` words hold the same windows, and so share a fingerprint: that is the guarantee.
+
+The positions of a fingerprint are joined by its hash; those that occur at one place only end
+here. Each other position extends its match both ways, through the windows that selected it, as far
+back and as far on as such a window stands at an earlier place too. All lines of a later run that is
+so reached are deleted; the first place (by doc_id, then line) stays.
 
 So a line goes exactly if it lies in a run of ``min_words`` words or more that stands
-earlier too, without overlapping itself. Positions are reduced per window before they are
-shuffled, so a passage that a third of the documents share costs one row a task; every
-later place becomes one row, never a pair of places.
+earlier too, without overlapping itself. Positions are reduced per fingerprint, and then per window,
+before they are shuffled, so a passage that a third of the documents share costs one row a task;
+every later place becomes one row, never a pair of places.
 
 Edges: a null text stays null and has no lines; an empty text has one empty line; lines are
 compared byte by byte; blank lines belong to runs but are never fingerprints; rows with the
@@ -23,6 +25,7 @@ only doc_id and text are read, further columns pass through ``dedup_lines`` unto
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +72,21 @@ def least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """All windows: text number, first line, lines, fingerprint, window hash; line numbers count from the text's first."""
+class Fingerprints(NamedTuple):
+    """Selected lines (text number, line, hash) in text order, where each one's windows begin (one more
+    entry), and the windows: first line, lines, hash. Lines count from the text's first."""
+
+    doc: np.ndarray
+    line: np.ndarray
+    mark: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+    lines: np.ndarray
+    window: np.ndarray
+
+
+def winnow(data: np.ndarray, offsets: np.ndarray, min_words: int) -> Fingerprints:
+    """The fingerprints of all windows, each with the windows that select it."""
     start, end, doc = line_spans(data, offsets)
     n = len(start)
     w = tokens.words(data, offsets)
@@ -92,17 +108,27 @@ def windows(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.n
     up, down = tokens._grown(n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:n])])
     g = tokens.mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-    mark = least(np.where(count > 0, h, _LAST), s, e)
-    return doc[s], s - first[doc[s]], e - s, mark, g
-
-
-def _windows(min_words: int) -> Callable:
+    by_hash = np.lexsort((at, np.where(count > 0, h, _LAST)))  # blank lines last
+    rank = np.empty(n, np.int64)
+    rank[by_hash] = at
+    chosen = by_hash[least(rank, s, e)] if len(s) else s
+    order = np.argsort(chosen, kind="stable")
+    chosen, s, e, g = chosen[order], s[order], e[order], g[order]
+    new = np.ones(len(chosen), bool)
+    new[1:] = chosen[1:] != chosen[:-1]
+    one = chosen[new]
+    return Fingerprints(doc[one], one - first[doc[one]], h[one], np.append(np.flatnonzero(new), len(chosen)), s - first[doc[s]], e - s, g)
+
+
+def _winnowed(min_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, part in tokens.pieces(batch.column(2)):
-                doc, line, lines, mark, g = windows(*tokens.flat(part), min_words)
-                at = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(lines.astype(np.int32)), pa.array(mark.astype(np.int64)), pa.array(g.astype(np.int64))], names=["doc_id", "doc", "line", "lines", "mark", "window"])
+                f = winnow(*tokens.flat(part), min_words)
+                at = pa.array(f.doc + lo)
+                each = pa.StructArray.from_arrays([pa.array(f.first, pa.int32()), pa.array(f.lines, pa.int32()), pa.array(f.window.astype(np.int64))], names=["line", "lines", "window"])
+                lists = pa.ListArray.from_arrays(pa.array(f.at, pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(f.line, pa.int32()), pa.array(f.mark.astype(np.int64)), lists], names=["doc_id", "doc", "line", "mark", "windows"])
 
     return run
 
@@ -112,11 +138,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", document_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
-    found = written(keyed.mapInArrow(_windows(min_words), f"doc_id {kind}, doc binary, line int, lines int, mark bigint, window bigint"), "windows")
+    found = written(keyed.mapInArrow(_winnowed(min_words), f"doc_id {kind}, doc binary, line int, mark bigint, windows array<struct<line:int,lines:int,window:bigint>>"), "fingerprints")
     places = found.groupBy("mark").agg(F.min(F.struct("doc", "line")).alias("a"), F.max(F.struct("doc", "line")).alias("b"))
     # written, so both sides of the joins come straight from an exchange and hot keys can be split
     marks = written(places.where(F.col("a") != F.col("b")).select(F.col("mark").alias("f_mark")), "marks")
-    candidates = written(found.join(marks, F.col("mark") == F.col("f_mark"), "left_semi"), "candidates")
+    shared = found.join(marks, F.col("mark") == F.col("f_mark"), "left_semi")
+    candidates = written(shared.select("doc_id", "doc", "mark", F.explode("windows").alias("w")).select("doc_id", "doc", "mark", "w.*"), "candidates")
     place = F.struct("doc_id", "doc", "line")
     first = candidates.groupBy("mark", "window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b"))
     first = written(first.select(F.col("mark").alias("f_mark"), F.col("window").alias("f_window"), F.col("a").alias("f")), "first")

@@ -100,6 +100,31 @@ def test_line_dedup_by_brute_force(spark):
     assert got == brute_lines(rows, 10) and any(len(t) < len(d[1]) for d, t in got.items())
 
 
+def test_fingerprints_are_window_minima():
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["", "one two", "a b c d", "x", "one two", "long line of seven words it is"]) for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    data, offsets = tokens.flat(pa.array(texts))
+    f = lines.winnow(data, offsets, 6)
+    hashes = lambda x: tokens.span_hash(*tokens.flat(pa.array(x))[:1], *(lambda o: (o[:-1], o[1:]))(tokens.flat(pa.array(x))[1])) if x else []
+    seen = set()
+    for k in range(len(f.doc)):
+        ls = texts[f.doc[k]].split("\n")
+        h = [int(v) for v in hashes(ls)]
+        for j in range(f.at[k], f.at[k + 1]):
+            window = range(f.first[j], f.first[j] + f.lines[j])
+            assert f.line[k] == min((i for i in window if split(ls[i])), key=lambda i: (h[i], i)) and int(f.mark[k]) == h[f.line[k]]
+            assert sum(len(split(ls[i])) for i in window) >= 6
+            seen.add((int(f.doc[k]), window[0], window[-1] + 1))
+    want = set()
+    for d, t in enumerate(texts):
+        n = [len(split(x)) for x in t.split("\n")]
+        for s in range(len(n)):
+            if n[s]:
+                want |= {(d, s, e) for e in [next((e for e in range(s + 1, len(n) + 1) if sum(n[s:e]) >= 6), None)] if e}
+                want |= {(d, b, s + 1) for b in [next((b for b in range(s, -1, -1) if sum(n[b : s + 1]) >= 6), None)] if b is not None}
+    assert seen == want and len(f.doc) < sum(len(t.split("\n")) for t in texts)
+
+
 def test_line_dedup_edges(spark, odd):
     passage = words(random.Random(5), 55)
     rows = odd + [(20, f"own start\n{passage}\nown end", "a"), (21, f"{passage}", "a"), (22, f"other\n{passage}", "a"), (23, "short\nline", "a"), (24, "short\nline", "a")]
@@ -486,7 +511,7 @@ def brute_bm25(rows, k):
     docs = [(i, Counter(split((t or "").lower()))) for i, t, _ in rows]
     n, mean = len(docs), sum(sum(c.values()) for _, c in docs) / max(1, len(docs))
     df = Counter(t for _, c in docs for t in c)
-    out = {}
+    out = defaultdict(list)
     for q, asked in docs:
         if q is not None and q % 20 == 0 and asked:
             found = []
@@ -495,8 +520,8 @@ def brute_bm25(rows, k):
                 s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * length / mean)) for t in asked if t in c)
                 if s > 0:
                     found.append((-round(s, 6), -(2**63) if d is None else d))
-            out[q] = [(d, -s) for s, d in sorted(found)[:k]]
-    return out
+            out[q] += [(n, d, -s) for n, (s, d) in enumerate(sorted(found)[:k], 1)]
+    return {q: sorted(x) for q, x in out.items()}
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -505,14 +530,15 @@ def test_search_by_brute_force(spark, odd, monkeypatch, small):
         for name, value in (("SHARD_POSTINGS", 400), ("CHAMPION_POSTINGS", 700), ("BLOCK_TERMS", 300), ("BLOCK_DOCS", 4), ("GROUP", 3), ("COLUMNS", 5)):
             monkeypatch.setattr(bm25, name, value)
     rng = random.Random(11)
-    rows = [x for x in odd if x[0] != 6] + [(20 + i, words(rng, rng.randrange(1, 70), 60), "a") for i in range(300)] + [(900 + i, "Tie tie two", "a") for i in range(30)]
+    rows = [x for x in odd if x[0] != 6] + [(40, "a second text of an id that asks", "a"), (60, "w1x1 w2x2 w3x3", "a"), (60, "w1x1 w2x2 w3x3", "a")] + [(20 + i, words(rng, rng.randrange(1, 70), 60), "a") for i in range(300)] + [(900 + i, "Tie tie two", "a") for i in range(30)]
     got = defaultdict(list)
     for r in bm25.search(frame(spark, rows), F.col("doc_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
+        got[r["query_id"]].append((r["rank"], -(2**63) if r["doc_id"] is None else r["doc_id"], r["score"]))
     want = brute_bm25(rows, 5)
-    assert set(got) == set(want) and len(want) > 10
+    assert set(got) == set(want) and len(want) > 10 and len(want[60]) == 15 and len(want[40]) > 5
     for q in want:
-        assert [d for d, _ in got[q]] == [d for d, _ in want[q]] and [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6)
+        mine = sorted(got[q])
+        assert [x[:2] for x in mine] == [x[:2] for x in want[q]] and [x[2] for x in mine] == pytest.approx([x[2] for x in want[q]], abs=2e-6)
     assert bm25.search(frame(spark, []), F.col("doc_id") % 20 == 0).count() == 0
 
 
