@@ -4,9 +4,9 @@ Every word is predicted from the two words before and the two after it. Words ar
 buckets: 32 shapes (length, capital, last and inner characters) of 32,768 hashes each. The 3,584
 most frequent buckets are outputs of their own; the others share 512 outputs, 16 to a shape, and
 log P(word | neighbours) = log P(output | neighbours) + log P(bucket | output). The network has a
-vector for every output at each of the four places, one tanh layer, and a softmax in two steps:
-over 64 groups of outputs, then over the 64 outputs of the word's group. A document's score is the
-sum over all its words.
+vector for every output at each of the four places, one tanh layer, and a softmax in three steps:
+outputs are the leaves of a tree, 16 to a node, in the order of their frequency, and at each node
+on the way down the next one is predicted. A document's score is the sum over all its words.
 
 Everything is learned from all documents. They are written once as bucket numbers. Counts of
 buckets give outputs, their first biases, and P(bucket | output). Then each of ROUNDS rounds is a
@@ -14,7 +14,7 @@ pass of all tasks over all words: a task goes on from the network broadcast to i
 gradient steps in numpy, and gives back its vectors, weighed by the words that each had a part in.
 Their weighed means, summed in bundles of tasks and then of bundles, are the next network. So what
 is gathered grows with the number of tasks, while the driver and each group of rows hold a fixed
-number of networks (1.4 MB each).
+number of networks (1.5 MB each).
 
 Edges: null and empty texts have 0 words, log-probability 0 and no mean; long texts are taken
 whole; a table without words gives uniform probabilities; repeated rows count each; a place before
@@ -38,18 +38,18 @@ from inkwright.llm.shared import small_batches, written
 
 SHAPES, HASHES = 32, 1 << 15
 BUCKETS = SHAPES * HASHES
-GROUPS, MEMBERS = 64, 64
-OUTPUTS = GROUPS * MEMBERS
+FORK, LEVELS = 16, 3
+OUTPUTS = FORK**LEVELS
 SHARED = 16 * SHAPES
 OWN = OUTPUTS - SHARED
 EDGE = OUTPUTS  # before the first and after the last word
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
-#: Rows of a network, each with a bias last: a vector for every neighbour at every place, then for groups, then for outputs.
-AT_GROUPS = len(PLACES) * (OUTPUTS + 1)
-AT_OUTPUTS = AT_GROUPS + GROUPS
-ROWS = AT_OUTPUTS + OUTPUTS
-ROUNDS, STEP_WORDS, RATE = 2, 8192, 0.2
+#: Rows of a network, each with a bias last: a vector for every neighbour at every place, then for the tree's nodes, level by level.
+AT_TREE = len(PLACES) * (OUTPUTS + 1)
+AT_LEVEL = [AT_TREE + sum(FORK**j for j in range(1, k)) for k in range(1, LEVELS + 1)]
+ROWS = AT_LEVEL[-1] + OUTPUTS
+ROUNDS, STEP_WORDS, RATE = 2, 16_384, 0.2
 #: Rows of a network that are summed together, and networks that one group of rows sums.
 BLOCK_ROWS, BUNDLE = 1024, 64
 
@@ -100,10 +100,10 @@ def inside(counts: np.ndarray, outputs: np.ndarray) -> np.ndarray:
 def untrained(counts: np.ndarray, outputs: np.ndarray, seed: int = 0) -> np.ndarray:
     """A network that predicts outputs by their frequency, whatever the neighbours."""
     net = np.zeros((ROWS, WIDTH + 1), np.float32)
-    net[:AT_GROUPS, :WIDTH] = np.random.RandomState(seed).normal(0, 0.3, (AT_GROUPS, WIDTH))
+    net[:AT_TREE, :WIDTH] = np.random.RandomState(seed).normal(0, 0.3, (AT_TREE, WIDTH))
     each = np.bincount(outputs, counts, minlength=OUTPUTS) + 1.0
-    net[AT_GROUPS:AT_OUTPUTS, WIDTH] = np.log(each.reshape(GROUPS, MEMBERS).sum(1) / each.sum())
-    net[AT_OUTPUTS:, WIDTH] = np.log(each)
+    for k, at in enumerate(AT_LEVEL, 1):
+        net[at : at + FORK**k, WIDTH] = np.log(each.reshape(FORK**k, -1).sum(1) / each.sum())
     return net
 
 
@@ -115,7 +115,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _hidden(net: np.ndarray, around: np.ndarray) -> np.ndarray:
-    vectors = net[:AT_GROUPS].reshape(len(PLACES), OUTPUTS + 1, WIDTH + 1)
+    vectors = net[:AT_TREE].reshape(len(PLACES), OUTPUTS + 1, WIDTH + 1)
     total = vectors[0][around[0], :WIDTH]
     for k in range(1, len(PLACES)):
         total += vectors[k][around[k], :WIDTH]
@@ -125,12 +125,13 @@ def _hidden(net: np.ndarray, around: np.ndarray) -> np.ndarray:
 def _choices(net: np.ndarray, outputs: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
     """The softmaxes that words in the order of their ``outputs`` take part in: the first of the rows
     chosen from, the words, the probabilities, and each word's choice."""
-    cut = np.searchsorted(outputs, np.arange(GROUPS + 1) * MEMBERS)
-    steps = [(AT_GROUPS, GROUPS, slice(0, len(outputs)), outputs // MEMBERS)]
-    steps += [(AT_OUTPUTS + g * MEMBERS, MEMBERS, slice(cut[g], cut[g + 1]), outputs[cut[g] : cut[g + 1]] % MEMBERS) for g in range(GROUPS) if cut[g] < cut[g + 1]]
-    for first, n, at, choice in steps:
-        rows = net[first : first + n]
-        yield first, at, _softmax(h[at] @ rows[:, :WIDTH].T + rows[:, WIDTH]), choice
+    for k, first in enumerate(AT_LEVEL):
+        below = FORK ** (LEVELS - 1 - k)  # outputs under each of a node's children
+        cut = np.searchsorted(outputs, np.arange(FORK**k + 1) * (FORK * below))
+        for node in np.flatnonzero(np.diff(cut)).tolist():
+            at = slice(cut[node], cut[node + 1])
+            rows = net[first + node * FORK : first + (node + 1) * FORK]
+            yield first + node * FORK, at, _softmax(h[at] @ rows[:, :WIDTH].T + rows[:, WIDTH]), outputs[at] // below % FORK
 
 
 def log_probabilities(net: np.ndarray, outputs: np.ndarray, around: np.ndarray) -> np.ndarray:
