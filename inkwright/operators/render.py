@@ -55,11 +55,13 @@ def codes(data: bytes, width: int, height: int, factor: int = 1, blank: bool = F
     return code.astype(np.uint8)[np.searchsorted(np.cumsum(length), kept, "right")].reshape(-(-height // factor), -(-width // factor))
 
 
-_COLOURS = np.array([PALETTE.get(c, UNKNOWN) for c in range(256)], np.uint8)
+COLOURS = np.array([PALETTE.get(c, UNKNOWN) for c in range(256)], np.uint8)
+#: Codes of ink, and codes that replace what lies below (a pixel with any channel set).
+INK, COVERS = COLOURS[:, 3] > 0, COLOURS.any(axis=1)
 
 
 def image(data: bytes, width: int, height: int, factor: int = 1, blank: bool = False) -> np.ndarray:
-    return _COLOURS[codes(data, width, height, factor, blank)]
+    return png.painted(codes(data, width, height, factor, blank), COLOURS)
 
 
 def over(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -70,9 +72,12 @@ def over(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def on_white(rgba: np.ndarray) -> np.ndarray:
-    a = rgba[..., 3:] / 255.0
-    out = np.full_like(rgba, 255)
-    out[..., :3] = np.floor(rgba[..., :3] * a + 255 * (1 - a) + 0.5)
+    alpha, whole = rgba[..., 3], np.ascontiguousarray(rgba).view("<u4")[..., 0]
+    out = np.where(alpha == 0, np.uint32(0xFFFFFFFF), whole | np.uint32(0xFF000000)).view(np.uint8).reshape(rgba.shape)
+    part = (alpha > 0) & (alpha < 255)
+    if part.any():
+        a = rgba[part][:, 3:] / 255.0
+        out[part, :3] = np.floor(rgba[part][:, :3] * a + 255 * (1 - a) + 0.5)
     return out
 
 
@@ -107,18 +112,44 @@ def resized(rgba: np.ndarray, width: int, height: int, factor: int) -> np.ndarra
     return rgba[np.arange(h) * rgba.shape[0] // h][:, np.arange(w) * rgba.shape[1] // w]
 
 
-def page_image(layers: dict[str, bytes | None], seq: list[str], style: str, width: int, height: int, factor: int = 1) -> np.ndarray | None:
-    """A page: its layers in their sequence, the last of which lies at the bottom; none without layers."""
+def page_layers(layers: dict[str, bytes | None], seq: list[str], style: str, width: int, height: int, factor: int = 1) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """A page's layers in their sequence, the last of which lies at the bottom: the codes of those that
+    are run-length coded, laid over each other, and the picture below them. Either may be missing."""
     if factor != int(factor) or factor < 1:
         raise ValueError("scale must be a whole number of 1 or more")
-    out = None
+    out, below = None, None
     for name in reversed([n for n in seq if layers.get(n)]):
         if name == "BGLAYER" and style.startswith("user_"):
-            now = resized(png.decode(layers[name]), width, height, factor) if factor > 1 else png.decode(layers[name])
+            now = png.decode(layers[name])
+            now = resized(now, width, height, factor) if factor > 1 else now
+            below = now if out is None and below is None else over(now, below if out is None else _laid(out, below))
+            out = None
         else:
-            now = image(layers[name], width, height, factor)
-        out = now if out is None else over(now, out)
-    return out
+            now = codes(layers[name], width, height, factor)
+            out = now if out is None else np.where(COVERS[now], now, out)
+    return out, below
+
+
+def _laid(found: np.ndarray, below: np.ndarray | None) -> np.ndarray:
+    top = png.painted(found, COLOURS)
+    return top if below is None else over(top, below)
+
+
+def page_image(layers: dict[str, bytes | None], seq: list[str], style: str, width: int, height: int, factor: int = 1) -> np.ndarray | None:
+    """A page's pixels; none without layers."""
+    found, below = page_layers(layers, seq, style, width, height, factor)
+    return below if found is None else _laid(found, below)
+
+
+def page_png(layers: dict[str, bytes | None], seq: list[str], style: str, width: int, height: int, factor: int = 1, upscale: float = 1) -> bytes | None:
+    """A page as a file: of colour numbers where it has no other picture and keeps its size."""
+    found, below = page_layers(layers, seq, style, width, height, factor)
+    if found is None and below is None:
+        return None
+    if below is None and upscale == 1:
+        return png.encode_codes(found, COLOURS)
+    rgba = below if found is None else _laid(found, below)
+    return png.encode(rgba if upscale == 1 else enlarged(rgba, upscale))
 
 
 def _drawn(scale: int, upscale: float):
@@ -131,9 +162,7 @@ def _drawn(scale: int, upscale: float):
                 found = {n: layer["bitmap"] for n, layer in zip(names, row["layers"], strict=True) if row["raster_ink"] or n == "BGLAYER"}
                 data, error = None, None
                 try:
-                    rgba = page_image(found, row["layer_seq"], row["style"] or "0", row["page_w"], row["page_h"], scale)
-                    if rgba is not None:
-                        data = png.encode(rgba if upscale == 1 else enlarged(rgba, upscale))
+                    data = page_png(found, row["layer_seq"], row["style"] or "0", row["page_w"], row["page_h"], scale, upscale)
                 except (ValueError, KeyError, IndexError) as e:
                     error = str(e)
                 kept = [i for i, n in enumerate(one.schema.names) if n not in BYTES]

@@ -60,57 +60,57 @@ def picked(pages: DataFrame, numbers: list[int] | None = None) -> DataFrame:
     return pages.withColumn("out_no", F.explode(places))
 
 
+GREY_OF = render.COLOURS[:, 0].astype(np.int16)
+
+
 def ink_mask(layers: dict[str, bytes | None], w: int, h: int) -> np.ndarray | None:
-    """RGBA of the first ink layer with any ink at each pixel; none without ink layers."""
+    """The code of the first ink layer with any ink at each pixel; none without ink layers."""
     out = None
     for name in render.INK_LAYERS:
         if layers.get(name):
-            now = render.image(layers[name], w, h)
-            out = now if out is None else np.where(out[..., 3:] > 0, out, now)
+            now = render.codes(layers[name], w, h)
+            out = now if out is None else np.where(render.INK[out], out, now)
     return out
 
 
+def _commonest(codes: np.ndarray) -> int:
+    """The most frequent grey of inked pixels; of equals the first."""
+    greys, first, n = np.unique(GREY_OF[codes], return_index=True, return_counts=True)
+    return int(greys[np.lexsort((first, -n))[0]])
+
+
 def rect_sample(mask: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> tuple[float, int]:
     """The share of a rectangle's pixels with ink, and their commonest grey (of equals the first)."""
-    h, w, _ = mask.shape
+    h, w = mask.shape
     part = mask[max(0, int(np.floor(y0))) : min(h - 1, int(np.ceil(y1))) + 1, max(0, int(np.floor(x0))) : min(w - 1, int(np.ceil(x1))) + 1]
-    inked = part[part[..., 3] > 0]
-    if not part.size or not len(inked):
-        return 0.0, 0
-    greys, first, n = np.unique(inked[:, 0], return_index=True, return_counts=True)
-    best = np.lexsort((first, -n))[0]
-    return len(inked) / (part.shape[0] * part.shape[1]), int(greys[best])
-
+    inked = part[render.INK[part]]
+    return (len(inked) / part.size, _commonest(inked)) if len(inked) else (0.0, 0)
 
-def ink_sums(mask: np.ndarray, grey: int) -> np.ndarray:
-    """Running sums, over rows and columns, of the pixels with ink of about this grey."""
-    near = (mask[..., 3] > 0) & (abs(mask[..., 0].astype(np.int16) - grey) <= NEAR_GREY)
-    return np.pad(near, ((1, 0), (1, 0))).cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)
 
-
-def presence(sums: np.ndarray, x: np.ndarray, y: np.ndarray, thickness: int) -> float:
-    """The share of sampled points near which the page has that ink."""
+def presence(mask: np.ndarray, grey: int, x: np.ndarray, y: np.ndarray, thickness: int) -> float:
+    """The share of sampled points near which the page has ink of about this grey: in a square around
+    each, all squares at once."""
     n = len(x)
     if not n:
         return 1.0
-    h, w = sums.shape[0] - 1, sums.shape[1] - 1
+    h, w = mask.shape
     step, r = max(1, n // SAMPLES), max(1, int(np.floor(thickness / 200 + 0.5))) + MARGIN
     cx, cy = np.floor(x[::step] + 0.5).astype(int), np.floor(y[::step] + 0.5).astype(int)
-    x0, x1, y0, y1 = np.clip(cx - r, 0, w), np.clip(cx + r + 1, 0, w), np.clip(cy - r, 0, h), np.clip(cy + r + 1, 0, h)
-    return float(np.mean(sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0] > 0))
+    near, off = render.INK & (abs(GREY_OF - grey) <= NEAR_GREY), np.arange(-r, r + 1)
+    px, py = cx[:, None] + off, cy[:, None] + off
+    inside = ((py >= 0) & (py < h))[:, :, None] & ((px >= 0) & (px < w))[:, None, :]
+    found = near[mask[np.clip(py, 0, h - 1)[:, :, None], np.clip(px, 0, w - 1)[:, None, :]]]
+    return float(np.mean((found & inside).any(axis=(1, 2))))
 
 
 def grey_under(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> int | None:
     """The commonest grey of the ink at the points (of equals the first); none without ink there."""
-    h, w, _ = mask.shape
+    h, w = mask.shape
     cx, cy = np.floor(x + 0.5).astype(int), np.floor(y + 0.5).astype(int)
     on = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
     at = mask[cy[on], cx[on]]
-    at = at[at[:, 3] > 0]
-    if not len(at):
-        return None
-    greys, first, n = np.unique(at[:, 0], return_index=True, return_counts=True)
-    return int(greys[np.lexsort((first, -n))[0]])
+    at = at[render.INK[at]]
+    return _commonest(at) if len(at) else None
 
 
 SEEN = f"""array<struct<stroke_idx:int,pen:bigint,colour:bigint,thickness:bigint,record_class:int,kind:string,trail_status:int,points:{POINTS},contour:array<{POINTS}>,
@@ -129,7 +129,7 @@ def _seen_strokes(w: int, h: int, layers: list[dict], log: bytes | None, titles:
         mask = ink_mask(dict(zip(render.INK_LAYERS, (x["bitmap"] for x in layers), strict=False)), w, h)
     except ValueError:
         mask = None
-    rows, sums = [], {}
+    rows = []
     for k, r in stroke_log.records(log) if w > 0 and h > 0 else ():
         row = stroke_log.row("", 0, w, h, k, r) | {"fill_share": None, "fill_grey": None, "under_grey": None, "presences": []}
         if mask is not None:
@@ -140,9 +140,7 @@ def _seen_strokes(w: int, h: int, layers: list[dict], log: bytes | None, titles:
             own = strokes.GREYS.get(r["colour"], r["colour"])
             for g in {own, row["under_grey"], *(t["foreground"] for t in titles)} - {None}:
                 if g < 256:  # other numbers are no grey; no ink is like them
-                    if g not in sums:
-                        sums[g] = ink_sums(mask, g)
-                    row["presences"].append((g, presence(sums[g], x, y, r["thickness"])))
+                    row["presences"].append((g, presence(mask, g, x, y, r["thickness"])))
         rows.append(row)
     return rows, mask is not None
 

@@ -7,8 +7,10 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from inkwright.operators import render
 from inkwright.session import ship
 from inkwright.sources import png
 
@@ -97,17 +99,15 @@ def write(pages: list[tuple[float, float, bytes | None, list, list]], dpi: float
         objects.append(body)
         return len(objects)
 
-    def stream(head: bytes, data: bytes) -> int:
-        packed = zlib.compress(data)
+    def stream(head: bytes, data) -> int:
+        packed = zlib.compress(data, png.LEVEL)
         return add(b"<< %s /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (head, len(packed), packed))
 
     for w, h, image, words, primitives in pages:
         wide, high, ops, extra = w * scale, h * scale, [], b""
         if image is not None:
-            px = png.decode(image).astype(np.float64)
-            a = px[..., 3:] / 255
-            flat = np.floor(px[..., :3] * a + 255 * (1 - a) + 0.5).astype(np.uint8)
-            no = stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8" % (px.shape[1], px.shape[0]), flat.tobytes())
+            flat = np.ascontiguousarray(render.on_white(png.decode(image))[..., :3])
+            no = stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8" % (flat.shape[1], flat.shape[0]), flat)
             extra = b"/XObject << /Im %d 0 R >>" % no
             ops.append(b"q %.3f 0 0 %.3f 0 0 cm /Im Do Q" % (wide, high))
         if primitives:
@@ -131,14 +131,10 @@ def documents(pages: DataFrame, dpi: float = 300) -> DataFrame:
     """(note_id, pdf) of rows (note_id, page_no, page_w, page_h, png, words and, if there, primitives):
     a note is one task's group, as its document is one value."""
     ship(pages.sparkSession)
-    some = lambda found: found if found is not None else ()
 
-    def make(rows):
-        rows = rows.sort_values("page_no")
-        made = []
-        for r in rows.itertuples():
-            words = [(w["label"], w["x"], w["y"], w["w"], w["h"]) for w in some(r.words)]
-            made.append((r.page_w, r.page_h, r.png, words, list(some(getattr(r, "primitives", None)))))
-        return rows[["note_id"]].head(1).assign(pdf=[write(made, dpi)])
+    def make(rows: pa.Table) -> pa.Table:
+        found = sorted(rows.to_pylist(), key=lambda r: r["page_no"])
+        made = [(r["page_w"], r["page_h"], r["png"], [tuple(w.values()) for w in r["words"] or ()], r.get("primitives") or []) for r in found]
+        return pa.table({"note_id": [found[0]["note_id"]], "pdf": pa.array([write(made, dpi)], pa.binary())})
 
-    return pages.groupBy("note_id").applyInPandas(make, "note_id string, pdf binary")
+    return pages.groupBy("note_id").applyInArrow(make, "note_id string, pdf binary")

@@ -16,11 +16,29 @@ def _chunk(name: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 
 
+#: How hard images are packed: pages are mostly of one colour, so more gains little.
+LEVEL = 2
+
+
+def _file(rows: np.ndarray, kind: int, *more: bytes) -> bytes:
+    h, w = rows.shape[:2]
+    lines = np.zeros((h, 1 + rows[0].size), np.uint8)
+    lines[:, 1:] = rows.reshape(h, -1)
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + b"".join(more) + _chunk(b"IDAT", zlib.compress(lines, LEVEL)) + _chunk(b"IEND", b"")
+
+
 def encode(rgba: np.ndarray) -> bytes:
-    h, w, _ = rgba.shape
-    rows = np.zeros((h, 1 + 4 * w), np.uint8)
-    rows[:, 1:] = rgba.reshape(h, 4 * w)
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
+    return _file(rgba, 6)
+
+
+def encode_codes(codes: np.ndarray, colours: np.ndarray) -> bytes:
+    """An image of numbers of colours (256 RGBA rows), a byte a pixel."""
+    return _file(codes, 3, _chunk(b"PLTE", colours[:, :3].tobytes()), _chunk(b"tRNS", colours[:, 3].tobytes()))
+
+
+def painted(codes: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """The RGBA pixels of numbers of colours."""
+    return np.ascontiguousarray(colours).view(np.uint32).ravel()[codes].view(np.uint8).reshape(*codes.shape, 4)
 
 
 def _by_neighbours(line: bytes, up: bytes, step: int, paeth: bool) -> bytes:
@@ -101,7 +119,7 @@ def _decode(data: bytes) -> np.ndarray:
         table = np.full((len(palette), 4), 255, np.uint8)
         table[:, :3] = palette
         table[: len(clear), 3] = np.frombuffer(clear, np.uint8)
-        return table[px[..., 0]]
+        return painted(px[..., 0], table)
     full = px if bits >= 8 else px * (255 // ((1 << bits) - 1))
     out[..., :3] = full[..., :3] if c >= 3 else full[..., :1]
     if c in (2, 4):

@@ -363,14 +363,15 @@ def test_page_options(drawn):
 
 
 def test_presence_and_samples():
-    mask = np.zeros((50, 50, 4), np.uint8)
-    mask[10, 5:40] = (0, 0, 0, 255)
+    mask = np.full((50, 50), CLEAR, np.uint8)
+    mask[10, 5:40] = 0x61
     line = np.arange(5, 40).astype(float)
-    black, light = notebook.ink_sums(mask, 0), notebook.ink_sums(mask, 201)
-    assert notebook.presence(black, line, np.full(35, 10.0), 400) == 1 and notebook.presence(black, line, np.full(35, 40.0), 400) == 0
-    assert notebook.presence(light, line, np.full(35, 10.0), 400) == 0 and notebook.presence(black, line[:0], line[:0], 400) == 1
+    seen = lambda grey, y, x=line: notebook.presence(mask, grey, x, np.full(len(x), y), 400)
+    assert seen(0, 10.0) == 1 and seen(0, 40.0) == 0 and seen(0, 13.0) == 1 and seen(0, 14.0) == 0 and seen(48, 10.0) == 1 and seen(49, 10.0) == 0
+    assert seen(201, 10.0) == 0 and seen(0, 10.0, line[:0]) == 1 and seen(0, -2.0) == 0 and seen(0, 10.0, line - 30) == pytest.approx(np.mean(line - 30 + 3 >= 5))
     assert notebook.grey_under(mask, line, np.full(35, 10.0)) == 0 and notebook.grey_under(mask, line - 99, np.full(35, 10.0)) is None
     assert notebook.rect_sample(mask, 5, 10, 9, 10) == (1.0, 0) and notebook.rect_sample(mask, 5, 10, 9, 19)[0] == 0.1
+    assert (png.decode(png.encode_codes(mask, render.COLOURS)) == render.COLOURS[mask]).all()
 
 
 @pytest.mark.parametrize(("share", "kind"), [(0.149, "skip"), (0.15, "hatch"), (0.499, "hatch"), (0.5, "solid")])
