@@ -160,6 +160,12 @@ PRIMITIVE = f"struct<z:int,kind:string,colour:string,width:double,fill:string,po
 PRIMITIVES = f"array<{PRIMITIVE}>"
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row, also where ``f`` uses it for every element of an
+    array: a column used there would be put in again and again."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _area(rings: Column) -> Column:
     def cross(r):
         follows = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
@@ -216,17 +222,17 @@ def with_primitives(pages: DataFrame) -> DataFrame:
         x, y, w, h = _corners(s)
         return F.struct(F.greatest(F.lit(0.0), F.floor(x)).alias("x0"), F.greatest(F.lit(0.0), F.floor(y)).alias("y0"), F.least(F.col("page_w") - 1, F.ceil(x + w)).alias("x1"), F.least(F.col("page_h") - 1, F.ceil(y + h)).alias("y1"), s["title"]["foreground"].alias("grey"))
 
-    out = out.withColumn("rects", F.transform(F.filter("strokes", lambda s: s["shape"] == "rect"), box))
+    rects = F.transform(F.filter("strokes", lambda s: s["shape"] == "rect"), box)
 
-    def shown(s):
+    def shown(s, rects):
         inside = lambda r: F.size(F.filter(s["points"], lambda p: geometry.within(p["x"], p["y"], r["x0"], r["y0"], r["x1"], r["y1"])))
-        on = F.filter("rects", lambda r: F.try_divide(inside(r).cast("double"), F.size(s["points"])) >= geometry.INSIDE)
+        on = F.filter(rects, lambda r: F.try_divide(inside(r).cast("double"), F.size(s["points"])) >= geometry.INSIDE)
         label = F.when(F.size(on) > 0, F.coalesce(F.get(on, F.lit(0))["grey"], s["under_grey"]))
         own = strokes.grey_level(s["colour"])
         grey = F.when(s["two"], F.coalesce(s["title"]["background"], s["fill_grey"])).when((s["colour"] == strokes.ERASER) | (s["shape"] == "skip"), own).otherwise(F.coalesce(label, own))
         return s.withField("shown", grey)
 
-    each("strokes", shown)
+    out = out.withColumn("strokes", _once(rects, lambda found: F.transform("strokes", lambda s: shown(s, found))))
 
     def kept_shape(s):
         unseen = (F.size(s["points"]) > 0) & (F.coalesce(F.try_element_at(s["presences"], s["shown"]), F.lit(0.0)) < HIDDEN)
@@ -247,19 +253,19 @@ def with_primitives(pages: DataFrame) -> DataFrame:
         return F.struct(s["stroke_idx"].alias("idx"), s["shown"].alias("grey"), *(side(f, agg).alias(f"{f}{i}") for f in "xy" for i, agg in enumerate((F.array_min, F.array_max))))
 
     each("strokes", lambda s: s.withField("box", F.when(s["shape"] == "path", outline(s))))
-    out = out.withColumn("boxes", F.filter(F.transform("strokes", lambda s: s["box"]), lambda b: b.isNotNull()))
+    boxes = F.filter(F.transform("strokes", lambda s: s["box"]), lambda b: b.isNotNull())
 
-    def primitive(s):
-        high = (strokes.pen_name(s["pen"], s["kind"]) == "marker") & F.exists("boxes", lambda b: geometry.washes_over(s["box"], b))
+    def primitive(s, boxes):
+        high = (strokes.pen_name(s["pen"], s["kind"]) == "marker") & F.exists(boxes, lambda b: geometry.washes_over(s["box"], b))
         bucket = F.when(s["drawn"] == "rect", 0).when(high, 1).otherwise(2)
         paint = F.format_string("rgb(%d,%d,%d)", s["shown"], s["shown"], s["shown"])
         width = geometry.render_width(s["thickness"], _area(s["rings"]), _length(s["points"]))
         return F.struct(bucket.alias("bucket"), s["stroke_idx"].alias("idx"), F.struct(F.lit(0).alias("z"), s["drawn"].alias("kind"), paint.alias("colour"), width.alias("width"), s["fill"].alias("fill"), s["points"].alias("points"), s["rings"].alias("rings")).alias("it"))
 
-    visible = F.transform(F.filter("strokes", lambda s: s["drawn"].isNotNull()), primitive)
+    visible = _once(boxes, lambda found: F.transform(F.filter("strokes", lambda s: s["drawn"].isNotNull()), lambda s: primitive(s, found)))
     ordered = F.array_sort(visible)  # by bucket, then by place in the log
     out = out.withColumn("primitives", F.transform(ordered, lambda v, i: v["it"].withField("z", i + 1)).cast(PRIMITIVES))
-    return out.drop("strokes", "rects", "boxes", "titles", "has_mask")
+    return out.drop("strokes", "titles", "has_mask")
 
 
 def vector_pages(notes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkwright.operators import render
-from inkwright.session import ship
+from inkwright.session import grouped, ship
 from inkwright.sources import png
 
 
@@ -137,4 +137,4 @@ def documents(pages: DataFrame, dpi: float = 300) -> DataFrame:
         made = [(r["page_w"], r["page_h"], r["png"], [tuple(w.values()) for w in r["words"] or ()], r.get("primitives") or []) for r in found]
         return pa.table({"note_id": [found[0]["note_id"]], "pdf": pa.array([write(made, dpi)], pa.binary())})
 
-    return pages.groupBy("note_id").applyInArrow(make, "note_id string, pdf binary")
+    return grouped(pages, "note_id").applyInArrow(make, "note_id string, pdf binary")

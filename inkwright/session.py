@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grouped(df: DataFrame, *by: str):
+    """Groups for work that is heavy for its bytes: all shuffle partitions stay, as few bytes a
+    partition say nothing of the time that a page takes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).groupBy(*by)
+
+
 def ship(spark: SparkSession) -> None:
     """Python workers find this package where the driver found it. A cluster whose machines
     don't have it at that place gets it by --py-files as usual."""

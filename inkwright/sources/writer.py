@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkwright.operators.runs import LONG
-from inkwright.session import ship
+from inkwright.session import grouped, ship
 
 
 def rle(pairs: list[tuple[int, int]]) -> bytes:
@@ -165,4 +165,4 @@ def notes(pages: DataFrame) -> DataFrame:
         found = sorted(rows.to_pylist(), key=lambda r: r["page_no"])
         return pa.table({"path": pa.array([found[0]["note_id"]]), "content": pa.array([_note(found)], pa.binary())})
 
-    return pages.select(*given).groupBy("note_id").applyInArrow(make, "path string, content binary")
+    return grouped(pages.select(*given), "note_id").applyInArrow(make, "path string, content binary")
