@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from inkwright.operators import render
-from inkwright.plans import notebook
+from inkwright.plans import comparison, notebook
 from inkwright.plans.queries import query
 from inkwright.session import ship, table
 from inkwright.sources import container, png, stroke_log, tiles, writer
@@ -147,6 +147,32 @@ def vector_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notebook.vector_pages(_notes(spark, sf_dir)).select("note_id", "page_no", "use_vector")
 
 
+INK_SQL = "k_ AS (SELECT n, p, sum(CASE drawn WHEN 'rect' THEN dx * dy WHEN 'filledPath' THEN CASE WHEN shown = 255 THEN 0 ELSE area END ELSE CASE WHEN shown = 255 THEN 0 ELSE length * (thick / 100.0::DOUBLE) END END)::DOUBLE AS ink FROM pm GROUP BY ALL)"
+
+
+@query(f"WITH {DRAWN_SQL}, {INK_SQL} SELECT g.n::VARCHAR AS note_id, g.p::INT AS page_no, round(coalesce(ink, 0), 4) AS ink FROM g LEFT JOIN k_ USING (n, p)")
+def ink_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much ink the strokes of a page draw."""
+    return comparison.ink_areas(_notes(spark, sf_dir)).withColumn("ink", F.round("ink", 4))
+
+
+@query(f"""WITH {DRAWN_SQL}, {INK_SQL}, b AS (SELECT g.n, g.p, coalesce(ink, 0) AS ink, coalesce(ink, 0) * [0.0, 1.0, 1.25, 0.5, 0.82][(g.p % 5 + 1)::INT]::DOUBLE AS other FROM g LEFT JOIN k_ USING (n, p) WHERE g.p % 7 <> 0)
+SELECT n::VARCHAR AS note_id, p::INT AS page_no, CASE WHEN other <= 0 AND ink <= 0 THEN 'no ink either side' WHEN other <= 0 THEN 'the other draws nothing' ELSE ['', '1.00', '0.80', '2.00', '1.22'][(p % 5 + 1)::INT] || ' times the other''s ink' END AS said,
+  CASE WHEN other <= 0 AND ink <= 0 THEN 'none' WHEN other <= 0 OR p % 5 = 3 THEN 'differs' WHEN p % 5 = 1 THEN 'match' ELSE 'near' END AS tone FROM b""")
+def ink_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against another export that has a part of their ink; some pages aren't there."""
+    ours = comparison.ink_areas(_notes(spark, sf_dir)).withColumn("ink", F.round("ink", 4))
+    other = F.round(F.col("ink") * _pick((0.0, 1.0, 1.25, 0.5, 0.82), F.col("page_no")), 4)
+    return comparison.compared(ours, ours.where(F.col("page_no") % 7 != 0).withColumn("ink", other)).select("note_id", "page_no", "said", "tone")
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY CASE n_name WHEN 'NATION_7' THEN 1 WHEN 'NATION_3' THEN 2 ELSE 3 END, n_name)::INT AS place FROM nation")
+def listed_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a list first, in its order, then the others by name."""
+    found = comparison.listed_first(table(spark, sf_dir, "nation"), "n_name", ["NATION_7", "NATION_3"])
+    return found.select("n_name", F.row_number().over(W.orderBy("rank", "n_name")).alias("place"))
+
+
 WORDS_SQL = "w AS (SELECT n, p, k, 'é<' || k || '&\"' AS label, k % 12 * 10 AS x, k % 14 * 10 AS y, (1 + k % 3) * 10 AS w, 10 AS h FROM r WHERE k % 4 = 0)"
 NUMBER = "regexp_replace(({})::DOUBLE::VARCHAR, '[.]0$', '')"
 SCALE = "(1404.0::DOUBLE * 11.9::DOUBLE / 1404.0::DOUBLE)"

@@ -166,7 +166,9 @@ def _once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _area(rings: Column) -> Column:
+def area(rings: Column) -> Column:
+    """The area within rings, of which inner ones run the other way round."""
+
     def cross(r):
         follows = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
         return F.aggregate(F.zip_with(r, follows, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, c: a + c)
@@ -174,7 +176,8 @@ def _area(rings: Column) -> Column:
     return F.abs(F.aggregate(F.transform(rings, cross), F.lit(0.0), lambda a, c: a + c)) / 2
 
 
-def _length(points: Column) -> Column:
+def length(points: Column) -> Column:
+    """The length of an open line."""
     steps = F.zip_with(points, F.slice(points, 2, F.size(points)), lambda a, b: F.coalesce(F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0)))
     return F.aggregate(steps, F.lit(0.0), lambda a, s: a + s)
 
@@ -259,7 +262,7 @@ def with_primitives(pages: DataFrame) -> DataFrame:
         high = (strokes.pen_name(s["pen"], s["kind"]) == "marker") & F.exists(boxes, lambda b: geometry.washes_over(s["box"], b))
         bucket = F.when(s["drawn"] == "rect", 0).when(high, 1).otherwise(2)
         paint = F.format_string("rgb(%d,%d,%d)", s["shown"], s["shown"], s["shown"])
-        width = geometry.render_width(s["thickness"], _area(s["rings"]), _length(s["points"]))
+        width = geometry.render_width(s["thickness"], area(s["rings"]), length(s["points"]))
         return F.struct(bucket.alias("bucket"), s["stroke_idx"].alias("idx"), F.struct(F.lit(0).alias("z"), s["drawn"].alias("kind"), paint.alias("colour"), width.alias("width"), s["fill"].alias("fill"), s["points"].alias("points"), s["rings"].alias("rings")).alias("it"))
 
     visible = _once(boxes, lambda found: F.transform(F.filter("strokes", lambda s: s["drawn"].isNotNull()), lambda s: primitive(s, found)))
