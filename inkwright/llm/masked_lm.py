@@ -5,8 +5,8 @@ buckets: 32 shapes (length, capital, last and inner characters) of 32,768 hashes
 most frequent buckets are outputs of their own; the others share 512 outputs, 16 to a shape, and
 log P(word | neighbours) = log P(output | neighbours) + log P(bucket | output). The network has a
 vector for every output at each of the four places, one tanh layer, and a softmax in three steps:
-outputs are the leaves of a tree, 16 to a node, in the order of their frequency, and at each node
-on the way down the next one is predicted. A document's score is the sum over all its words.
+outputs are the leaves of a tree of 8, 16 and 32 branches, in the order of their frequency, and at
+each node on the way down the next one is predicted. A document's score is the sum over all its words.
 
 Everything is learned from all documents. They are written once as bucket numbers. Counts of
 buckets give outputs, their first biases, and P(bucket | output). Then each of ROUNDS rounds is a
@@ -24,6 +24,7 @@ other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -38,8 +39,9 @@ from inkwright.llm.shared import small_batches, written
 
 SHAPES, HASHES = 32, 1 << 15
 BUCKETS = SHAPES * HASHES
-FORK, LEVELS = 16, 3
-OUTPUTS = FORK**LEVELS
+#: Branches of the tree's nodes, level by level.
+FORKS = (8, 16, 32)
+OUTPUTS = math.prod(FORKS)
 SHARED = 16 * SHAPES
 OWN = OUTPUTS - SHARED
 EDGE = OUTPUTS  # before the first and after the last word
@@ -47,7 +49,7 @@ PLACES = (-2, -1, 1, 2)
 WIDTH = 16
 #: Rows of a network, each with a bias last: a vector for every neighbour at every place, then for the tree's nodes, level by level.
 AT_TREE = len(PLACES) * (OUTPUTS + 1)
-AT_LEVEL = [AT_TREE + sum(FORK**j for j in range(1, k)) for k in range(1, LEVELS + 1)]
+AT_LEVEL = [AT_TREE + sum(math.prod(FORKS[:j]) for j in range(1, k)) for k in range(1, len(FORKS) + 1)]
 ROWS = AT_LEVEL[-1] + OUTPUTS
 ROUNDS, STEP_WORDS, RATE = 2, 16_384, 0.2
 #: Rows of a network that are summed together, and networks that one group of rows sums.
@@ -103,35 +105,41 @@ def untrained(counts: np.ndarray, outputs: np.ndarray, seed: int = 0) -> np.ndar
     net[:AT_TREE, :WIDTH] = np.random.RandomState(seed).normal(0, 0.3, (AT_TREE, WIDTH))
     each = np.bincount(outputs, counts, minlength=OUTPUTS) + 1.0
     for k, at in enumerate(AT_LEVEL, 1):
-        net[at : at + FORK**k, WIDTH] = np.log(each.reshape(FORK**k, -1).sum(1) / each.sum())
+        n = math.prod(FORKS[:k])
+        net[at : at + n, WIDTH] = np.log(each.reshape(n, -1).sum(1) / each.sum())
     return net
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """Of each column: with words side by side, sums over a node's few branches run along words."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
 def _hidden(net: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """The layer's values, a column a word."""
     vectors = net[:AT_TREE].reshape(len(PLACES), OUTPUTS + 1, WIDTH + 1)
-    total = vectors[0][around[0], :WIDTH]
+    total = vectors[0][around[0]]
     for k in range(1, len(PLACES)):
-        total += vectors[k][around[k], :WIDTH]
-    return np.tanh(total, out=total)
+        total += vectors[k][around[k]]
+    return np.tanh(total.T[:WIDTH])
 
 
 def _choices(net: np.ndarray, outputs: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
     """The softmaxes that words in the order of their ``outputs`` take part in: the first of the rows
-    chosen from, the words, the probabilities, and each word's choice."""
+    chosen from, the words, the probabilities (a column a word), and each word's choice."""
     for k, first in enumerate(AT_LEVEL):
-        below = FORK ** (LEVELS - 1 - k)  # outputs under each of a node's children
-        cut = np.searchsorted(outputs, np.arange(FORK**k + 1) * (FORK * below))
+        fork, below = FORKS[k], math.prod(FORKS[k + 1 :])  # outputs under each of a node's branches
+        cut = np.searchsorted(outputs, np.arange(math.prod(FORKS[:k]) + 1) * (fork * below))
+        digit = outputs // below % fork
         for node in np.flatnonzero(np.diff(cut)).tolist():
             at = slice(cut[node], cut[node + 1])
-            rows = net[first + node * FORK : first + (node + 1) * FORK]
-            yield first + node * FORK, at, _softmax(h[at] @ rows[:, :WIDTH].T + rows[:, WIDTH]), outputs[at] // below % FORK
+            rows = net[first + node * fork : first + (node + 1) * fork]
+            z = rows[:, :WIDTH] @ h[:, at]
+            z += rows[:, WIDTH:]
+            yield first + node * fork, at, _softmax(z), digit[at]
 
 
 def log_probabilities(net: np.ndarray, outputs: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -139,10 +147,10 @@ def log_probabilities(net: np.ndarray, outputs: np.ndarray, around: np.ndarray)
     out = np.empty(len(outputs))
     for lo in range(0, len(outputs), 1 << 15):
         order = lo + np.argsort(outputs[lo : lo + (1 << 15)], kind="stable")
-        y, said = outputs[order], np.zeros(len(order))
+        y, said = outputs[order], np.ones(len(order))
         for _, at, p, choice in _choices(net, y, _hidden(net, around[:, order])):
-            said[at] += np.log(np.maximum(p[np.arange(len(choice)), choice], 1e-30))
-        out[order] = said
+            said[at] *= np.maximum(p[choice, np.arange(len(choice))], 1e-30)
+        out[order] = np.log(said)
     return out
 
 
@@ -151,15 +159,17 @@ def gradient(net: np.ndarray, outputs: np.ndarray, around: np.ndarray) -> tuple[
     words have a part in, the gradient of each, and the words."""
     n, h = len(outputs), _hidden(net, around)
     back = np.zeros_like(h)
-    rows, grads, words = [], [], []
+    tree = np.zeros((ROWS - AT_TREE, WIDTH + 1), np.float32)
+    shared = np.zeros(ROWS - AT_TREE, np.int64)
     for first, at, d, choice in _choices(net, outputs, h):
-        d[np.arange(len(choice)), choice] -= 1
-        rows.append(np.arange(first, first + d.shape[1]))
-        grads.append(np.empty((d.shape[1], WIDTH + 1), np.float32))
-        grads[-1][:, :WIDTH], grads[-1][:, WIDTH] = d.T @ h[at], d.sum(0)
-        words.append(np.full(d.shape[1], len(choice)))
-        back[at] += d @ net[first : first + d.shape[1], :WIDTH]
+        d[choice, np.arange(len(choice))] -= 1
+        own = slice(first - AT_TREE, first - AT_TREE + len(d))
+        tree[own, :WIDTH], tree[own, WIDTH], shared[own] = d @ h[:, at].T, d.sum(1), len(choice)
+        back[:, at] += net[first : first + len(d), :WIDTH].T @ d
     back *= 1 - h * h
+    met = np.flatnonzero(shared)
+    rows, grads, words = [AT_TREE + met], [tree[met]], [shared[met]]
+    back = np.ascontiguousarray(back.T)
     for k in range(len(PLACES)):
         order = np.argsort(around[k], kind="stable")
         cell = around[k][order]

@@ -554,10 +554,10 @@ def plain_scores(text, model):
     for k, y in enumerate(said):
         h = np.tanh(sum(net[p * (masked_lm.OUTPUTS + 1) + at(k + off), :w] for p, off in enumerate(masked_lm.PLACES)))
         total, level = model.within[bucket[k]], masked_lm.AT_LEVEL
-        for step, digit in enumerate((y // 256, y // 16, y)):
-            rows = net[level[step] + digit // 16 * 16 :][:16]
+        for step, (digit, fork) in enumerate(((y // 512, 8), (y // 32, 16), (y, 32))):
+            rows = net[level[step] + digit // fork * fork :][:fork]
             z = rows[:, :w] @ h + rows[:, w]
-            total += z[digit % 16] - np.log(np.exp(z).sum())
+            total += z[digit % fork] - np.log(np.exp(z).sum())
         out.append(total)
     return out
 
@@ -595,8 +595,8 @@ def test_gradient_by_differences():
     net[masked_lm.AT_TREE :, : masked_lm.WIDTH] = rng.normal(0, 0.3, (masked_lm.ROWS - masked_lm.AT_TREE, masked_lm.WIDTH))
     rows, grads, words_ = masked_lm.gradient(net, outputs, around)
     loss = lambda x: -masked_lm.log_probabilities(x, outputs, around).sum()
-    assert len(set(rows.tolist())) == len(rows) and words_[:16].tolist() == [40] * 16
-    for k in [*range(3), 16, 30, 40, 50, *range(len(rows) - 6, len(rows))]:
+    assert len(set(rows.tolist())) == len(rows) and words_[:8].tolist() == [40] * 8
+    for k in [*range(3), 10, 30, 40, 50, *range(len(rows) - 6, len(rows))]:
         column = masked_lm.WIDTH if rows[k] >= masked_lm.AT_TREE and k % 2 else 3
         more, less = net.copy(), net.copy()
         more[rows[k], column] += 0.01
@@ -613,7 +613,7 @@ def test_means_of_tasks_are_weighed_by_words(spark, monkeypatch):
     assert np.allclose(got, model.net, atol=1e-5)
     moved = masked_lm.trained(encoded, model, 0.2)
     touched = np.flatnonzero((moved != model.net).any(axis=1))
-    assert len(touched) and set(range(masked_lm.AT_TREE, masked_lm.AT_TREE + 16)) <= set(touched.tolist())
+    assert len(touched) and set(range(masked_lm.AT_TREE, masked_lm.AT_TREE + 8)) <= set(touched.tolist())
 
 
 def test_held_out_texts_are_likelier_than_by_frequency(spark):
