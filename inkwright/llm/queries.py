@@ -168,7 +168,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id, qr ORDER BY score DESC
 SELECT query_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
 """
 
+#: Every turn's written length from its text and the marks that are escaped in it.
+_OP9 = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+w AS (SELECT *, 14 + length(CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE '=' || role END) + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) AS n,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS last FROM t),
+c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM w)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(upto) FILTER (role = 'assistant' OR i = last)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
+FROM c GROUP BY conv_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op9_chat_examples": _OP9,
     "op6_bm25_block_max": _OP6,
     "op10_jaccard_forest": _OP10,
     "op1_line_winnowing": _OP1,

@@ -802,7 +802,8 @@ def test_components(spark):
 def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for view in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {view} AS SELECT * FROM '{sf}/{view}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     rel = con.sql(queries.ORACLE[name])
     clean = lambda names, found: sorted([tuple((n, f"{v:.9g}" if isinstance(v, float) else v) for n, v in sorted(zip(names, r, strict=True))) for r in found], key=str)
