@@ -54,9 +54,9 @@ def render_width(thickness: Column, area: Column, length: Column) -> Column:
 
 
 def commonest(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of each group; of equals the one seen first."""
+    """The most frequent value of each group; of equals the one seen first, of those the least."""
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_seen"))
-    best = W.partitionBy(*by).orderBy(F.col("n").desc(), "_seen")
+    best = W.partitionBy(*by).orderBy(F.col("n").desc(), F.col("_seen").asc_nulls_last(), F.col(value).asc_nulls_last())
     return counted.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(*by, value, "n")
 
 

@@ -203,7 +203,7 @@ def to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_partkey, l_suppkey, n FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, seen, l_suppkey) = 1""")
 def mode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest value, of equals the first seen."""
-    seen = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000 + F.col("l_suppkey")
+    seen = F.col("l_orderkey") * 100 + F.col("l_linenumber")
     return G.commonest(table(spark, sf_dir, "lineitem").withColumn("seen", seen), ["l_partkey"], "l_suppkey", "seen")
 
 

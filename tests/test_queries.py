@@ -70,3 +70,19 @@ def test_escapes_of_whole_texts_are_compared(spark, monkeypatch):
 
     once, twice = digests("<"), digests("&lt;")
     assert all(once[k] != twice[k] for k in once)  # marks after 300 characters count
+
+
+def equals_sql(spark, name, folder):
+    c = duckdb.connect()
+    for p in glob.glob(f"{folder}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    df, rel = QUERIES[name](spark, str(folder)), c.sql(ORACLE[name])
+    assert rows(df.columns, map(tuple, df.collect())) == rows(rel.columns, rel.fetchall())
+
+
+def test_commonest_with_large_keys(spark, tmp_path):
+    c = duckdb.connect()
+    # the first seen has the largest supplier; then equal places, where the least supplier wins; then no place
+    values = "(7, 1, 990000, 1), (7, 2, 5, 1), (8, 3, 2000, 1), (8, 3, 1999, 1), (9, NULL, 4, 1), (9, 5, 3, 1), (10, NULL, NULL, 1), (10, NULL, 6, 1)"
+    c.sql(f"COPY (SELECT l_orderkey::BIGINT AS l_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, l_linenumber::INT AS l_linenumber FROM (VALUES {values}) v(l_partkey, l_orderkey, l_suppkey, l_linenumber)) TO '{tmp_path}/lineitem.parquet'")
+    equals_sql(spark, "mode_first", tmp_path)
