@@ -41,8 +41,17 @@ def layers(text: Column) -> Column:
 
 
 def page_of_key(key: Column) -> Column:
-    """The 1-based page in the first four digits of a title, keyword or link key."""
-    return F.substring(key, 1, 4).try_cast("int")
+    """The 1-based page that a title, keyword or link key begins with. It has four digits, and so have
+    the coordinates after it; from page 10,000 on it is as many digits longer as the key is. What
+    begins with 0 was filled up to four."""
+    digits = F.when(key.startswith("0"), 4).otherwise(4 + F.length(key) % 4)
+    return F.substring(key, F.lit(1), digits).try_cast("int")
+
+
+def mark_key(page: Column, place: Column) -> Column:
+    """A mark's key: its page, and eight digits of its place."""
+    page = page.cast("string")
+    return F.concat(F.lpad(page, F.greatest(F.length(page), F.lit(4)), F.lit("0")), F.lpad(place.cast("string"), 8, "0"))
 
 
 def repair(label: Column) -> Column:

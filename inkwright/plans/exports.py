@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from inkwright.functions.text import mark_key, page_of_key
 from inkwright.operators import render
 from inkwright.plans import comparison, notebook
 from inkwright.plans.queries import query
@@ -61,7 +62,7 @@ def _pages(spark: SparkSession, sf_dir: str, words: bool = True) -> DataFrame:
     )
     rect = F.concat_ws(",", *(c.cast("long").cast("string") for c in (100 + k * 37 % 1000, y0, dx, dy)))
     values = F.create_map(F.lit("TITLERECT"), rect, F.lit("TITLESTYLE"), F.when(k % 44 == 0, "1000000").otherwise("1157254"))
-    title = F.struct(F.lit("TITLE").alias("kind"), F.concat(F.lpad(F.col("p").cast("string"), 4, "0"), F.lpad(k.cast("string"), 8, "0")).alias("key"), values.alias("values"), F.lit(None).cast("binary").alias("body"))
+    title = F.struct(F.lit("TITLE").alias("kind"), mark_key(F.col("p"), k).alias("key"), values.alias("values"), F.lit(None).cast("binary").alias("body"))
     word = F.struct(F.concat(F.lit("é<"), k.cast("string"), F.lit('&"')).alias("label"), *((c * 10).cast("double").alias(n) for c, n in ((k % 12, "x"), (k % 14, "y"), (1 + k % 3, "w"), (F.lit(1), "h"))))
     spread = _spread(spark, sf_dir).select("n", "p", "k", stroke.alias("stroke"), F.when((kind == "0001") & (k % 22 == 0), title).alias("title"), F.when((k % 4 == 0) & F.lit(words), word).alias("word"))
     of = lambda name: F.filter(F.transform(F.col("found"), lambda r: r[name]), lambda v: v.isNotNull()).alias(f"{name}s")
@@ -284,7 +285,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.create_map(F.lit("PAGEID"), page_id, F.lit("LAYERINFO"), info)
     crosswise = (n % 4 == 0) | ((n % 4 == 1) & (p == 1))
     values = F.map_concat(said, F.when(crosswise, F.create_map(F.lit("ORIENTATION"), F.when(p % 2 == 0, "1090").otherwise("1270"))).otherwise(F.create_map().cast("map<string,string>")))
-    key = F.concat(F.lpad(text(p), 4, "0"), F.lpad(text(k), 8, "0"))
+    key = mark_key(p, k)
 
     def mark(kind, values, body):
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"), values.cast("map<string,string>").alias("values"), body.cast("binary").alias("body"))
@@ -337,7 +338,7 @@ def note_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with the first page of the id they name, keywords, titles."""
     notes = _ledgers(spark, sf_dir)
     size = F.length("bitmap").alias("bytes")
-    page = F.substring("key", 1, 4).cast("int").alias("page_no")
+    page = page_of_key(F.col("key")).alias("page_no")
     links = container.links(notes).select(F.lit("link").alias("kind"), "note_id", page, "text", F.lit(None).cast("int").alias("bytes"))
     keywords = container.keywords(notes).select(F.lit("keyword"), "note_id", "page_no", "text", size)
     said = F.concat_ws(" ", F.col("values")["TITLERECT"], F.col("values")["TITLESTYLE"])

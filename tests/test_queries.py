@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from inkwright.plans.queries import ORACLE, QUERIES
 
@@ -86,3 +87,20 @@ def test_commonest_with_large_keys(spark, tmp_path):
     values = "(7, 1, 990000, 1), (7, 2, 5, 1), (8, 3, 2000, 1), (8, 3, 1999, 1), (9, NULL, 4, 1), (9, 5, 3, 1), (10, NULL, NULL, 1), (10, NULL, 6, 1)"
     c.sql(f"COPY (SELECT l_orderkey::BIGINT AS l_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, l_linenumber::INT AS l_linenumber FROM (VALUES {values}) v(l_partkey, l_orderkey, l_suppkey, l_linenumber)) TO '{tmp_path}/lineitem.parquet'")
     equals_sql(spark, "mode_first", tmp_path)
+
+
+def test_pages_of_keys_past_four_digits(spark):
+    from inkwright.functions.text import mark_key, page_of_key
+
+    given = {"00021253011801320743": 2, "00010200": 1, "0001": 1, "00011": 1, "9999": 9999, "1000000000012": 10000, "36000001200340567": 36000, "12345670000123400005678": 1234567, "12": 12, "page0001": None, "": None}
+    found = spark.createDataFrame([(k,) for k in given], "key string").select("key", page_of_key(F.col("key")).alias("page")).collect()
+    assert {r["key"]: r["page"] for r in found} == given
+    pages = [1, 999, 9999, 10000, 36000, 1234567]
+    written = spark.createDataFrame([(p, 900000) for p in pages], "p bigint, k bigint").select(page_of_key(mark_key(F.col("p"), F.col("k"))).alias("page")).collect()
+    assert [r["page"] for r in written] == pages
+
+
+def test_marks_of_more_pages_than_four_digits_count(spark, tmp_path):
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT range::BIGINT AS c_custkey, 3::INT AS c_nationkey FROM range(10100)) TO '{tmp_path}/customer.parquet'")
+    equals_sql(spark, "note_marks", tmp_path)
