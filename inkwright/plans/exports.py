@@ -239,12 +239,16 @@ def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(batches):
-    """How many pixels of pages are black, grey and clear."""
+    """How many pixels of pages are black, grey and clear; pixels of one page are held at a time."""
+
+    def count(data):
+        x = png.decode(data.as_py())
+        full = x[..., 3] == 255
+        return *(int((full & (x[..., 0] == grey)).sum()) for grey in (0, 128)), int((x[..., 3] == 0).sum())
+
     for batch in batches:
-        found = [png.decode(x) for x in batch.column(2).to_pylist()]
-        clear = [int((x[..., 3] == 0).sum()) for x in found]
-        of = lambda grey: [int(((x[..., 0] == grey) & (x[..., 3] == 255)).sum()) for x in found]  # noqa: E731, B023
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (of(0), of(128), clear))], names=["note_id", "page_no", "black", "grey", "clear"])
+        found = np.array([count(x) for x in batch.column(2)], np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found.T)], names=["note_id", "page_no", "black", "grey", "clear"])
 
 
 def _images(pages: DataFrame) -> DataFrame:

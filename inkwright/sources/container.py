@@ -158,9 +158,9 @@ marks array<struct<kind:string,key:string,seq:int,text:string,values:map<string,
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                row = {"note_id": path, "error": None} | decode(content or b"")
+                row = {"note_id": path, "error": None} | decode(content.as_py() or b"")
             except (ValueError, IndexError, KeyError, AttributeError) as e:
                 row = {"note_id": path, "error": f"{type(e).__name__}: {e}"}
             yield pa.RecordBatch.from_pylist([row], _NOTE)

@@ -104,3 +104,29 @@ def test_marks_of_more_pages_than_four_digits_count(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"COPY (SELECT range::BIGINT AS c_custkey, 3::INT AS c_nationkey FROM range(10100)) TO '{tmp_path}/customer.parquet'")
     equals_sql(spark, "note_marks", tmp_path)
+
+
+def test_one_page_of_pixels_is_held_at_a_time(monkeypatch):
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    from inkwright.plans import exports
+    from inkwright.sources import png
+
+    held, most, decode = [], [0], png.decode
+
+    def counting(data):
+        found = decode(data)
+        held.append(weakref.ref(found))
+        most[0] = max(most[0], sum(r() is not None for r in held))
+        return found
+
+    monkeypatch.setattr(png, "decode", counting)
+    pixels = np.zeros((3, 5, 4), np.uint8)
+    pixels[0], pixels[1, :4] = (0, 0, 0, 255), (128, 128, 128, 255)
+    pages = pa.RecordBatch.from_arrays([pa.array(["a"] * 6), pa.array(range(6), pa.int32()), pa.array([png.encode(pixels)] * 6, pa.binary())], names=["note_id", "page_no", "png"])
+    found = pa.Table.from_batches(exports._counted([pages, pages.slice(0, 0)])).to_pydict()
+    assert (found["black"], found["grey"], found["clear"]) == ([5] * 6, [4] * 6, [6] * 6)
+    assert len(held) == 6 and most[0] <= 2
