@@ -110,6 +110,11 @@ def untrained(counts: np.ndarray, outputs: np.ndarray, seed: int = 0) -> np.ndar
     return net
 
 
+def _sorted(outputs: np.ndarray) -> np.ndarray:
+    """The stable order of outputs (EDGE among them); numbers of 16 bits are sorted by digits."""
+    return np.argsort(outputs.astype(np.uint16), kind="stable")
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Of each column: with words side by side, sums over a node's few branches run along words."""
     z -= z.max(0)
@@ -121,9 +126,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _hidden(net: np.ndarray, around: np.ndarray) -> np.ndarray:
     """The layer's values, a column a word."""
     vectors = net[:AT_TREE].reshape(len(PLACES), OUTPUTS + 1, WIDTH + 1)
-    total = vectors[0][around[0]]
+    total = vectors[0].take(around[0], axis=0)
     for k in range(1, len(PLACES)):
-        total += vectors[k][around[k]]
+        total += vectors[k].take(around[k], axis=0)
     return np.tanh(total.T[:WIDTH])
 
 
@@ -146,9 +151,9 @@ def log_probabilities(net: np.ndarray, outputs: np.ndarray, around: np.ndarray)
     """log P(output | neighbours) of every word."""
     out = np.empty(len(outputs))
     for lo in range(0, len(outputs), 1 << 15):
-        order = lo + np.argsort(outputs[lo : lo + (1 << 15)], kind="stable")
+        order = lo + _sorted(outputs[lo : lo + (1 << 15)])
         y, said = outputs[order], np.ones(len(order))
-        for _, at, p, choice in _choices(net, y, _hidden(net, around[:, order])):
+        for _, at, p, choice in _choices(net, y, _hidden(net, around.take(order, axis=1))):
             said[at] *= np.maximum(p[choice, np.arange(len(choice))], 1e-30)
         out[order] = np.log(said)
     return out
@@ -171,12 +176,12 @@ def gradient(net: np.ndarray, outputs: np.ndarray, around: np.ndarray) -> tuple[
     rows, grads, words = [AT_TREE + met], [tree[met]], [shared[met]]
     back = np.ascontiguousarray(back.T)
     for k in range(len(PLACES)):
-        order = np.argsort(around[k], kind="stable")
+        order = _sorted(around[k])
         cell = around[k][order]
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         rows.append(k * (OUTPUTS + 1) + cell[starts])
         grads.append(np.zeros((len(starts), WIDTH + 1), np.float32))
-        grads[-1][:, :WIDTH] = np.add.reduceat(back[order], starts)
+        grads[-1][:, :WIDTH] = np.add.reduceat(back.take(order, axis=0), starts)
         words.append(np.diff(np.append(starts, n)))
     return np.concatenate(rows), np.concatenate(grads), np.concatenate(words)
 
@@ -193,8 +198,8 @@ class Trainer:
         order = self.rng.permutation(len(outputs))
         for lo in range(0, len(order), STEP_WORDS):
             some = order[lo : lo + STEP_WORDS]
-            some = some[np.argsort(outputs[some], kind="stable")]
-            rows, grads, words = gradient(self.net, outputs[some], around[:, some])
+            some = some[_sorted(outputs[some])]
+            rows, grads, words = gradient(self.net, outputs[some], around.take(some, axis=1))
             grads /= np.sqrt(words)[:, None].astype(np.float32)
             self.squares[rows] += np.einsum("ij,ij->i", grads, grads) / (WIDTH + 1)
             self.net[rows] -= self.rate * grads / np.sqrt(self.squares[rows])[:, None]

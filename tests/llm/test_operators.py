@@ -808,3 +808,11 @@ def test_queries_equal_sql(spark, name):
     rel = con.sql(queries.ORACLE[name])
     clean = lambda names, found: sorted([tuple((n, f"{v:.9g}" if isinstance(v, float) else v) for n, v in sorted(zip(names, r, strict=True))) for r in found], key=str)
     assert clean(df.columns, map(tuple, df.collect())) == clean(rel.columns, rel.fetchall())
+
+
+def test_outputs_are_sorted_as_they_were():
+    assert masked_lm.EDGE < 1 << 16
+    given = np.random.RandomState(3).randint(0, masked_lm.EDGE + 1, 20_000).astype(np.int32)
+    given[:2] = masked_lm.EDGE, 0
+    assert (masked_lm._sorted(given) == np.argsort(given, kind="stable")).all()
+    assert len(masked_lm._sorted(given[:0])) == 0
