@@ -816,3 +816,25 @@ def test_outputs_are_sorted_as_they_were():
     given[:2] = masked_lm.EDGE, 0
     assert (masked_lm._sorted(given) == np.argsort(given, kind="stable")).all()
     assert len(masked_lm._sorted(given[:0])) == 0
+
+
+def test_exact_scores_of_some_documents():
+    """Any documents in any order, one without words among them, against sums term by term."""
+    rng = np.random.RandomState(5)
+    terms = [np.sort(rng.choice(60, n, replace=False)).astype("<u8") for n in (7, 0, 30, 1, 12)]
+    tfs = [rng.randint(1, 9, len(t)).astype("<i4") for t in terms]
+    length, many = np.array([t.sum() for t in tfs]), np.array([len(t) for t in terms])
+    q = bm25.Queries(np.zeros(1, np.int64), np.ones(1), np.array([0, 20]), np.arange(20), np.arange(0, 60, 3, dtype="<u8"), np.linspace(0.1, 2, 20))
+    shard = bm25.Shard([np.arange(5), length, np.zeros(5, np.int64), many, np.concatenate(terms), np.concatenate(tfs)], 10.0, q)
+    asked = np.isin(shard.terms, q.terms)
+    for docs in (np.arange(5), np.array([3]), np.array([4, 1, 0])):
+        want = []
+        for d in shard.ids[docs]:
+            weigh = 1.2 * (0.25 + 0.75 * length[d] / 10)
+            want.append(sum(q.idf[t // 3] * f * 2.2 / (f + weigh) for t, f in zip(terms[d].astype(int), tfs[d], strict=True) if t % 3 == 0))
+        assert shard.exact(docs, asked) == pytest.approx(want, abs=1e-12)
+
+
+def test_few_shards_are_dealt_to_all_cores():
+    shard = bm25.SHARD_POSTINGS
+    assert [bm25.tasks(n, 6) for n in (0, 1, shard, shard + 1, 4 * shard, 24 * shard, 25 * shard, 400 * shard)] == [1, 1, 1, 2, 4, 6, 7, 100]
